@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from reelgate.catalogue.registry import query, rounded, table
 from reelgate.operators.sequence import clean_contour
 from reelgate.plans import curation, ingestion
-from reelgate.session import shared_dir
+from reelgate.session import pinned, shared_dir
 from reelgate.sources import documents, media, sinks
 
 RATE = 8_000
@@ -118,18 +118,21 @@ def media_inventory(spark, d):
     return media.inventory(known.drop("path"), good.select("sha256"))
 
 
-_BYTES_SQL = """h AS (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents),
-b AS (SELECT doc_id, n, unnest(range(0, n)) AS i, h FROM h),
-x AS (SELECT doc_id, n, i, (('0x' || substr(h, 2 * i + 1, 2))::INT - 128) / 128 AS x FROM b)"""
+_BYTES_SQL = """h AS (SELECT doc_id, octet_length(encode(text)) AS n FROM documents),
+l AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS l, octet_length(encode(text)) AS n FROM documents),
+b AS (SELECT doc_id, n, unnest(l) AS p, generate_subscripts(l, 1) - 1 AS i FROM l),
+x AS (SELECT doc_id, n, i, (('0x' || p)::INT - 128) / 128 AS x FROM b)"""
 
 
 @query(
     "frame_energy",
-    f"""WITH {_BYTES_SQL}, e AS (SELECT doc_id, n, ceil(n / 160)::BIGINT AS f, unnest(range(0, ceil(n / 160)::BIGINT)) AS k FROM h),
-    g AS (SELECT doc_id, k, round_even(k * (n / f), 0) AS lo, CASE WHEN k = f - 1 THEN n ELSE round_even((k + 1) * (n / f), 0) END AS hi FROM e)
-    SELECT g.doc_id AS series_id, k AS frame_idx, count(*) AS n, round(sum(x * x), 6) AS sum_sq, round(sqrt(avg(x * x)), 6) AS rms,
+    f"""WITH {_BYTES_SQL}, y AS (SELECT *, ceil(n / 160)::BIGINT AS f FROM x),
+    z AS (SELECT *, least(floor(i / (n / f))::BIGINT, f - 1) AS g FROM y),
+    k AS (SELECT doc_id, x, CASE WHEN g + 1 < f AND i >= round_even((g + 1) * (n / f), 0) THEN g + 1
+      WHEN i < round_even(g * (n / f), 0) THEN g - 1 ELSE g END AS k FROM z)
+    SELECT doc_id AS series_id, k AS frame_idx, count(*) AS n, round(sum(x * x), 6) AS sum_sq, round(sqrt(avg(x * x)), 6) AS rms,
       round(max(abs(x)), 6) AS peak, count(*) FILTER (abs(x) >= 0.999) AS clipped_n
-    FROM g JOIN x ON g.doc_id = x.doc_id AND x.i >= lo AND x.i < hi GROUP BY 1, 2""",
+    FROM k GROUP BY 1, 2""",
 )
 def frame_energy(spark, d):
     frames = media.frame_energy(_recordings(spark, d))
@@ -184,8 +187,8 @@ def join_levels(spark, d):
 
 @query("pitch_adherence")
 def pitch_adherence(spark, d):
-    recordings = _recordings(spark, d)
-    frames = media.frame_energy(recordings).select(
+    recordings = pinned(_recordings(spark, d))
+    frames = pinned(media.frame_energy(recordings)).select(
         "series_id",
         "frame_idx",
         F.when(F.col("rms") > 0.2, 150 + 100 * F.col("rms")).otherwise(F.lit(0.0)).alias("f0"),
@@ -195,9 +198,9 @@ def pitch_adherence(spark, d):
 
 @query(
     "contours",
-    f"""WITH h AS (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents),
-    x AS (SELECT doc_id, unnest(range(0, n)) AS i, h FROM h)
-    SELECT doc_id AS series_id, count(*) AS n_frames, sum(('0x' || substr(h, 2 * i + 1, 2))::INT * (i % 97))::BIGINT AS checksum FROM x GROUP BY 1""",
+    """WITH l AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS l FROM documents),
+    x AS (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) - 1 AS i FROM l)
+    SELECT doc_id AS series_id, count(*) AS n_frames, sum(('0x' || p)::INT * (i % 97))::BIGINT AS checksum FROM x GROUP BY 1""",
 )
 def contours(spark, d):
     folder = _folder(spark, "contours")
@@ -218,7 +221,7 @@ def contours(spark, d):
 
 @query("clean_contours")
 def clean_contours(spark, d):
-    frames = media.frame_energy(_recordings(spark, d)).select(
+    frames = pinned(media.frame_energy(_recordings(spark, d))).select(
         "series_id",
         "frame_idx",
         F.when(F.col("rms") > 0.18, 400 * F.col("rms")).otherwise(F.lit(0.0)).alias("f0"),
@@ -321,7 +324,8 @@ def ingest_plan(spark, d):
         "filename",
         "left_semi",
     )
-    hashed = media.hash_files(files.withColumn("doc_id", F.regexp_extract("filename", r"^([0-9]+)", 1).cast("long")))
+    number = F.regexp_extract("filename", r"^([0-9]+)", 1).cast("long")
+    hashed = pinned(media.hash_files(files.withColumn("doc_id", number)))
     toxic = hashed.join(table(spark, d, "labels").where("toxic = 1"), "doc_id", "left_semi")
     excluded = (
         toxic.select("sha256").distinct()

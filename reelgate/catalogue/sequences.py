@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from reelgate.catalogue.registry import FRAMES_SQL, event_frames, query, rounded, table
 from reelgate.operators import sequence, tempo
 from reelgate.operators.frames import series_lengths
+from reelgate.plans.rhythm import analyse_rhythm
 
 _N_SQL = "n AS (SELECT series_id, count(*) AS n FROM frames GROUP BY 1)"
 
@@ -206,12 +207,12 @@ def smooth_gain(spark, d):
     "grid_interpolate",
     f"""WITH {FRAMES_SQL}, {_N_SQL}, o AS (SELECT series_id, n, 2 * n - 7 AS m, unnest(range(0, 2 * n - 7)) AS i FROM n WHERE n > 4),
     p AS (SELECT *, i * (n - 1) // (m - 1) AS lo, (i * (n - 1)) % (m - 1) / (m - 1) AS fr FROM o)
-    SELECT p.series_id, i AS out_idx, round(a.value + fr * (coalesce(b.value, a.value) - a.value), 6) AS value FROM p
+    SELECT p.series_id, i AS out_idx, round(a.value + fr * (coalesce(b.value, a.value) - a.value), 9) AS value FROM p
       JOIN frames a ON a.series_id = p.series_id AND a.frame_idx = lo LEFT JOIN frames b ON b.series_id = p.series_id AND b.frame_idx = lo + 1""",
 )
 def grid_interpolate(spark, d):
     lengths = _lengths(spark, d).where("n_frames > 4").withColumn("n_out", 2 * F.col("n_frames") - 7)
-    return rounded(sequence.grid_interpolate(event_frames(spark, d), lengths))
+    return rounded(sequence.grid_interpolate(event_frames(spark, d), lengths), 9)
 
 
 @query(
@@ -384,19 +385,16 @@ def tempo_query(spark, d):
 @query("song_rhythm")
 def song_rhythm(spark, d):
     frames = event_frames(spark, d).withColumn("detail_rms", F.abs(F.col("rms") - F.col("f0") / 500))
-    envelope = tempo.transient_envelope(frames)
     durations = series_lengths(frames).select(
         "series_id", (F.col("n_frames") / RATE).alias("duration_seconds")
     )
-    stats = tempo.onset_stats(envelope, durations, RATE)
-    beats = tempo.pulse(tempo.tempo_candidates(envelope, RATE))
-    return rounded(tempo.robust_zscore(stats.join(beats, "series_id")))
+    return rounded(analyse_rhythm(frames, durations, RATE))
 
 
 @query(
     "onset_stats",
     f"""WITH {FRAMES_SQL}, q AS (SELECT series_id, greatest(quantile_cont(rms, 0.2), 1e-7) AS p20, avg(value) AS t, count(*) / 6.0 AS dur FROM frames GROUP BY 1)
-    SELECT series_id, round(dur, 6) AS duration_seconds, round(t, 5) AS transient_activity, round(avg((rms > p20)::INT), 6) AS active_fraction
+    SELECT series_id, round(dur, 6) AS duration_seconds, round(t, 9) AS transient_activity, round(avg((rms > p20)::INT), 6) AS active_fraction
     FROM frames JOIN q USING (series_id) GROUP BY series_id, dur, t""",
 )
 def onset_stats(spark, d):
@@ -405,8 +403,9 @@ def onset_stats(spark, d):
         "series_id", (F.col("n_frames") / RATE).alias("duration_seconds")
     )
     out = tempo.onset_stats(frames, durations, RATE)
-    return rounded(
-        out.withColumn("transient_activity", F.round("transient_activity", 5)).drop(
-            "onset_density_per_second"
-        )
+    return out.select(
+        "series_id",
+        F.round("duration_seconds", 6).alias("duration_seconds"),
+        F.round("transient_activity", 9).alias("transient_activity"),
+        F.round("active_fraction", 6).alias("active_fraction"),
     )

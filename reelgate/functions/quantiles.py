@@ -16,25 +16,36 @@ def exact_quantiles(
     value: Column | str,
     probs: dict[str, float],
     *,
+    extras: dict[str, Column] | None = None,
     large: bool | None = None,
 ) -> DataFrame:
     """One row per key with the linearly interpolated quantiles of the non-null values.
 
+    ``extras`` are further aggregates over ``df`` for the same keys; a key without values
+    then still has a row. ``large`` tells whether a group may exceed what one task holds,
+    where the caller knows; otherwise the groups are counted.
+
     Small groups use the ``percentile`` aggregate. Its buffer keeps every distinct value
     of a group, so a large group is counted per distinct value first and the ranks are read
     off a distributed running sum of those counts.
     """
     column = F.col(value) if isinstance(value, str) else value
-    values = df.select(*keys, column.cast("double").alias("__v")).where(F.col("__v").isNotNull())
     if large is None:
-        large = has_large_group(values, keys)
+        large = has_large_group(df, keys)
+    wanted = F.array(*[F.lit(float(p)) for p in probs.values()])
+    named = [F.col("__q")[i].alias(name) for i, name in enumerate(probs)]
     if not large:
-        packed = values.groupBy(*keys).agg(
-            F.percentile("__v", F.array(*[F.lit(float(p)) for p in probs.values()])).alias("__q")
-        )
-        return packed.select(
-            *keys, *[F.col("__q")[i].alias(name) for i, name in enumerate(probs)]
-        )
+        more = [c.alias(name) for name, c in (extras or {}).items()]
+        packed = df.withColumn("__v", column.cast("double"))
+        if not extras:
+            packed = packed.where(F.col("__v").isNotNull())
+        packed = packed.groupBy(*keys).agg(F.percentile("__v", wanted).alias("__q"), *more)
+        return packed.select(*keys, *named, *(extras or {}))
+    if extras:
+        found = exact_quantiles(df, keys, column, probs, large=True)
+        rest = df.groupBy(*keys).agg(*[c.alias(name) for name, c in extras.items()])
+        return rest.join(found, list(keys), "left").select(*keys, *probs, *extras)
+    values = df.select(*keys, column.cast("double").alias("__v")).where(F.col("__v").isNotNull())
     counts = values.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
     ranked = ordered_scan(
         counts, keys, ["__v"], {"__before": Running("sum_before", "__n")}, large=True
@@ -63,3 +74,22 @@ def exact_quantiles(
             for i, name in enumerate(probs)
         ],
     )
+
+
+def medians(
+    df: DataFrame, columns: dict[str, Column], *, large: bool | None = None
+) -> dict[str, Column]:
+    """Medians over the whole table, one scalar column each, from one pass where it fits."""
+    if large is None:
+        large = has_large_group(df, [])
+    if large:
+        return {
+            name: exact_quantiles(df, [], column, {"q": 0.5}, large=True).scalar()
+            for name, column in columns.items()
+        }
+    packed = df.agg(
+        F.struct(
+            *[F.percentile(c.cast("double"), F.lit(0.5)).alias(n) for n, c in columns.items()]
+        ).alias("q")
+    ).scalar()
+    return {name: packed.getField(name) for name in columns}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from reelgate.functions.quantiles import exact_quantiles
 from reelgate.functions.scalars import amplitude_db, cents, clip
-from reelgate.operators.scan import Running, chunk_frames, home_chunk, ordered_scan
+from reelgate.operators.scan import Running, chunk_frames, has_large_group, ordered_scan
 from reelgate.operators.sequence import FRAME_RATE, SERIES, with_dropouts
 
 
@@ -48,19 +48,24 @@ def second_levels(
 
 
 def one_second_level_range(
-    frames: DataFrame, *, keys: Sequence[str] = SERIES, rate: int = FRAME_RATE
+    frames: DataFrame,
+    *,
+    keys: Sequence[str] = SERIES,
+    rate: int = FRAME_RATE,
+    large: bool | None = None,
 ) -> DataFrame:
     """(keys, one_second_level_range_db); series without a sustained second are absent."""
     levels = second_levels(frames, keys=keys, rate=rate).withColumn("__db", amplitude_db("rms"))
-    spread = exact_quantiles(levels, keys, "__db", {"__lo": 0.05, "__hi": 0.95}).select(
+    spread = exact_quantiles(
+        levels, keys, "__db", {"__lo": 0.05, "__hi": 0.95}, large=large
+    ).select(
         *keys,
         F.least(F.col("__hi") - F.col("__lo"), F.lit(120.0)).alias("one_second_level_range_db"),
     )
     brief = (
-        series_lengths(frames.where(F.col("f0") > 0), keys)
-        .select(*keys)
-        .join(series_lengths(frames, keys), list(keys))
-        .where(F.col("n_frames") < rate)
+        frames.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("__n"), F.max(F.col("f0") > 0).alias("__voiced"))
+        .where((F.col("__n") < rate) & F.col("__voiced"))
         .select(*keys, F.lit(0.0).alias("one_second_level_range_db"))
     )
     return spread.unionByName(brief)
@@ -77,28 +82,28 @@ def series_metrics(
 
     ``frames``: keys, frame_idx, f0, rms and, from decoded audio, peak, clipped_n, n.
     """
+    large = has_large_group(frames, keys)
     voiced = F.col("f0") > 0
     energy = F.col("rms") * F.col("rms")
-    aggregates = [
-        F.count(F.lit(1)).alias("n_frames"),
-        F.avg(voiced.cast("double")).alias("voiced_fraction"),
-        F.sqrt(F.avg(F.when(voiced, energy))).alias("__active"),
-    ]
+    aggregates = {
+        "n_frames": F.count(F.lit(1)),
+        "voiced_fraction": F.avg(voiced.cast("double")),
+        "__active": F.sqrt(F.avg(F.when(voiced, energy))),
+    }
     if "peak" in frames.columns:
-        aggregates += [
-            F.max("peak").alias("__peak"),
-            F.try_divide(F.sum("clipped_n"), F.sum("n")).alias("clipping_fraction"),
-            F.sum("n").alias("__samples"),
-        ]
-    base = frames.groupBy(*keys).agg(*aggregates)
-    pitch = exact_quantiles(
-        frames.where(voiced),
+        aggregates["__peak"] = F.max("peak")
+        aggregates["clipping_fraction"] = F.try_divide(F.sum("clipped_n"), F.sum("n"))
+        aggregates["__samples"] = F.sum("n")
+    base = exact_quantiles(
+        frames,
         keys,
-        "f0",
+        F.when(voiced, F.col("f0")),
         {"median_f0_hz": 0.5, "f0_p05_hz": 0.05, "f0_p95_hz": 0.95},
+        extras=aggregates,
+        large=large,
     )
-    levels = one_second_level_range(frames, keys=keys, rate=rate)
-    joined = base.join(pitch, list(keys), "left").join(levels, list(keys), "left")
+    levels = one_second_level_range(frames, keys=keys, rate=rate, large=large)
+    joined = base.join(levels, list(keys), "left")
     duration = F.col("n_frames") / F.lit(float(rate))
     if sample_rate is not None and "peak" in frames.columns:
         duration = F.least(F.col("__samples") / F.lit(float(sample_rate)), duration)
@@ -321,8 +326,9 @@ def balance_db(
 
     Both have keys, frame_idx, rms at ten frames a second.
     """
+    large = has_large_group(a_frames, keys)
     heard = a_frames.where(F.col("rms") > 10 ** (-60 / 20))
-    bars = exact_quantiles(heard, keys, "rms", {"__p60": 0.6}).select(
+    bars = exact_quantiles(heard, keys, "rms", {"__p60": 0.6}, large=large).select(
         *keys, F.greatest(F.lit(10 ** (-45 / 20)), F.col("__p60") * 0.1).alias("__bar")
     )
     pairs = (
@@ -332,7 +338,7 @@ def balance_db(
         .where((F.col("__a") >= F.col("__bar")) & (F.col("__b") > 1e-8))
     )
     difference = amplitude_db("__a") - amplitude_db("__b")
-    found = exact_quantiles(pairs, keys, difference, {"balance_db": 0.5})
+    found = exact_quantiles(pairs, keys, difference, {"balance_db": 0.5}, large=large)
     return a_frames.select(*keys).distinct().join(found, list(keys), "left")
 
 
@@ -367,17 +373,20 @@ def pitch_error(
     keys: Sequence[str] = SERIES,
     gross_cents: float = 200.0,
     unmatched: float = float("inf"),
+    large: bool | None = None,
 ) -> DataFrame:
     """Median error over frames voiced in both, and the share of target-voiced frames that
     are off by more than ``gross_cents`` or unvoiced in the other series."""
-    medians = exact_quantiles(pairs, keys, "cents_error", {"__median": 0.5})
     off = F.col("cents_error").isNull() | (F.col("cents_error") > gross_cents)
-    gross = (
-        pairs.where(F.col("f0") > 0)
-        .groupBy(*keys)
-        .agg(F.avg(off.cast("double")).alias("f0_gross_error_fraction"))
+    found = exact_quantiles(
+        pairs.where(F.col("f0") > 0),
+        keys,
+        "cents_error",
+        {"__median": 0.5},
+        extras={"f0_gross_error_fraction": F.avg(off.cast("double"))},
+        large=large,
     )
-    return gross.join(medians, list(keys), "left").select(
+    return found.select(
         *keys,
         F.coalesce("__median", F.lit(unmatched)).alias("f0_median_error_cents"),
         "f0_gross_error_fraction",
@@ -428,21 +437,3 @@ def frame_count_matches(
         ).alias("timing_ok"),
     )
 
-
-__all__ = [
-    "active_rms",
-    "balance_db",
-    "centre_dominance",
-    "compare_series",
-    "dropout_fraction",
-    "frame_count_matches",
-    "home_chunk",
-    "level_match",
-    "number_frames",
-    "one_second_level_range",
-    "pitch_error",
-    "second_levels",
-    "series_lengths",
-    "series_metrics",
-    "window_metrics",
-]

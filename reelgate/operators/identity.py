@@ -45,11 +45,9 @@ def window_calibration(
     scores: DataFrame, key: Sequence[str], score: str = "score"
 ) -> DataFrame:
     """Count, minimum, 10th percentile and mean of the window scores per reference."""
-    plain = scores.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("count"), F.min(score).alias("minimum"), F.avg(score).alias("mean")
-    )
-    low = exact_quantiles(scores, key, score, {"p10": 0.1})
-    return plain.join(low, list(key)).select(*key, "count", "minimum", "p10", "mean")
+    plain = {"count": F.count(F.lit(1)), "minimum": F.min(score), "mean": F.avg(score)}
+    found = exact_quantiles(scores, key, score, {"p10": 0.1}, extras=plain)
+    return found.select(*key, "count", "minimum", "p10", "mean")
 
 
 def adaptive_threshold(

@@ -22,6 +22,7 @@ from reelgate.operators.scan import (
     chunk_frames,
     chunked_fold,
     drop_halo,
+    has_large_group,
     halo_window,
     home_chunk,
     ordered_scan,
@@ -410,10 +411,13 @@ def robust_scale(
     *,
     keys: Sequence[str] = SERIES,
     upper: float = 2.0,
+    large: bool | None = None,
 ) -> DataFrame:
     """Divide each column by its series' 95th percentile and clip to 0..upper."""
+    if large is None:
+        large = has_large_group(frames, keys)
     for c in columns:
-        tops = exact_quantiles(frames, keys, c, {f"__top_{c}": 0.95})
+        tops = exact_quantiles(frames, keys, c, {f"__top_{c}": 0.95}, large=large)
         frames = frames.join(tops, list(keys), "left").withColumn(
             c, clip(F.col(c) / F.greatest(F.col(f"__top_{c}"), F.lit(1e-12)), 0.0, upper)
         )
@@ -565,9 +569,10 @@ def relative_level(
     voiced: str = "voiced_fraction",
     max_deficit: float = 6.0,
     max_range: float = 8.0,
+    large: bool | None = None,
 ) -> DataFrame:
     """Drop candidates far below their song's upper level and rate the others 0..1."""
-    tops = exact_quantiles(candidates, [key], level, {"__top": 0.75})
+    tops = exact_quantiles(candidates, [key], level, {"__top": 0.75}, large=large)
     deficit = F.greatest(F.col("__top") - F.col(level), F.lit(0.0))
     confidence = clip(
         1.0
@@ -593,15 +598,18 @@ def peak_pick(
     value: str = "value",
     minimum_gap: int = 10,
     floor: float = 0.08,
+    large: bool | None = None,
 ) -> DataFrame:
     """Separated local maxima above median + max(1.5 MAD, floor): (keys, frame_idx, value).
 
     Inside the gap a higher peak takes the place of the last one, which is a walk along the
     series; it runs over the candidate peaks only, chunk by chunk.
     """
-    levels = exact_quantiles(frames, keys, value, {"__median": 0.5})
+    if large is None:
+        large = has_large_group(frames, keys)
+    levels = exact_quantiles(frames, keys, value, {"__median": 0.5}, large=large)
     off = frames.join(levels, list(keys)).withColumn("__dev", F.abs(F.col(value) - F.col("__median")))
-    spread = exact_quantiles(off, keys, "__dev", {"__mad": 0.5})
+    spread = exact_quantiles(off, keys, "__dev", {"__mad": 0.5}, large=large)
     bars = levels.join(spread, list(keys)).select(
         *keys,
         (F.col("__median") + F.greatest(1.5 * F.col("__mad"), F.lit(floor))).alias("__bar"),

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelgate.functions.quantiles import exact_quantiles
-from reelgate.operators.scan import with_halo
+from reelgate.functions.quantiles import exact_quantiles, medians
+from reelgate.operators.scan import has_large_group, with_halo
 from reelgate.operators.select import non_overlapping_topk
 from reelgate.operators.sequence import (
     SERIES,
@@ -34,12 +34,19 @@ TEMPO_KEPT = 5
 
 
 def transient_envelope(
-    frames: DataFrame, *, keys: Sequence[str] = SERIES, rms: str = "rms", detail: str = "detail_rms"
+    frames: DataFrame,
+    *,
+    keys: Sequence[str] = SERIES,
+    rms: str = "rms",
+    detail: str = "detail_rms",
+    large: bool | None = None,
 ) -> DataFrame:
     """Frames (keys, frame_idx, rms, value) with 0.6 energy and 0.4 detail flux, scaled."""
+    if large is None:
+        large = has_large_group(frames, keys)
     flux = positive_log_flux(frames, rms, keys=keys, name="__energy")
     flux = positive_log_flux(flux, detail, keys=keys, name="__detail")
-    scaled = robust_scale(flux, ["__energy", "__detail"], keys=keys)
+    scaled = robust_scale(flux, ["__energy", "__detail"], keys=keys, large=large)
     mixed = 0.6 * F.col("__energy") + 0.4 * F.col("__detail")
     return scaled.select(*keys, "frame_idx", F.col(rms).alias("rms"), mixed.alias("value"))
 
@@ -50,13 +57,16 @@ def onset_stats(
     frame_rate: float,
     *,
     keys: Sequence[str] = SERIES,
+    large: bool | None = None,
 ) -> DataFrame:
     """Onsets per second, mean transient level and active share per series."""
     gap = max(int(round(frame_rate * 0.12)), 1)
-    onsets = peak_pick(envelope, keys=keys, minimum_gap=gap).groupBy(*keys).agg(
+    if large is None:
+        large = has_large_group(envelope, keys)
+    onsets = peak_pick(envelope, keys=keys, minimum_gap=gap, large=large).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__onsets")
     )
-    quiet = exact_quantiles(envelope, keys, "rms", {"__p20": 0.2})
+    quiet = exact_quantiles(envelope, keys, "rms", {"__p20": 0.2}, large=large)
     active = (
         envelope.join(quiet, list(keys))
         .groupBy(*keys)
@@ -179,14 +189,18 @@ def robust_zscore(
     The scale is 1.4826 MAD, the standard deviation where that vanishes, else 1.
     """
     weights = weights or UPBEAT_WEIGHTS
+    large = has_large_group(rows, [])
+    values = {c: F.col(c).cast("double") for c in weights}
+    middle = medians(rows, values, large=large)
+    apart = medians(rows, {c: F.abs(v - middle[c]) for c, v in values.items()}, large=large)
+    spread = rows.agg(
+        F.struct(*[F.stddev_pop(v).alias(c) for c, v in values.items()]).alias("s")
+    ).scalar()
     score = F.lit(0.0)
-    for column, weight in weights.items():
-        value = F.col(column).cast("double")
-        median = exact_quantiles(rows, [], value, {"q": 0.5}).scalar()
-        apart = exact_quantiles(rows, [], F.abs(value - median), {"q": 0.5}).scalar()
-        deviation = rows.agg(F.stddev_pop(value).alias("s")).scalar()
-        scale = F.when(apart * 1.4826 >= 1e-12, apart * 1.4826).otherwise(
+    for c, weight in weights.items():
+        deviation = spread.getField(c)
+        scale = F.when(apart[c] * 1.4826 >= 1e-12, apart[c] * 1.4826).otherwise(
             F.when(deviation == 0, F.lit(1.0)).otherwise(F.coalesce(deviation, F.lit(1.0)))
         )
-        score = score + F.lit(weight) * (value - median) / scale
+        score = score + F.lit(weight) * (values[c] - middle[c]) / scale
     return rows.withColumn(name, score)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,8 +41,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so that every later read sees the same rows."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """Write ``df`` to a table in the shared folder and read it from there.
+
+    Every later read sees the same rows, computed once, and survives lost executors; being
+    columnar, the table also serves readers that need only some of its columns.
+    """
+    path = f"{shared_dir(df.sparkSession)}/pinned-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

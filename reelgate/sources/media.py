@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from reelgate.functions.quantiles import exact_quantiles
 from reelgate.functions.scalars import common_codec
 from reelgate.operators.scan import Running, chunk_frames, home_chunk, ordered_scan
+from reelgate.session import pinned
 
 # The suffixes of supported recordings.
 SUFFIXES = (".aac", ".aiff", ".alac", ".flac", ".m4a", ".mp3", ".ogg", ".opus", ".wav")
@@ -440,23 +441,21 @@ def pitch_adherence(
                     errors.append(_adherence(mono[a:b], sr, pitch, half))
                 yield part.assign(error_cents=errors)
 
-    measured = (
+    measured = pinned(
         probes.repartition("path", "__part")
         .sortWithinPartitions("path", "__part", "frame_idx")
         .mapInPandas(run, schema)
+        .select("series_id", "error_cents")
     )
-    inf = F.lit(float("inf"))
-    medians = exact_quantiles(
-        measured.where(F.col("error_cents") < inf), ["series_id"], "error_cents", {"__m": 0.5}
-    )
-    gross = measured.groupBy("series_id").agg(
-        F.avg((F.col("error_cents") > 200).cast("double")).alias("__gross")
+    measurable = F.when(F.col("error_cents") < float("inf"), F.col("error_cents"))
+    gross = F.avg((F.col("error_cents") > 200).cast("double"))
+    found = exact_quantiles(
+        measured, ["series_id"], measurable, {"__m": 0.5}, extras={"__gross": gross}
     )
     return (
         frames.select("series_id")
         .distinct()
-        .join(gross, "series_id", "left")
-        .join(medians, "series_id", "left")
+        .join(found, "series_id", "left")
         .select(
             "series_id",
             F.when(F.col("__gross").isNull(), F.lit(0.0))
