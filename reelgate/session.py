@@ -3,14 +3,35 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application.
+
+    The same as submitting it with ``--py-files``: the driver may have found the package on
+    a path that executors do not have.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_reelgate_shipped", False):
+        return spark
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / "reelgate.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._reelgate_shipped = True
+    return spark
+
+
 def local_session(cores: int | str = 8, name: str = "reelgate") -> SparkSession:
     """A session for tests and benches; on a cluster the caller brings its own."""
-    return (
+    return ship_package(
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(cores))

@@ -39,9 +39,12 @@ def discover_media(
         .where(F.lower("path").rlike(rf"\.({endings})$"))
     )
     columns = ["path", "length", "modificationTime", *(["content"] if content else [])]
-    return files.select(*columns).withColumn(
+    named = files.select(*columns).withColumn(
         "filename", F.regexp_extract("path", r"([^/]+)$", 1)
     )
+    # a listed file is planned as if it were read, a few dozen to a task; bare paths need far
+    # fewer tasks, still several per core
+    return named if content else named.coalesce(8 * spark.sparkContext.defaultParallelism)
 
 
 def in_path_order(files: DataFrame) -> DataFrame:
@@ -197,25 +200,51 @@ def frame_energy(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                first, stop = int(row[4]), int(row[5])
-                edges = np.rint(np.arange(first, stop + 1) * (row.n_samples / row[3])).astype(
-                    np.int64
-                )
-                if stop == row[3]:
-                    edges[-1] = row.n_samples
-                audio = read_samples(row.path, int(edges[0]), int(edges[-1]))
-                yield _frame_sums(row.series_id, first, audio, edges - edges[0])
+            yield from _batched(map(one, pdf.itertuples(index=False)))
+
+    def one(row) -> dict[str, np.ndarray]:
+        first, stop = int(row[4]), int(row[5])
+        edges = np.rint(np.arange(first, stop + 1) * (row.n_samples / row[3])).astype(np.int64)
+        if stop == row[3]:
+            edges[-1] = row.n_samples
+        audio = read_samples(row.path, int(edges[0]), int(edges[-1]))
+        return _frame_sums(row.series_id, first, audio, edges - edges[0])
 
     return _ranges(wanted, "__units", per_task).mapInPandas(run, schema)
 
 
+def _batched(parts: Iterator[dict], rows: int = 50_000) -> Iterator[pd.DataFrame]:
+    """Join the columns of many short recordings into frames of a useful size."""
+    held: list[dict] = []
+    size = 0
+    for part in parts:
+        held.append(part)
+        size += len(part["frame_idx"])
+        if size >= rows:
+            yield _joined(held)
+            held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list[dict]) -> pd.DataFrame:
+    counts = [len(p["frame_idx"]) for p in parts]
+    return pd.DataFrame(
+        {
+            name: np.repeat([p[name] for p in parts], counts)
+            if np.isscalar(parts[0][name])
+            else np.concatenate([p[name] for p in parts])
+            for name in parts[0]
+        }
+    )
+
+
 def _sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
     return total[edges[1:]] - total[edges[:-1]]
 
 
-def _frame_sums(series_id, first: int, audio: np.ndarray, edges: np.ndarray) -> pd.DataFrame:
+def _frame_sums(series_id, first: int, audio: np.ndarray, edges: np.ndarray) -> dict:
     mono = audio.mean(axis=1, dtype=np.float32) if len(audio) else np.zeros(0, np.float32)
     n = np.diff(edges)
     filled = n > 0
@@ -236,20 +265,18 @@ def _frame_sums(series_id, first: int, audio: np.ndarray, edges: np.ndarray) ->
             side[filled] = np.add.reduceat(np.square(0.5 * (left - right)), at)
         else:
             mid[filled] = energy[filled]
-    return pd.DataFrame(
-        {
-            "series_id": series_id,
-            "frame_idx": np.arange(first, first + len(n)),
-            "n": n,
-            "sum_sq": energy,
-            "rms": np.sqrt(energy / np.maximum(n, 1)),
-            "peak": peak,
-            "clipped_n": clipped,
-            "mid_sq": mid,
-            "side_sq": side,
-            "channels": audio.shape[1],
-        }
-    )
+    return {
+        "series_id": series_id,
+        "frame_idx": np.arange(first, first + len(n)),
+        "n": n,
+        "sum_sq": energy,
+        "rms": np.sqrt(energy / np.maximum(n, 1)),
+        "peak": peak,
+        "clipped_n": clipped,
+        "mid_sq": mid,
+        "side_sq": side,
+        "channels": audio.shape[1],
+    }
 
 
 def fixed_frames(recordings: DataFrame, length: int = 2048, per_task: int = 4_096) -> DataFrame:
@@ -261,19 +288,19 @@ def fixed_frames(recordings: DataFrame, length: int = 2048, per_task: int = 4_09
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                first, stop = int(row[4]), int(row[5])
-                audio = read_samples(row.path, first * length, stop * length)
-                mono = audio.mean(axis=1, dtype=np.float32)
-                edges = np.minimum(np.arange(stop - first + 1) * length, len(mono))
-                yield pd.DataFrame(
-                    {
-                        "series_id": row.series_id,
-                        "frame_idx": np.arange(first, stop),
-                        "n": np.diff(edges),
-                        "sum_sq": _sums(np.square(mono, dtype=np.float64), edges),
-                    }
-                )
+            yield from _batched(map(one, pdf.itertuples(index=False)))
+
+    def one(row) -> dict[str, np.ndarray]:
+        first, stop = int(row[4]), int(row[5])
+        audio = read_samples(row.path, first * length, stop * length)
+        mono = audio.mean(axis=1, dtype=np.float32)
+        edges = np.minimum(np.arange(stop - first + 1) * length, len(mono))
+        return {
+            "series_id": row.series_id,
+            "frame_idx": np.arange(first, stop),
+            "n": np.diff(edges),
+            "sum_sq": _sums(np.square(mono, dtype=np.float64), edges),
+        }
 
     return _ranges(wanted, "__units", per_task).mapInPandas(run, schema)
 
@@ -296,29 +323,29 @@ def overlapped_energy(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                size, step, first, stop = int(row[3]), int(row[4]), int(row[6]), int(row[7])
-                begin = first * step
-                lead = 1 if begin > 0 else 0
-                audio = read_samples(row.path, begin - lead, (stop - 1) * step + size)
-                mono = audio.mean(axis=1, dtype=np.float32)
-                change = np.diff(mono, prepend=mono[:1])[lead:]
-                mono = mono[lead:]
-                starts = np.arange(stop - first) * step
-                ends = np.minimum(starts + size, len(mono))
-                width = np.maximum(ends - starts, 1)
-                levels = []
-                for values in (mono, change):
-                    total = np.concatenate([[0.0], np.cumsum(np.square(values, dtype=np.float64))])
-                    levels.append(np.sqrt(np.maximum((total[ends] - total[starts]) / width, 0.0)))
-                yield pd.DataFrame(
-                    {
-                        "series_id": row.series_id,
-                        "frame_idx": np.arange(first, stop),
-                        "rms": levels[0],
-                        "detail_rms": levels[1],
-                    }
-                )
+            yield from _batched(map(one, pdf.itertuples(index=False)))
+
+    def one(row) -> dict[str, np.ndarray]:
+        size, step, first, stop = int(row[3]), int(row[4]), int(row[6]), int(row[7])
+        begin = first * step
+        lead = 1 if begin > 0 else 0
+        audio = read_samples(row.path, begin - lead, (stop - 1) * step + size)
+        mono = audio.mean(axis=1, dtype=np.float32)
+        change = np.diff(mono, prepend=mono[:1])[lead:]
+        mono = mono[lead:]
+        starts = np.arange(stop - first) * step
+        ends = np.minimum(starts + size, len(mono))
+        width = np.maximum(ends - starts, 1)
+        levels = []
+        for values in (mono, change):
+            total = np.concatenate([[0.0], np.cumsum(np.square(values, dtype=np.float64))])
+            levels.append(np.sqrt(np.maximum((total[ends] - total[starts]) / width, 0.0)))
+        return {
+            "series_id": row.series_id,
+            "frame_idx": np.arange(first, stop),
+            "rms": levels[0],
+            "detail_rms": levels[1],
+        }
 
     return _ranges(wanted, "__units", per_task).mapInPandas(run, schema)
 
@@ -488,16 +515,16 @@ def read_contours(files: DataFrame, per_task: int = 262_144) -> tuple[DataFrame,
 
     def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                first, stop = int(row[4]), int(row[5])
-                dtype, _, offset = _npy_header(row.path)
-                with _open(row.path) as stream:
-                    stream.seek(offset + first * dtype.itemsize)
-                    raw = stream.read((stop - first) * dtype.itemsize)
-                f0 = np.frombuffer(raw, dtype).astype(np.float32).astype(np.float64)
-                yield pd.DataFrame(
-                    {"series_id": row.series_id, "frame_idx": np.arange(first, stop), "f0": f0}
-                )
+            yield from _batched(map(one, pdf.itertuples(index=False)))
+
+    def one(row) -> dict[str, np.ndarray]:
+        first, stop = int(row[4]), int(row[5])
+        dtype, _, offset = _npy_header(row.path)
+        with _open(row.path) as stream:
+            stream.seek(offset + first * dtype.itemsize)
+            raw = stream.read((stop - first) * dtype.itemsize)
+        f0 = np.frombuffer(raw, dtype).astype(np.float32).astype(np.float64)
+        return {"series_id": row.series_id, "frame_idx": np.arange(first, stop), "f0": f0}
 
     known = files.select("series_id", "path").mapInPandas(heads, head_schema)
     frames = _ranges(known.where(F.col("error").isNull()), "n_frames", per_task).mapInPandas(
