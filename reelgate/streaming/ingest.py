@@ -17,6 +17,7 @@ def media_stream(spark: SparkSession, root: str, suffixes: Sequence[str]) -> Dat
     endings = "|".join(s.lstrip(".") for s in suffixes)
     files = (
         spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("recursiveFileLookup", "true")
         .load(root)
         .where(F.lower("path").rlike(rf"\.({endings})$"))
