@@ -7,6 +7,7 @@ from reelgate.catalogue import (  # noqa: F401
     identity,
     lineage,
     media,
+    plugins,
     selection,
     sequences,
 )

@@ -42,7 +42,7 @@ range AS (SELECT series_id, least(quantile_cont(db, 0.95) - quantile_cont(db, 0.
 )
 def series_metrics(spark, d):
     frames = (
-        event_frames(spark, d)
+        event_frames(spark, d, stored=True)
         .withColumn("peak", F.col("rms"))
         .withColumn("clipped_n", (F.col("rms") > 0.5).cast("long"))
         .withColumn("n", F.lit(1).cast("long"))
@@ -125,7 +125,7 @@ def active_rms(spark, d):
     SELECT series_id, round(v, 6) AS balance_db FROM (SELECT DISTINCT series_id FROM a) LEFT JOIN x USING (series_id)""",
 )
 def balance(spark, d):
-    frames = event_frames(spark, d).select("series_id", "frame_idx", "rms")
+    frames = event_frames(spark, d, stored=True).select("series_id", "frame_idx", "rms")
     other = frames.withColumn("series_id", F.col("series_id") - 1)
     return rounded(measure.balance_db(frames, other))
 
@@ -166,7 +166,7 @@ def pitch_error(spark, d):
     FROM v JOIN k USING (series_id) GROUP BY ALL""",
 )
 def level_match(spark, d):
-    frames = event_frames(spark, d)
+    frames = event_frames(spark, d, stored=True)
     guide = frames.select("series_id", "frame_idx", "f0", F.col("rms").alias("guide_rms"))
     other = frames.select(
         (F.col("series_id") - 1).alias("series_id"), "frame_idx", F.col("rms").alias("other_rms")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelgate.operators.frames import number_frames
+from reelgate.session import pinned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,12 +37,13 @@ FRAMES_SQL = """frames AS (
   FROM events)"""
 
 
-def event_frames(spark: SparkSession, folder: str) -> DataFrame:
+def event_frames(spark: SparkSession, folder: str, stored: bool = False) -> DataFrame:
+    """``stored`` writes the numbered frames once, for queries that read them many times."""
     rows = table(spark, folder, "events").select(
         F.col("user_id").alias("series_id"), "ts", "event_id", "event_type", "value"
     )
     numbered = number_frames(rows, ["series_id"], ["ts", "event_id"])
-    return numbered.select(
+    frames = numbered.select(
         "series_id",
         "frame_idx",
         "value",
@@ -49,6 +51,7 @@ def event_frames(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("value") > 10, F.col("value")).otherwise(F.lit(0.0)).alias("f0"),
         (F.col("value") / 500).alias("rms"),
     )
+    return pinned(frames) if stored else frames
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -392,11 +392,14 @@ def _bank(spark, d):
         (key % 19).alias("parent_source_sha256"),
         F.when(key % 17 != 0, F.col("c_acctbal") > 3000).alias("quality"),
     )
-    zero = references.select(F.lit(0).cast("long").alias("sha256")).distinct()
-    stems = references.select(F.col("source_stem_sha256").alias("sha256")).distinct().where("sha256 <> 0")
-    return select.reconcile_bank(
-        references, zero, zero.withColumnRenamed("sha256", "song_id"), stems, F.col("quality")
+    sources = references.where("parent_source_sha256 = 0").select(
+        F.col("parent_source_sha256").alias("sha256")
     )
+    songs = references.where("source_song_id = 0").select(F.col("source_song_id").alias("song_id"))
+    stems = references.where("source_stem_sha256 <> 0").select(
+        F.col("source_stem_sha256").alias("sha256")
+    )
+    return select.reconcile_bank(references, sources, songs, stems, F.col("quality"))
 
 
 @query(

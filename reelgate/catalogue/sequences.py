@@ -8,6 +8,7 @@ from reelgate.catalogue.registry import FRAMES_SQL, event_frames, query, rounded
 from reelgate.operators import sequence, tempo
 from reelgate.operators.frames import series_lengths
 from reelgate.plans.rhythm import analyse_rhythm
+from reelgate.session import pinned
 
 _N_SQL = "n AS (SELECT series_id, count(*) AS n FROM frames GROUP BY 1)"
 
@@ -144,7 +145,7 @@ runs AS (SELECT series_id, min(frame_idx) AS s, max(frame_idx) + 1 AS e, count(*
     FROM (SELECT DISTINCT series_id FROM frames) LEFT JOIN runs USING (series_id) GROUP BY 1""",
 )
 def sustained_runs(spark, d):
-    flagged = sequence.with_dropouts(event_frames(spark, d), factor=0.7)
+    flagged = sequence.with_dropouts(event_frames(spark, d, stored=True), factor=0.7)
     return sequence.sustained_runs(flagged, 3)
 
 
@@ -157,7 +158,7 @@ def sustained_runs(spark, d):
 )
 def run_classes(spark, d):
     flagged = (
-        sequence.with_dropouts(event_frames(spark, d), factor=0.7)
+        sequence.with_dropouts(event_frames(spark, d, stored=True), factor=0.7)
         .withColumn("n", F.lit(1))
         .withColumn("sum_sq", F.col("rms") * F.col("rms"))
     )
@@ -254,7 +255,7 @@ def phrase_coverage(spark, d):
     FROM (SELECT DISTINCT series_id FROM frames) LEFT JOIN x USING (series_id) GROUP BY 1""",
 )
 def join_jumps(spark, d):
-    frames = event_frames(spark, d).select("series_id", "frame_idx", "f0", "rms")
+    frames = event_frames(spark, d, stored=True).select("series_id", "frame_idx", "f0", "rms")
     following = frames.select(
         "series_id", (F.col("frame_idx") - 1).alias("frame_idx"), F.col("rms").alias("after_rms")
     )
@@ -302,7 +303,7 @@ def relative_level(spark, d):
     UNION ALL SELECT series_id, arg_max(frame_idx, rn), round(arg_max(value, rn), 6) FROM s GROUP BY series_id""",
 )
 def peak_pick(spark, d):
-    frames = event_frames(spark, d).select("series_id", "frame_idx", "value")
+    frames = event_frames(spark, d, stored=True).select("series_id", "frame_idx", "value")
     return rounded(sequence.peak_pick(frames, minimum_gap=4))
 
 
@@ -326,7 +327,7 @@ def _pieces(spark, d):
 
 @query("overlap_stitch")
 def overlap_stitch(spark, d):
-    pieces = _pieces(spark, d)
+    pieces = pinned(_pieces(spark, d))
     lengths = pieces.groupBy("series_id").agg(F.max("end").alias("total"))
     joined, _, _ = sequence.overlap_stitch(pieces, lengths)
     return rounded(joined)
@@ -348,7 +349,7 @@ def overlap_stitch(spark, d):
     SELECT series_id, piece_idx, round(gain, 6) AS join_gain_db FROM g""",
 )
 def stitch_gains(spark, d):
-    pieces = _pieces(spark, d)
+    pieces = pinned(_pieces(spark, d))
     lengths = pieces.groupBy("series_id").agg(F.max("end").alias("total"))
     _, gains, _ = sequence.overlap_stitch(pieces, lengths)
     return rounded(gains)
@@ -358,7 +359,8 @@ RATE = 6.0  # frames per second at which the sample series is read as a rhythm
 
 
 def _envelope(spark, d):
-    return event_frames(spark, d).select("series_id", "frame_idx", "rms", F.col("value"))
+    frames = event_frames(spark, d, stored=True)
+    return frames.select("series_id", "frame_idx", "rms", "value")
 
 
 _LAGS_SQL = """b AS (SELECT 55 + 135 * i / 540.0::DOUBLE AS bpm FROM (SELECT unnest(range(0, 541)) AS i)),
@@ -384,7 +386,7 @@ def tempo_query(spark, d):
 
 @query("song_rhythm")
 def song_rhythm(spark, d):
-    frames = event_frames(spark, d).withColumn("detail_rms", F.abs(F.col("rms") - F.col("f0") / 500))
+    frames = event_frames(spark, d, stored=True).withColumn("detail_rms", F.abs(F.col("rms") - F.col("f0") / 500))
     durations = series_lengths(frames).select(
         "series_id", (F.col("n_frames") / RATE).alias("duration_seconds")
     )

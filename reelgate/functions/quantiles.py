@@ -78,18 +78,15 @@ def exact_quantiles(
 
 def medians(
     df: DataFrame, columns: dict[str, Column], *, large: bool | None = None
-) -> dict[str, Column]:
-    """Medians over the whole table, one scalar column each, from one pass where it fits."""
+) -> dict[str, float | None]:
+    """Medians over the whole table, one number per column, from one pass where it fits."""
     if large is None:
         large = has_large_group(df, [])
     if large:
         return {
-            name: exact_quantiles(df, [], column, {"q": 0.5}, large=True).scalar()
+            name: exact_quantiles(df, [], column, {"q": 0.5}, large=True).first()["q"]
             for name, column in columns.items()
         }
-    packed = df.agg(
-        F.struct(
-            *[F.percentile(c.cast("double"), F.lit(0.5)).alias(n) for n, c in columns.items()]
-        ).alias("q")
-    ).scalar()
-    return {name: packed.getField(name) for name in columns}
+    return df.agg(
+        *[F.percentile(c.cast("double"), F.lit(0.5)).alias(n) for n, c in columns.items()]
+    ).first().asDict()

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from reelgate.session import pinned
 
 #: Rows of one group that a single window task may sort. Setting: reelgate.groupRows
-GROUP_ROWS = 2_000_000
+GROUP_ROWS = 500_000
 #: Frames of one series kept together (about 22 minutes at 50 frames a second).
 #: Setting: reelgate.chunkFrames
 CHUNK_FRAMES = 65_536

@@ -375,10 +375,14 @@ def non_overlapping_topk(
     key = list(key)
     columns = candidates.columns
     order = [*score, start]
-    if grid is None:
-        return _topk_rounds(candidates, k, spacing, key, order, start)
-    ruled_out = 2 * (math.ceil(spacing / grid) - 1) + 1
+    ruled_out = 2 * (math.ceil(spacing / grid) - 1) + 1 if grid is not None else 0
     reach = (k - 1) * ruled_out + 1
+    # beyond this many rows per key Spark no longer limits the groups before the shuffle
+    limit = int(
+        candidates.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
+    )
+    if grid is None or reach > limit:
+        return _topk_rounds(candidates, k, spacing, key, order, start)
     front = Window.partitionBy(*key).orderBy(*order)
     rest = [c for c in columns if c not in key]
     packed = F.struct(*order, *[c for c in rest if c not in order])

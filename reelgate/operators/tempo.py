@@ -192,15 +192,14 @@ def robust_zscore(
     large = has_large_group(rows, [])
     values = {c: F.col(c).cast("double") for c in weights}
     middle = medians(rows, values, large=large)
+    spread = rows.agg(*[F.stddev_pop(v).alias(c) for c, v in values.items()]).first()
     apart = medians(rows, {c: F.abs(v - middle[c]) for c, v in values.items()}, large=large)
-    spread = rows.agg(
-        F.struct(*[F.stddev_pop(v).alias(c) for c, v in values.items()]).alias("s")
-    ).scalar()
     score = F.lit(0.0)
     for c, weight in weights.items():
-        deviation = spread.getField(c)
-        scale = F.when(apart[c] * 1.4826 >= 1e-12, apart[c] * 1.4826).otherwise(
-            F.when(deviation == 0, F.lit(1.0)).otherwise(F.coalesce(deviation, F.lit(1.0)))
-        )
+        if middle[c] is None:
+            return rows.withColumn(name, F.lit(None).cast("double"))
+        scale = apart[c] * 1.4826
+        if scale < 1e-12:
+            scale = spread[c] or 1.0
         score = score + F.lit(weight) * (values[c] - middle[c]) / scale
     return rows.withColumn(name, score)

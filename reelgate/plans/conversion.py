@@ -46,19 +46,23 @@ def phrase_targets(
     level = inside.groupBy(*group).agg(
         amplitude_db(F.sqrt(F.avg(F.col("rms") * F.col("rms")))).alias("target_level_db")
     )
-    pitch = exact_quantiles(inside.where("f0 > 0"), group, "f0", {"target_pitch": 0.5})
+    # a phrase is bounded by its longest duration, so its median needs no check for size
+    pitch = exact_quantiles(
+        inside.where("f0 > 0"), group, "f0", {"target_pitch": 0.5}, large=False
+    )
     return phrases.join(level, group, "left").join(pitch, group, "left"), bad
 
 
-def decide(candidates: DataFrame, thresholds: DataFrame) -> Conversion:
+def decide(candidates: DataFrame, thresholds: DataFrame, **limits: float) -> Conversion:
     """Gate and select the candidates of every phrase.
 
     ``candidates``: run_id, phrase_index, candidate_index and measurements; ``thresholds``:
-    run_id, identity_window_threshold, joined_dropout_count.
+    run_id, identity_window_threshold, joined_dropout_count. ``limits`` override those of the
+    candidate gate.
     """
     keys = ["run_id", "phrase_index"]
     gated = select.candidate_passes(
-        candidates.join(thresholds, "run_id"), F.col("identity_window_threshold")
+        candidates.join(thresholds, "run_id"), F.col("identity_window_threshold"), **limits
     )
     chosen = select.select_candidate(gated, keys)
     failures = chosen.where("phrase_failed").select(*keys, "candidate_index", "identity_similarity")
