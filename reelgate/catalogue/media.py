@@ -16,7 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelgate.catalogue.registry import query, rounded, table
+from reelgate.catalogue.registry import (
+    gap_fill_sql,
+    query,
+    rounded,
+    spike_repair_sql,
+    table,
+)
 from reelgate.operators.sequence import clean_contour
 from reelgate.plans import curation, ingestion
 from reelgate.session import pinned, shared_dir
@@ -124,12 +130,15 @@ b AS (SELECT doc_id, n, unnest(l) AS p, generate_subscripts(l, 1) - 1 AS i FROM
 x AS (SELECT doc_id, n, i, (('0x' || p)::INT - 128) / 128 AS x FROM b)"""
 
 
-@query(
-    "frame_energy",
-    f"""WITH {_BYTES_SQL}, y AS (SELECT *, ceil(n / 160)::BIGINT AS f FROM x),
+_ENERGY_SQL = f"""{_BYTES_SQL}, y AS (SELECT *, ceil(n / 160)::BIGINT AS f FROM x),
     z AS (SELECT *, least(floor(i / (n / f))::BIGINT, f - 1) AS g FROM y),
     k AS (SELECT doc_id, x, CASE WHEN g + 1 < f AND i >= round_even((g + 1) * (n / f), 0) THEN g + 1
-      WHEN i < round_even(g * (n / f), 0) THEN g - 1 ELSE g END AS k FROM z)
+      WHEN i < round_even(g * (n / f), 0) THEN g - 1 ELSE g END AS k FROM z)"""
+
+
+@query(
+    "frame_energy",
+    f"""WITH {_ENERGY_SQL}
     SELECT doc_id AS series_id, k AS frame_idx, count(*) AS n, round(sum(x * x), 6) AS sum_sq, round(sqrt(avg(x * x)), 6) AS rms,
       round(max(abs(x)), 6) AS peak, count(*) FILTER (abs(x) >= 0.999) AS clipped_n
     FROM k GROUP BY 1, 2""",
@@ -219,12 +228,18 @@ def contours(spark, d):
     )
 
 
-@query("clean_contours")
+@query(
+    "clean_contours",
+    f"""WITH RECURSIVE {_ENERGY_SQL},
+    raw AS (SELECT doc_id AS series_id, k AS frame_idx, CASE WHEN sqrt(avg(x * x)) > 0.3 THEN 400 * (sqrt(avg(x * x)) - 0.29) ELSE 0 END AS f0 FROM k GROUP BY 1, 2),
+    {gap_fill_sql("raw", "filled", 6, 700)}, {spike_repair_sql("filled", "repaired", 100, 700)}
+    SELECT series_id, frame_idx, round(f0, 6) AS f0 FROM repaired""",
+)
 def clean_contours(spark, d):
     frames = pinned(media.frame_energy(_recordings(spark, d))).select(
         "series_id",
         "frame_idx",
-        F.when(F.col("rms") > 0.18, 400 * F.col("rms")).otherwise(F.lit(0.0)).alias("f0"),
+        F.when(F.col("rms") > 0.3, 400 * (F.col("rms") - 0.29)).otherwise(F.lit(0.0)).alias("f0"),
     )
     return rounded(clean_contour(frames))
 

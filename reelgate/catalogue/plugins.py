@@ -7,7 +7,15 @@ import re
 import pandas as pd
 from pyspark.sql import functions as F
 
-from reelgate.catalogue.registry import FRAMES_SQL, event_frames, query, rounded, table
+from reelgate.catalogue.registry import (
+    FRAMES_SQL,
+    event_frames,
+    gap_fill_sql,
+    query,
+    rounded,
+    spike_repair_sql,
+    table,
+)
 from reelgate.catalogue.selection import _CANDS_SQL, _candidates
 from reelgate.operators.extension import extract_features, transform_series
 from reelgate.operators.sequence import plan_phrases
@@ -54,7 +62,21 @@ def transformed_series(spark, d):
     return rounded(out)
 
 
-@query("phrase_targets")
+@query(
+    "phrase_targets",
+    f"""WITH RECURSIVE {FRAMES_SQL}, {gap_fill_sql("frames", "filled", 6, 700)}, {spike_repair_sql("filled", "clean", 100, 700)},
+    n AS (SELECT series_id, count(*) AS n, count(*) / 50 AS d FROM frames GROUP BY 1),
+    c AS (SELECT *, CASE WHEN d <= 0.5 THEN 1 ELSE ceil((d - 0.1::DOUBLE) / (0.5::DOUBLE - 0.1::DOUBLE)) END AS c0 FROM n),
+    w AS (SELECT *, CASE WHEN d <= 0.5 OR (d + (c0 - 1) * 0.1::DOUBLE) / c0 >= 0.3 THEN c0 ELSE greatest(floor((d - 0.1::DOUBLE) / (0.3::DOUBLE - 0.1::DOUBLE)), 1) END AS c FROM c),
+    g AS (SELECT *, (d + (c - 1) * 0.1::DOUBLE) / c AS len FROM w),
+    p AS (SELECT series_id, n, c, len, unnest(range(0, c::BIGINT)) AS i FROM g WHERE d <= 0.5 OR len BETWEEN 0.3 AND 0.5),
+    s AS (SELECT *, CASE WHEN i = 0 THEN 0 ELSE round_even(i * ((len - 0.1::DOUBLE) * 50), 0) END AS st FROM p),
+    ph AS (SELECT series_id, i AS phrase_idx, st::BIGINT AS start_frame, (CASE WHEN i = c - 1 THEN n ELSE round_even(st + len * 50, 0) END)::BIGINT AS end_frame FROM s)
+    SELECT 'x' AS artist_id, ph.series_id, phrase_idx, start_frame, end_frame, round(20 * log10(greatest(sqrt(avg(rms * rms)), 1e-12)), 6) AS target_level_db,
+      round(quantile_cont(cl.f0, 0.5) FILTER (cl.f0 > 0), 6) AS target_pitch
+    FROM ph LEFT JOIN clean cl ON cl.series_id = ph.series_id AND cl.frame_idx >= start_frame AND cl.frame_idx < end_frame
+    LEFT JOIN frames f ON f.series_id = cl.series_id AND f.frame_idx = cl.frame_idx GROUP BY ALL""",
+)
 def phrase_targets(spark, d):
     frames = pinned(
         event_frames(spark, d).select(

@@ -62,3 +62,22 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
             for name, kind in df.dtypes
         ]
     )
+
+
+def gap_fill_sql(source: str, target: str, gap: int, cents: float) -> str:
+    """CTEs that fill short gaps of ``source`` (series_id, frame_idx, f0)."""
+    return f"""{target}_p AS (SELECT *, max(CASE WHEN f0 > 0 THEN frame_idx END) OVER (PARTITION BY series_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pi,
+      min(CASE WHEN f0 > 0 THEN frame_idx END) OVER (PARTITION BY series_id ORDER BY frame_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS qi FROM {source}),
+    {target} AS (SELECT p.series_id, p.frame_idx, CASE WHEN p.f0 = 0 AND qi - pi - 1 <= {gap} AND abs(1200 * log2(b.f0 / a.f0)) <= {cents}
+      THEN a.f0 * pow(b.f0 / a.f0, (p.frame_idx - pi) / (qi - pi)) ELSE p.f0 END AS f0 FROM {target}_p p
+      LEFT JOIN {source} a ON a.series_id = p.series_id AND a.frame_idx = pi LEFT JOIN {source} b ON b.series_id = p.series_id AND b.frame_idx = qi)"""
+
+
+def spike_repair_sql(source: str, target: str, neighbour: float, spike: float) -> str:
+    """Recursive CTEs that walk ``source`` and repair octave errors in order."""
+    return f"""{target}_x AS (SELECT series_id, frame_idx, f0,
+        lead(f0) OVER (PARTITION BY series_id ORDER BY frame_idx) AS q FROM {source}),
+    {target} AS (SELECT series_id, frame_idx, f0 FROM {target}_x WHERE frame_idx = 0
+      UNION ALL SELECT x.series_id, x.frame_idx, CASE WHEN x.q IS NOT NULL AND r.f0 > 0 AND x.f0 > 0 AND x.q > 0
+        AND abs(1200 * log2(x.q / r.f0)) <= {neighbour} AND least(abs(1200 * log2(x.f0 / r.f0)), abs(1200 * log2(x.f0 / x.q))) >= {spike}
+        THEN sqrt(r.f0 * x.q) ELSE x.f0 END FROM {target} r JOIN {target}_x x ON x.series_id = r.series_id AND x.frame_idx = r.frame_idx + 1)"""

@@ -281,7 +281,7 @@ m AS (SELECT series_id, start_frame, abs(avg((f0 > 0)::INT) - 0.82) AS a, round(
 c0 AS (SELECT * FROM m JOIN ok USING (series_id, start_frame))"""
 
 
-def _topk_sql(k: int, spacing: int, grouped: str = "series_id") -> str:
+def topk_sql(k: int, spacing: int, grouped: str = "series_id") -> str:
     steps = []
     for i in range(1, k + 1):
         steps.append(
@@ -294,7 +294,7 @@ def _topk_sql(k: int, spacing: int, grouped: str = "series_id") -> str:
 
 @query(
     "non_overlapping_topk",
-    f"WITH {FRAMES_SQL}, {_SPACED_SQL}, {_topk_sql(4, 10)} SELECT series_id, start_frame, round(a, 6) AS a, b FROM picked",
+    f"WITH {FRAMES_SQL}, {_SPACED_SQL}, {topk_sql(4, 10)} SELECT series_id, start_frame, round(a, 6) AS a, b FROM picked",
 )
 def non_overlapping_topk(spark, d):
     out = select.non_overlapping_topk(
@@ -305,7 +305,7 @@ def non_overlapping_topk(spark, d):
 
 @query(
     "train_validation_split",
-    f"""WITH {FRAMES_SQL}, {_SPACED_SQL}, {_topk_sql(4, 10)}, n AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY start_frame) AS rn,
+    f"""WITH {FRAMES_SQL}, {_SPACED_SQL}, {topk_sql(4, 10)}, n AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY start_frame) AS rn,
       count(*) OVER (PARTITION BY series_id) AS n FROM picked)
     SELECT series_id, start_frame, CASE WHEN n > 1 AND rn = n THEN 'validation' ELSE 'train' END AS split,
       CASE WHEN n > 1 AND rn = n THEN 0 ELSE rn - 1 END AS segment_idx FROM n""",
@@ -322,7 +322,7 @@ def train_validation_split(spark, d):
 
 @query(
     "split_counts",
-    f"""WITH {FRAMES_SQL}, {_SPACED_SQL}, {_topk_sql(4, 10)} SELECT series_id, CASE WHEN count(*) > 1 THEN count(*) - 1 ELSE 1 END AS training_segments,
+    f"""WITH {FRAMES_SQL}, {_SPACED_SQL}, {topk_sql(4, 10)} SELECT series_id, CASE WHEN count(*) > 1 THEN count(*) - 1 ELSE 1 END AS training_segments,
       (CASE WHEN count(*) > 1 THEN 1 ELSE 0 END)::BIGINT AS validation_segments, NULL::VARCHAR AS violation FROM picked GROUP BY 1""",
 )
 def split_counts(spark, d):
@@ -338,7 +338,7 @@ def split_counts(spark, d):
 @query(
     "distinct_topk",
     f"""WITH c0 AS (SELECT l_suppkey AS series_id, (l_extendedprice / 500)::BIGINT AS start_frame, min(l_quantity) AS a, 0 AS b FROM lineitem GROUP BY 1, 2),
-    {_topk_sql(3, 40)} SELECT series_id, start_frame, a FROM picked""",
+    {topk_sql(3, 40)} SELECT series_id, start_frame, a FROM picked""",
 )
 def distinct_topk(spark, d):
     values = table(spark, d, "lineitem").groupBy(

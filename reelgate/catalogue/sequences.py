@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reelgate.catalogue.registry import FRAMES_SQL, event_frames, query, rounded, table
+from reelgate.catalogue.registry import (
+    FRAMES_SQL,
+    event_frames,
+    gap_fill_sql,
+    query,
+    rounded,
+    spike_repair_sql,
+    table,
+)
+from reelgate.catalogue.selection import topk_sql
 from reelgate.operators import sequence, tempo
 from reelgate.operators.frames import series_lengths
 from reelgate.plans.rhythm import analyse_rhythm
@@ -83,12 +92,8 @@ def phrase_plan(spark, d):
 
 @query(
     "gap_fill",
-    f"""WITH {FRAMES_SQL}, p AS (SELECT *, max(CASE WHEN f0 > 0 THEN frame_idx END) OVER (PARTITION BY series_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pi,
-      min(CASE WHEN f0 > 0 THEN frame_idx END) OVER (PARTITION BY series_id ORDER BY frame_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS qi FROM frames),
-    j AS (SELECT p.series_id, p.frame_idx, p.f0, pi, qi, a.f0 AS pv, b.f0 AS qv FROM p
-      LEFT JOIN frames a ON a.series_id = p.series_id AND a.frame_idx = pi LEFT JOIN frames b ON b.series_id = p.series_id AND b.frame_idx = qi)
-    SELECT series_id, frame_idx, round(CASE WHEN f0 = 0 AND qi - pi - 1 <= 2 AND abs(1200 * log2(qv / pv)) <= 1500
-      THEN pv * pow(qv / pv, (frame_idx - pi) / (qi - pi)) ELSE f0 END, 6) AS f0 FROM j""",
+    f"""WITH {FRAMES_SQL}, {gap_fill_sql("frames", "filled", 2, 1500)}
+    SELECT series_id, frame_idx, round(f0, 6) AS f0 FROM filled""",
 )
 def gap_fill(spark, d):
     frames = event_frames(spark, d).select("series_id", "frame_idx", "f0")
@@ -97,13 +102,8 @@ def gap_fill(spark, d):
 
 @query(
     "spike_repair",
-    f"""WITH RECURSIVE {FRAMES_SQL}, x AS (SELECT series_id, frame_idx, f0,
-        lag(f0) OVER w AS p, lead(f0) OVER w AS q FROM frames WINDOW w AS (PARTITION BY series_id ORDER BY frame_idx)),
-    r AS (SELECT series_id, frame_idx, f0 AS v FROM x WHERE frame_idx = 0
-      UNION ALL SELECT x.series_id, x.frame_idx, CASE WHEN x.q IS NOT NULL AND r.v > 0 AND x.f0 > 0 AND x.q > 0
-        AND abs(1200 * log2(x.q / r.v)) <= 900 AND least(abs(1200 * log2(x.f0 / r.v)), abs(1200 * log2(x.f0 / x.q))) >= 1900
-        THEN sqrt(r.v * x.q) ELSE x.f0 END FROM r JOIN x ON x.series_id = r.series_id AND x.frame_idx = r.frame_idx + 1)
-    SELECT series_id, frame_idx, round(v, 6) AS f0 FROM r""",
+    f"""WITH RECURSIVE {FRAMES_SQL}, {spike_repair_sql("frames", "repaired", 900, 1900)}
+    SELECT series_id, frame_idx, round(f0, 6) AS f0 FROM repaired""",
 )
 def spike_repair(spark, d):
     frames = event_frames(spark, d).select("series_id", "frame_idx", "f0")
@@ -325,7 +325,27 @@ def _pieces(spark, d):
     ).where(F.col("end") - F.col("start") >= 4)
 
 
-@query("overlap_stitch")
+_STITCH_SQL = f"""{FRAMES_SQL},
+    p AS (SELECT series_id, unnest(list_distinct([frame_idx // 8, greatest((frame_idx - 2) // 8, 0)])) AS piece_idx, frame_idx, rms FROM frames),
+    q AS (SELECT series_id, piece_idx, min(frame_idx) AS s, max(frame_idx) + 1 AS e FROM p GROUP BY ALL HAVING max(frame_idx) + 1 - min(frame_idx) >= 4),
+    n AS (SELECT *, row_number() OVER w AS rn, lag(e) OVER w AS pe, lead(s) OVER w AS ns FROM q WINDOW w AS (PARTITION BY series_id ORDER BY s)),
+    l AS (SELECT n.series_id, n.piece_idx, rn, s, e, CASE WHEN pe IS NULL THEN 0 ELSE greatest(least(pe, e) - s, 0) END AS head, greatest(e - coalesce(ns, e), 0) AS tail,
+      coalesce(sqrt(avg(rms * rms) FILTER (f.frame_idx < pe)), 0) AS hr, coalesce(sqrt(avg(rms * rms) FILTER (f.frame_idx >= ns)), 0) AS tr
+      FROM n JOIN frames f ON f.series_id = n.series_id AND f.frame_idx >= s AND f.frame_idx < e GROUP BY n.series_id, n.piece_idx, rn, pe, ns, e, s),
+    g AS (SELECT series_id, piece_idx, rn, s, e, head, tail, 0::DOUBLE AS gain, tr FROM l WHERE rn = 1
+      UNION ALL SELECT l.series_id, l.piece_idx, l.rn, l.s, l.e, l.head, l.tail, CASE WHEN l.head > 0 AND g.tr * pow(10, g.gain / 20) > 1e-8 AND l.hr > 1e-8
+        THEN greatest(-6, least(6, 20 * log10(g.tr * pow(10, g.gain / 20) / l.hr))) ELSE 0 END, l.tr
+        FROM g JOIN l ON l.series_id = g.series_id AND l.rn = g.rn + 1)"""
+
+
+@query(
+    "overlap_stitch",
+    f"""WITH RECURSIVE {_STITCH_SQL}
+    SELECT f.series_id, f.frame_idx AS idx, round(sum(rms * pow(10, gain / 20)
+      * CASE WHEN f.frame_idx - s < head THEN sin((f.frame_idx - s) / greatest(head - 1, 1) * pi() / 2) ELSE 1 END
+      * CASE WHEN f.frame_idx >= e - tail THEN cos((f.frame_idx - e + tail) / greatest(tail - 1, 1) * pi() / 2) ELSE 1 END), 6) AS value
+    FROM g JOIN frames f ON f.series_id = g.series_id AND f.frame_idx >= s AND f.frame_idx < e GROUP BY 1, 2""",
+)
 def overlap_stitch(spark, d):
     pieces = pinned(_pieces(spark, d))
     lengths = pieces.groupBy("series_id").agg(F.max("end").alias("total"))
@@ -335,18 +355,7 @@ def overlap_stitch(spark, d):
 
 @query(
     "stitch_gains",
-    f"""WITH RECURSIVE {FRAMES_SQL},
-    p AS (SELECT series_id, unnest(list_distinct([frame_idx // 8, greatest((frame_idx - 2) // 8, 0)])) AS piece_idx, frame_idx, rms FROM frames),
-    q AS (SELECT series_id, piece_idx, min(frame_idx) AS s, max(frame_idx) + 1 AS e FROM p GROUP BY ALL HAVING max(frame_idx) + 1 - min(frame_idx) >= 4),
-    n AS (SELECT *, row_number() OVER w AS rn, lag(e) OVER w AS pe, lead(s) OVER w AS ns FROM q WINDOW w AS (PARTITION BY series_id ORDER BY s)),
-    l AS (SELECT n.series_id, n.piece_idx, rn, greatest(coalesce(least(pe, e), 0) - s, 0) AS head,
-      coalesce(sqrt(avg(rms * rms) FILTER (f.frame_idx < pe)), 0) AS hr, coalesce(sqrt(avg(rms * rms) FILTER (f.frame_idx >= ns)), 0) AS tr
-      FROM n JOIN frames f ON f.series_id = n.series_id AND f.frame_idx >= s AND f.frame_idx < e GROUP BY n.series_id, n.piece_idx, rn, pe, e, s),
-    g AS (SELECT series_id, piece_idx, rn, 0::DOUBLE AS gain, tr FROM l WHERE rn = 1
-      UNION ALL SELECT l.series_id, l.piece_idx, l.rn, CASE WHEN l.head > 0 AND g.tr * pow(10, g.gain / 20) > 1e-8 AND l.hr > 1e-8
-        THEN greatest(-6, least(6, 20 * log10(g.tr * pow(10, g.gain / 20) / l.hr))) ELSE 0 END, l.tr
-        FROM g JOIN l ON l.series_id = g.series_id AND l.rn = g.rn + 1)
-    SELECT series_id, piece_idx, round(gain, 6) AS join_gain_db FROM g""",
+    f"""WITH RECURSIVE {_STITCH_SQL} SELECT series_id, piece_idx, round(gain, 6) AS join_gain_db FROM g""",
 )
 def stitch_gains(spark, d):
     pieces = pinned(_pieces(spark, d))
@@ -379,7 +388,12 @@ def tempo_correlations(spark, d):
     return rounded(tempo.tempo_correlations(_envelope(spark, d), RATE))
 
 
-@query("tempo")
+@query(
+    "tempo",
+    f"""WITH {FRAMES_SQL}, {_LAGS_SQL}, c0 AS (SELECT ac.series_id, bpm AS start_frame, -c AS a, 0 AS b FROM ac JOIN bl USING (lag)),
+    {topk_sql(5, 4)} SELECT series_id, round(start_frame, 6) AS bpm, round(-a, 6) AS correlation,
+      row_number() OVER (PARTITION BY series_id ORDER BY a, start_frame)::INT AS rank FROM picked""",
+)
 def tempo_query(spark, d):
     return rounded(tempo.tempo_candidates(_envelope(spark, d), RATE))
 
