@@ -23,6 +23,7 @@ from reelgate.catalogue.registry import (
     spike_repair_sql,
     table,
 )
+from reelgate.catalogue.selection import topk_sql
 from reelgate.operators.sequence import clean_contour
 from reelgate.plans import curation, ingestion
 from reelgate.session import pinned, shared_dir
@@ -130,7 +131,8 @@ b AS (SELECT doc_id, n, unnest(l) AS p, generate_subscripts(l, 1) - 1 AS i FROM
 x AS (SELECT doc_id, n, i, (('0x' || p)::INT - 128) / 128 AS x FROM b)"""
 
 
-_ENERGY_SQL = f"""{_BYTES_SQL}, y AS (SELECT *, ceil(n / 160)::BIGINT AS f FROM x),
+def _energy_sql(samples: int) -> str:
+    return f"""{_BYTES_SQL}, y AS (SELECT *, ceil(n / {samples})::BIGINT AS f FROM x),
     z AS (SELECT *, least(floor(i / (n / f))::BIGINT, f - 1) AS g FROM y),
     k AS (SELECT doc_id, x, CASE WHEN g + 1 < f AND i >= round_even((g + 1) * (n / f), 0) THEN g + 1
       WHEN i < round_even(g * (n / f), 0) THEN g - 1 ELSE g END AS k FROM z)"""
@@ -138,7 +140,7 @@ _ENERGY_SQL = f"""{_BYTES_SQL}, y AS (SELECT *, ceil(n / 160)::BIGINT AS f FROM
 
 @query(
     "frame_energy",
-    f"""WITH {_ENERGY_SQL}
+    f"""WITH {_energy_sql(FRAME)}
     SELECT doc_id AS series_id, k AS frame_idx, count(*) AS n, round(sum(x * x), 6) AS sum_sq, round(sqrt(avg(x * x)), 6) AS rms,
       round(max(abs(x)), 6) AS peak, count(*) FILTER (abs(x) >= 0.999) AS clipped_n
     FROM k GROUP BY 1, 2""",
@@ -230,7 +232,7 @@ def contours(spark, d):
 
 @query(
     "clean_contours",
-    f"""WITH RECURSIVE {_ENERGY_SQL},
+    f"""WITH RECURSIVE {_energy_sql(FRAME)},
     raw AS (SELECT doc_id AS series_id, k AS frame_idx, CASE WHEN sqrt(avg(x * x)) > 0.3 THEN 400 * (sqrt(avg(x * x)) - 0.29) ELSE 0 END AS f0 FROM k GROUP BY 1, 2),
     {gap_fill_sql("raw", "filled", 6, 700)}, {spike_repair_sql("filled", "repaired", 100, 700)}
     SELECT series_id, frame_idx, round(f0, 6) AS f0 FROM repaired""",
@@ -370,10 +372,33 @@ def ingest_plan(spark, d):
     )
 
 
-@query("curation_plan")
+@query(
+    "curation_plan",
+    f"""WITH {_energy_sql(4)},
+    fr AS (SELECT doc_id, k, sqrt(avg(x * x)) AS rms, max(abs(x)) AS peak FROM k GROUP BY 1, 2),
+    v AS (SELECT *, CASE WHEN peak < 0.9 AND rms >= 0.12 THEN 400 * rms ELSE 0 END AS f0, count(*) OVER (PARTITION BY doc_id) AS n FROM fr),
+    u AS (SELECT *, unnest(range(greatest((k - 500) // 250, 0), k // 250 + 1)) * 250 AS st FROM v WHERE n >= 750),
+    w AS (SELECT * FROM u WHERE k >= st AND k < st + 750 AND st + 750 <= n),
+    m AS (SELECT doc_id, st, avg((f0 > 0)::INT) AS vf, 20 * log10(greatest(sqrt(avg(rms * rms) FILTER (f0 > 0)), 1e-12)) AS act,
+      20 * log10(max(peak)) AS pk, max(peak) AS mp FROM w GROUP BY 1, 2),
+    sec AS (SELECT doc_id, st, (k - st) // 50 AS s, 20 * log10(greatest(sqrt(avg(rms * rms)), 1e-12)) AS db FROM w GROUP BY ALL HAVING avg((f0 > 0)::INT) >= 0.2),
+    rg AS (SELECT doc_id, st, quantile_cont(db, 0.95) - quantile_cont(db, 0.05) AS rng FROM sec GROUP BY 1, 2),
+    isl AS (SELECT doc_id, st, k - row_number() OVER (PARTITION BY doc_id, st ORDER BY k) AS g FROM w WHERE f0 > 0),
+    lr AS (SELECT doc_id, st, max(c) AS c FROM (SELECT doc_id, st, g, count(*) AS c FROM isl GROUP BY ALL) GROUP BY 1, 2),
+    toxic AS (SELECT doc_id FROM labels WHERE toxic = 1),
+    scr AS (SELECT doc_id, st, vf, act, rng FROM m JOIN rg USING (doc_id, st) JOIN lr USING (doc_id, st)
+      WHERE vf BETWEEN 0.72 AND 0.98 AND rng <= 8 AND mp < 0.999 AND act >= -45 AND pk <= -0.1 AND c / 50 >= 1.2 AND st > 0 AND doc_id NOT IN (SELECT doc_id FROM toxic)),
+    top AS (SELECT doc_id, quantile_cont(act, 0.75) AS top FROM scr GROUP BY 1),
+    c0 AS (SELECT doc_id AS series_id, st AS start_frame, abs(vf - 0.82) + rng / 20 + greatest(0, -35 - act) / 20 AS a, 0 AS b
+      FROM scr JOIN top USING (doc_id) WHERE greatest(0, top - act) <= 6),
+    {topk_sql(6, 500)}, cn AS (SELECT series_id, count(*) AS c FROM picked GROUP BY 1)
+    SELECT doc_id::VARCHAR AS song_id, CASE WHEN c IS NULL THEN 0 WHEN c > 1 THEN c - 1 ELSE 1 END AS training_segments,
+      (CASE WHEN c > 1 THEN 1 ELSE 0 END)::BIGINT AS validation_segments FROM documents LEFT JOIN cn ON series_id = doc_id WHERE doc_id NOT IN (SELECT doc_id FROM toxic)
+    UNION ALL SELECT doc_id::VARCHAR, -1, -1 FROM documents WHERE doc_id IN (SELECT doc_id FROM toxic)""",
+)
 def curation_plan(spark, d):
     """The dataset build over the recordings: every document's text is a song of its source."""
-    recordings = _recordings(spark, d)
+    recordings = _recordings(spark, d).withColumn("n_frames", F.ceil(F.col("n_samples") / 4))
     docs = table(spark, d, "documents").select("doc_id", "source", "lang")
     labels = table(spark, d, "labels")
     song = F.col("doc_id").cast("string")
@@ -408,7 +433,9 @@ def curation_plan(spark, d):
         frames = media.frame_energy(wanted)
         return frames.select(
             F.col("series_id").cast("string").alias("song_id"), "frame_idx",
-            F.when(F.col("rms") > 0.24, 400 * F.col("rms")).otherwise(F.lit(0.0)).alias("f0"),
+            F.when((F.col("peak") < 0.9) & (F.col("rms") >= 0.12), 400 * F.col("rms"))
+            .otherwise(F.lit(0.0))
+            .alias("f0"),
             "rms", "peak", "clipped_n", "n", "mid_sq", "side_sq",
         )
 
