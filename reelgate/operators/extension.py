@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from reelgate.operators.scan import with_halo
+from reelgate.operators.scan import map_sorted_groups, with_halo
 from reelgate.operators.sequence import SERIES
 
 Extractor = Callable[[pd.DataFrame], pd.DataFrame]
@@ -50,9 +50,8 @@ def transform_series(
     near = with_halo(frames, before, after)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_idx")
         own = pdf.loc[pdf["__home"] == pdf["__chunk"], "frame_idx"]
         out = transform(pdf.drop(columns=["__home", "__chunk"]))
         return out[out["frame_idx"].isin(own)]
 
-    return near.groupBy(*keys, "__chunk").applyInPandas(run, schema)
+    return map_sorted_groups(near, [*keys, "__chunk"], ["frame_idx"], run, schema)

@@ -9,9 +9,10 @@ in order, and the summary of everything before a chunk is joined back to its row
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -207,6 +208,40 @@ def drop_halo(df: DataFrame) -> DataFrame:
     return df.where(F.col("__home") == F.col("__chunk")).drop("__home", "__chunk")
 
 
+def map_sorted_groups(
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[str],
+    function: Callable[[pd.DataFrame], pd.DataFrame],
+    schema: str,
+) -> DataFrame:
+    """Apply a function to each group in order, many small groups per batch.
+
+    Does what a grouped map does, without a Python call and an Arrow batch per group: the
+    partitions are sorted by group, and groups are sliced out of the batches as they pass.
+    A group must fit a task.
+    """
+    group = list(group)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            if held is not None:
+                pdf = pd.concat([held, pdf], ignore_index=True)
+            codes = pdf.groupby(group, sort=False, dropna=False).ngroup().to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist()]
+            done = [function(pdf.iloc[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            if done:
+                yield pd.concat(done, ignore_index=True)
+            held = pdf.iloc[edges[-1] :]
+        if held is not None:
+            yield function(held)
+
+    return df.repartition(*group).sortWithinPartitions(*group, *order).mapInPandas(run, schema)
+
+
 Fold = Callable[[pd.DataFrame, str | None], tuple[pd.DataFrame, str | None]]
 
 
@@ -217,6 +252,8 @@ def chunked_fold(
     order: Sequence[str],
     fold: Fold,
     schema: str,
+    *,
+    one_chunk: bool | None = None,
 ) -> DataFrame:
     """Run a sequential ``fold(rows, state) -> (rows, state)`` over each key in order.
 
@@ -224,15 +261,17 @@ def chunked_fold(
     from an empty state; the chunks then take the state their predecessor ended with, until
     no state changes. That is exact whatever the fold does, and ends after a pass or two
     when the fold forgets its past, as spaced peak picking does.
+
+    ``one_chunk`` tells that no key reaches past its first chunk, where the caller knows it
+    from cheaper rows than these.
     """
     rows = df.withColumn("__chunk", chunk)
     group = [*keys, "__chunk"]
     order = list(order)
-    if rows.where(F.col("__chunk") > 0).isEmpty():
-        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            return fold(pdf.sort_values(order), None)[0]
-
-        return rows.groupBy(*group).applyInPandas(whole, schema)
+    if one_chunk is None:
+        one_chunk = rows.where(F.col("__chunk") > 0).isEmpty()
+    if one_chunk:
+        return map_sorted_groups(rows, group, order, lambda pdf: fold(pdf, None)[0], schema)
 
     key_schema = ", ".join(f"`{k}` {dict(rows.dtypes)[k]}" for k in group)
     columns = [c.split()[0].strip("`") for c in schema.split(",")]

@@ -654,7 +654,11 @@ def peak_pick(
         ends.select(*keys, "frame_idx", F.lit(float("-inf")).alias("value"))
     )
     schema = ", ".join(f"`{c}` {types[c]}" for c in columns)
-    return chunked_fold(closed, keys, home_chunk(frames), ["frame_idx"], walk, schema)
+    reach = chunk_frames(frames) - minimum_gap - 1
+    brief = frames.where(F.col("frame_idx") >= reach).isEmpty()
+    return chunked_fold(
+        closed, keys, home_chunk(frames), ["frame_idx"], walk, schema, one_chunk=brief
+    )
 
 
 def overlap_stitch(
@@ -768,6 +772,10 @@ def overlap_stitch(
         ["__place"],
         follow,
         schema,
+        one_chunk=pieces.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .where(F.col("__n") > chunk_frames(pieces))
+        .isEmpty(),
     )
     placed = body.join(gains, [*keys, "piece_idx"]).select(
         *keys,

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelgate.functions.quantiles import exact_quantiles, medians
-from reelgate.operators.scan import has_large_group, with_halo
+from reelgate.operators.scan import has_large_group, map_sorted_groups, with_halo
 from reelgate.operators.select import non_overlapping_topk
 from reelgate.operators.sequence import (
     SERIES,
@@ -118,23 +118,26 @@ def tempo_correlations(
     types = dict(near.dtypes)
 
     def partial(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_idx")
         x = pdf["x"].to_numpy()
         own = int((pdf["__home"] == pdf["__chunk"]).sum())
-        out = []
+        parts = []
         for lag in lags:
             n = max(min(own, len(x) - lag), 0)
-            left, right = x[:n], x[lag : lag + n]
-            out.append((lag, float(left @ right), float(left @ left), float(right @ right)))
-        frame = pd.DataFrame(out, columns=["lag", "dot", "left_sq", "right_sq"])
-        for k in keys:
-            frame[k] = pdf[k].iloc[0]
-        return frame[[*keys, "lag", "dot", "left_sq", "right_sq"]]
+            parts.append((x[:n], x[lag : lag + n]))
+        return pd.DataFrame(
+            {
+                **{k: np.repeat(pdf[k].to_numpy()[:1], len(lags)) for k in keys},
+                "lag": lags,
+                "dot": [float(left @ right) for left, right in parts],
+                "left_sq": [float(left @ left) for left, _ in parts],
+                "right_sq": [float(right @ right) for _, right in parts],
+            }
+        )
 
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    schema = f"{schema}, lag long, dot double, left_sq double, right_sq double"
     sums = (
-        near.groupBy(*group)
-        .applyInPandas(partial, f"{schema}, lag long, dot double, left_sq double, right_sq double")
+        map_sorted_groups(near, group, ["frame_idx"], partial, schema)
         .groupBy(*keys, "lag")
         .agg(*[F.sum(c).alias(c) for c in ("dot", "left_sq", "right_sq")])
     )
