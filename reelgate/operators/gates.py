@@ -7,7 +7,6 @@ returns the denied rows with their reason.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -455,7 +454,3 @@ def require_empty(violations: DataFrame, what: str) -> None:
     first = violations.take(1)
     if first:
         raise PermissionError(f"{what}: {first[0].asDict(recursive=True)}")
-
-
-def all_of(rules: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a & b, rules, F.lit(True))

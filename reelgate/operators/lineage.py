@@ -262,15 +262,6 @@ def latest_artifacts(
     return entries.groupBy(key, "name").agg(F.max_by("value", order).alias("value"))
 
 
-def map_of(entries: DataFrame, key: str, name: str = "name", value: str = "value") -> DataFrame:
-    """Rows back to one map per key, for names out of a fixed vocabulary."""
-    return entries.groupBy(key).agg(
-        F.map_from_entries(
-            F.sort_array(F.collect_list(F.struct(F.col(name), F.col(value))))
-        ).alias("entries")
-    )
-
-
 def tree_digest(files: DataFrame, root: str = "root", depths: Sequence[int] = (6, 3)) -> DataFrame:
     """One digest per directory of (relative path, hash) rows.
 
