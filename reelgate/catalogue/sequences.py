@@ -372,11 +372,12 @@ def _envelope(spark, d):
     return frames.select("series_id", "frame_idx", "rms", "value")
 
 
-_LAGS_SQL = """b AS (SELECT 55 + 135 * i / 540.0::DOUBLE AS bpm FROM (SELECT unnest(range(0, 541)) AS i)),
+_LAGS_TEXT = """b AS (SELECT 55 + 135 * i / 540.0::DOUBLE AS bpm FROM (SELECT unnest(range(0, 541)) AS i)),
 bl AS (SELECT bpm, greatest(round_even(6.0::DOUBLE * 60 / bpm, 0), 1)::BIGINT AS lag FROM b), ls AS (SELECT DISTINCT lag FROM bl),
-ce AS (SELECT series_id, frame_idx, value - avg(value) OVER (PARTITION BY series_id) AS x FROM frames),
+ce AS (SELECT series_id, frame_idx, value - avg(value) OVER (PARTITION BY series_id) AS x FROM SOURCE),
 ac AS (SELECT u.series_id, lag, sum(u.x * v.x) / (sqrt(sum(u.x * u.x)) * sqrt(sum(v.x * v.x))) AS c FROM ce u, ls, ce v
   WHERE v.series_id = u.series_id AND v.frame_idx = u.frame_idx + lag GROUP BY 1, 2)"""
+_LAGS_SQL = _LAGS_TEXT.replace("SOURCE", "frames")
 
 
 @query(
@@ -398,7 +399,36 @@ def tempo_query(spark, d):
     return rounded(tempo.tempo_candidates(_envelope(spark, d), RATE))
 
 
-@query("song_rhythm")
+_RHYTHM_SQL = f"""{FRAMES_SQL}, lg AS (SELECT series_id, frame_idx, rms, ln(rms + 1e-7) AS a, ln(abs(rms - f0 / 500) + 1e-7) AS b FROM frames),
+fx AS (SELECT series_id, frame_idx, rms, greatest(coalesce(a - lag(a) OVER w, 0), 0) AS e, greatest(coalesce(b - lag(b) OVER w, 0), 0) AS f
+  FROM lg WINDOW w AS (PARTITION BY series_id ORDER BY frame_idx)),
+tp AS (SELECT series_id, quantile_cont(e, 0.95) AS te, quantile_cont(f, 0.95) AS tf, greatest(quantile_cont(rms, 0.2), 1e-7) AS p20 FROM fx GROUP BY 1),
+env AS (SELECT series_id, frame_idx, rms, p20, 0.6 * greatest(0, least(2, e / greatest(te, 1e-12))) + 0.4 * greatest(0, least(2, f / greatest(tf, 1e-12))) AS value
+  FROM fx JOIN tp USING (series_id)),
+md AS (SELECT series_id, quantile_cont(value, 0.5) AS md FROM env GROUP BY 1),
+br AS (SELECT series_id, md + greatest(1.5 * quantile_cont(abs(value - md), 0.5), 0.08) AS bar FROM env JOIN md USING (series_id) GROUP BY series_id, md),
+nb AS (SELECT series_id, value, lag(value) OVER w AS l, lead(value) OVER w AS r FROM env WINDOW w AS (PARTITION BY series_id ORDER BY frame_idx)),
+os AS (SELECT series_id, count(*) AS onsets FROM nb JOIN br USING (series_id) WHERE value > l AND value >= r AND value >= bar GROUP BY 1),
+st AS (SELECT series_id, count(*) / 6.0::DOUBLE AS dur, avg(value) AS act, avg((rms > p20)::INT) AS fr FROM env GROUP BY 1),
+{_LAGS_TEXT.replace("SOURCE", "env")},
+c0 AS (SELECT ac.series_id, bpm AS start_frame, -coalesce(c, 0) AS a, 0 AS b FROM ac JOIN bl USING (lag)), {topk_sql(5, 4)},
+pu AS (SELECT series_id, arg_min(start_frame, (a, start_frame)) AS bpm, greatest(max(-a) - quantile_cont(-a, 0.5), 0) AS conf FROM picked GROUP BY 1),
+al AS (SELECT series_id, dur, coalesce(onsets, 0) / greatest(dur, 1) AS dens, act, fr, bpm, conf FROM st JOIN pu USING (series_id) LEFT JOIN os USING (series_id)),
+m1 AS (SELECT quantile_cont(bpm, 0.5) AS m_b, quantile_cont(dens, 0.5) AS m_d, quantile_cont(conf, 0.5) AS m_c, quantile_cont(act, 0.5) AS m_a FROM al),
+m2 AS (SELECT 1.4826 * quantile_cont(abs(bpm - m_b), 0.5) AS s_b, 1.4826 * quantile_cont(abs(dens - m_d), 0.5) AS s_d,
+  1.4826 * quantile_cont(abs(conf - m_c), 0.5) AS s_c, 1.4826 * quantile_cont(abs(act - m_a), 0.5) AS s_a,
+  stddev_pop(bpm) AS d_b, stddev_pop(dens) AS d_d, stddev_pop(conf) AS d_c, stddev_pop(act) AS d_a FROM al, m1),
+m3 AS (SELECT CASE WHEN s_b >= 1e-12 THEN s_b WHEN d_b = 0 THEN 1 ELSE d_b END AS s_b, CASE WHEN s_d >= 1e-12 THEN s_d WHEN d_d = 0 THEN 1 ELSE d_d END AS s_d,
+  CASE WHEN s_c >= 1e-12 THEN s_c WHEN d_c = 0 THEN 1 ELSE d_c END AS s_c, CASE WHEN s_a >= 1e-12 THEN s_a WHEN d_a = 0 THEN 1 ELSE d_a END AS s_a FROM m2)"""
+
+
+@query(
+    "song_rhythm",
+    f"""WITH {_RHYTHM_SQL}
+    SELECT series_id, round(dur, 6) AS duration_seconds, round(dens, 6) AS onset_density_per_second, round(act, 6) AS transient_activity,
+      round(fr, 6) AS active_fraction, round(bpm, 6) AS pulse_bpm, round(conf, 6) AS pulse_confidence,
+      round(0.45 * (bpm - m_b) / s_b + 0.25 * (dens - m_d) / s_d + 0.15 * (conf - m_c) / s_c + 0.15 * (act - m_a) / s_a, 6) AS upbeat_score FROM al, m1, m3""",
+)
 def song_rhythm(spark, d):
     frames = event_frames(spark, d, stored=True).withColumn("detail_rms", F.abs(F.col("rms") - F.col("f0") / 500))
     durations = series_lengths(frames).select(
