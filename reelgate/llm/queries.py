@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelgate.llm.line_dedup import with_bitmaps
 from reelgate.llm.mixing import mix
-from reelgate.llm.tables import table
+from reelgate.llm.quality import resample
+from reelgate.llm.tables import table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +78,44 @@ SELECT doc_id, size, source_size, target, (rounds * size + rest)::BIGINT AS take
        END AS "position"
 FROM taken
 """
+
+
+@_query
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its importance weight and whether the resampling keeps it."""
+    drawn = resample(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return drawn.select("doc_id", "log_weight", "noisy_weight", "kept")
+
+
+@_query
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its count of lines, of dropped lines and a digest of what stays."""
+    done = with_bitmaps(table(spark, folder, "documents").select("doc_id", "text"))
+    return done.select(
+        "doc_id",
+        F.size(F.split(text_or_empty(), "\n")).cast("long").alias("n_lines"),
+        F.coalesce("dropped", F.lit(0).cast("long")).alias("n_dropped"),
+        F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
+ORACLES["op3_line_dedup"] = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
+  FROM documents
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM lines
+), often AS (
+  SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20
+  GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+), judged AS (
+  SELECT keyed.*, often.k IS NOT NULL AND doc_id <> keeper AS gone
+  FROM keyed LEFT JOIN often USING (k)
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
