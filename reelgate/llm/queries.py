@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelgate.llm.jaccard import near_duplicates
 from reelgate.llm.line_dedup import with_bitmaps
 from reelgate.llm.mixing import mix
 from reelgate.llm.quality import resample
@@ -119,3 +120,9 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
+
+
+@_query
+def op10_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its set size and the smallest document it is linked to."""
+    return near_duplicates(table(spark, folder, "documents"))
