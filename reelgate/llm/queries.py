@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reelgate.llm.jaccard import near_duplicates
 from reelgate.llm.line_dedup import with_bitmaps
 from reelgate.llm.mixing import mix
+from reelgate.llm.packing import pack
 from reelgate.llm.quality import resample
 from reelgate.llm.tables import table, text_or_empty
 
@@ -126,3 +127,9 @@ FROM judged GROUP BY doc_id
 def op10_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its set size and the smallest document it is linked to."""
     return near_duplicates(table(spark, folder, "documents"))
+
+
+@_query
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every document with its place in a training sequence."""
+    return pack(table(spark, folder, "documents")).drop("ids")
