@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelgate.llm.chat import rotate
 from reelgate.llm.jaccard import near_duplicates
 from reelgate.llm.line_dedup import with_bitmaps
 from reelgate.llm.mixing import mix
 from reelgate.llm.packing import pack
 from reelgate.llm.quality import resample
 from reelgate.llm.tables import table, text_or_empty
+from reelgate.llm.url_filter import judge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +135,55 @@ def op10_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of every document with its place in a training sequence."""
     return pack(table(spark, folder, "documents")).drop("ids")
+
+
+@_query
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's host, path, deciding rule and verdict."""
+    return judge(table(spark, folder, "pages"))
+
+
+@_query
+def op6_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """Every dialogue from every participant's side: a digest of the text, and its mask."""
+    seen = rotate(table(spark, folder, "conversations"))
+    span = F.transform("mask", lambda m: F.concat_ws(":", m["start"], m["length"]))
+    return seen.select(
+        "conv_id",
+        "segment",
+        "speaker",
+        "n_turns",
+        "n_targets",
+        F.char_length("rendered").cast("long").alias("n_chars"),
+        F.sha2(F.col("rendered").cast("binary"), 256).alias("rendered_sha256"),
+        F.array_join(span, ",").alias("mask"),
+    )
+
+
+ORACLES["op6_chat"] = r"""
+WITH said AS (
+  SELECT DISTINCT conv_id, coalesce(floor(turn / 64)::BIGINT, -1) AS segment, turn, role,
+         coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), people AS (
+  SELECT DISTINCT conv_id, segment, role AS speaker FROM said WHERE role <> 'system'
+), seen AS (
+  SELECT said.*, speaker, coalesce(role = speaker, false) AS target,
+         '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system'
+           WHEN role IS NULL THEN 'user'
+           ELSE 'user name=' || regexp_replace(role, '[^A-Za-z0-9_-]', '_', 'g') END || chr(10) AS head,
+         text || '<|im_end|>' AS body
+  FROM said JOIN people USING (conv_id, segment)
+), placed AS (
+  SELECT *, (sum(length(head) + length(body) + 1) OVER w - length(body) - 1)::BIGINT AS begins,
+         row_number() OVER w AS n
+  FROM seen WINDOW w AS (PARTITION BY conv_id, segment, speaker
+    ORDER BY turn NULLS LAST, role NULLS FIRST, text ROWS UNBOUNDED PRECEDING)
+)
+SELECT conv_id, segment, speaker, count(*)::BIGINT AS n_turns,
+       count(*) FILTER (WHERE target)::BIGINT AS n_targets,
+       sum(length(head) + length(body) + 1)::BIGINT AS n_chars,
+       sha256(string_agg(head || body || chr(10), '' ORDER BY n)) AS rendered_sha256,
+       string_agg(begins || ':' || length(body), ',' ORDER BY n) FILTER (WHERE target) AS mask
+FROM placed GROUP BY conv_id, segment, speaker
+"""
