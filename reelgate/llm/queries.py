@@ -14,6 +14,7 @@ from reelgate.llm.mixing import mix
 from reelgate.llm.packing import pack
 from reelgate.llm.quality import resample
 from reelgate.llm.tables import table, text_or_empty
+from reelgate.llm.topk import top_k
 from reelgate.llm.url_filter import judge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +188,25 @@ SELECT conv_id, segment, speaker, count(*)::BIGINT AS n_turns,
        string_agg(begins || ':' || length(body), ',' ORDER BY n) FILTER (WHERE target) AS mask
 FROM placed GROUP BY conv_id, segment, speaker
 """
+
+
+@_query
+def op8_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best candidates of every query row."""
+    return top_k(table(spark, folder, "embeddings"))
+
+
+ORACLES["op8_topk"] = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+  FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
