@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelgate.llm.chat import rotate
+from reelgate.llm.fingerprints import with_successors
 from reelgate.llm.jaccard import near_duplicates
 from reelgate.llm.line_dedup import with_bitmaps
 from reelgate.llm.mixing import mix
@@ -210,3 +211,9 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
+
+
+@_query
+def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's digest, its likeness to an edited text and to the next document."""
+    return with_successors(table(spark, folder, "documents"))
