@@ -14,6 +14,7 @@ from reelgate.llm.line_dedup import with_bitmaps
 from reelgate.llm.mixing import mix
 from reelgate.llm.packing import pack
 from reelgate.llm.quality import resample
+from reelgate.llm.suffix_dedup import dedup_substrings
 from reelgate.llm.tables import table, text_or_empty
 from reelgate.llm.topk import top_k
 from reelgate.llm.url_filter import judge
@@ -217,3 +218,10 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's digest, its likeness to an edited text and to the next document."""
     return with_successors(table(spark, folder, "documents"))
+
+
+@_query
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's bytes, those removed as repeated, and a digest of what stays."""
+    done = dedup_substrings(table(spark, folder, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
