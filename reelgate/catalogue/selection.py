@@ -69,7 +69,9 @@ def select_reference(spark, d):
 
 _CANDS_SQL = """n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS ci FROM lineitem),
 c AS (SELECT l_orderkey, ci, l_suppkey % 5 AS ref, l_discount * 10 AS ident, CASE WHEN l_quantity = 50 THEN NULL ELSE l_tax * 10 END AS minw,
-  l_discount * 5 + l_tax * 5 AS meanw, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS drops, l_quantity / 10 AS peak, l_extendedprice / 1000 AS med, l_discount / 2 AS gross FROM lineitem_n),
+  l_discount * 5 + l_tax * 5 AS meanw, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS drops, l_quantity / 10 AS peak, l_extendedprice / 1000 AS med, l_discount / 2 AS gross,
+  CASE WHEN l_suppkey % 3 > 0 THEN l_tax * 5 END AS refi, CASE WHEN l_partkey % 4 > 0 THEN l_tax END AS dropf,
+  CASE WHEN l_partkey % 5 > 0 THEN l_partkey % 3 END AS spec, CASE WHEN l_suppkey % 4 > 0 THEN l_suppkey % 2 END AS red FROM lineitem_n),
 p AS (SELECT *, coalesce(ident >= 0 AND minw >= 0.2 AND drops = 0 AND peak > 0 AND peak <= 4 AND med <= 50 AND gross < 0.045, false) AS passed FROM c)""".replace(
     "lineitem_n", "n"
 )
@@ -86,7 +88,9 @@ def _candidates(spark, d):
             F.col("frame_idx").alias("candidate_index"),
             (F.col("l_suppkey") % 5).alias("reference_id"),
             (F.col("l_discount") * 10).alias("identity_similarity"),
-            F.lit(None).cast("double").alias("reference_identity_similarity"),
+            F.when(F.col("l_suppkey") % 3 > 0, F.col("l_tax") * 5).alias(
+                "reference_identity_similarity"
+            ),
             F.when(F.col("l_quantity") != 50, F.col("l_tax") * 10).alias(
                 "minimum_window_identity_similarity"
             ),
@@ -95,9 +99,9 @@ def _candidates(spark, d):
             (F.col("l_quantity") / 10).alias("raw_peak"),
             (F.col("l_extendedprice") / 1000).alias("f0_median_error_cents"),
             (F.col("l_discount") / 2).alias("f0_gross_error_fraction"),
-            F.lit(0.0).alias("dropout_fraction"),
-            F.lit(0.0).alias("spectral_distance_db"),
-            F.lit(0.0).alias("peak_reduction_db"),
+            F.when(F.col("l_partkey") % 4 > 0, F.col("l_tax")).alias("dropout_fraction"),
+            F.when(F.col("l_partkey") % 5 > 0, F.col("l_partkey") % 3).alias("spectral_distance_db"),
+            F.when(F.col("l_suppkey") % 4 > 0, F.col("l_suppkey") % 2).alias("peak_reduction_db"),
         ),
         0.2,
         gross=0.045,
@@ -116,7 +120,7 @@ def candidate_passes(spark, d):
     "select_candidate",
     f"""WITH {_CANDS_SQL} SELECT l_orderkey, ci AS candidate_index, NOT passed AS phrase_failed FROM p
       QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY passed DESC, coalesce(minw, ident, -1) DESC, coalesce(meanw, -1) DESC,
-        coalesce(ident, -1) DESC, drops, ci) = 1""",
+        coalesce(ident, -1) DESC, coalesce(refi, -1) DESC, drops, dropf NULLS LAST, spec NULLS LAST, red NULLS LAST, ci) = 1""",
 )
 def select_candidate(spark, d):
     return select.select_candidate(_candidates(spark, d), ["l_orderkey"]).select(
@@ -128,7 +132,7 @@ def select_candidate(spark, d):
     "select_candidate_continuity",
     f"""WITH {_CANDS_SQL}, q AS (SELECT *, coalesce(drops = 0 AND peak <= 4 AND med <= 100 AND gross <= 0.2, false) AS ok FROM p)
     SELECT l_orderkey, ci AS candidate_index, NOT ok AS phrase_failed FROM q
-      QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY ok DESC, drops, gross, med, ci) = 1""",
+      QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY ok DESC, drops, dropf NULLS LAST, gross, med, spec NULLS LAST, red NULLS LAST, ci) = 1""",
 )
 def select_candidate_continuity(spark, d):
     judged = select.candidate_passes_continuity(_candidates(spark, d))
@@ -149,8 +153,8 @@ def retry_budget(spark, d):
 
 @query(
     "retry_order",
-    f"""WITH {_CANDS_SQL}, a AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY -minw NULLS FIRST, -meanw, ci) AS r FROM p WHERE drops = 0),
-    b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY -minw NULLS FIRST, -meanw, drops, gross, ci) AS r FROM p),
+    f"""WITH {_CANDS_SQL}, a AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY coalesce(minw, -1) DESC, coalesce(meanw, -1) DESC, ci) AS r FROM p WHERE drops = 0),
+    b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY coalesce(minw, -1) DESC, coalesce(meanw, -1) DESC, drops, gross, ci) AS r FROM p),
     f AS (SELECT DISTINCT l_orderkey, unnest([4, 3, 2, 1, 0]) AS ref FROM p),
     u AS (SELECT l_orderkey, ref, 0 AS l, min(r) AS r FROM a GROUP BY 1, 2 UNION ALL SELECT l_orderkey, ref, 1, min(r) FROM b GROUP BY 1, 2
       UNION ALL SELECT l_orderkey, ref, 2, 4 - ref FROM f),
@@ -298,11 +302,29 @@ def topk_sql(k: int, spacing: int, grouped: str = "series_id") -> str:
 )
 def non_overlapping_topk(spark, d):
     out = select.non_overlapping_topk(
-        _spaced(spark, d), 4, 10, key=["series_id"], score=["a", "b"], start="start_frame", grid=5
+        _spaced(spark, d), 4, 10, key=["series_id"], score=["a", "b"], start="start_frame"
     )
     return rounded(out)
 
 
+@query(
+    "off_grid_topk",
+    f"""WITH c0 AS (SELECT l_suppkey AS series_id, l_extendedprice / 500 AS start_frame, l_quantity AS a, l_orderkey AS b FROM lineitem),
+    {topk_sql(3, 40)} SELECT series_id, start_frame, min(a) AS a, min(b) AS b FROM picked GROUP BY 1, 2""",
+)
+def off_grid_topk(spark, d):
+    """Starts that repeat and lie on no grid."""
+    values = table(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("series_id"),
+        (F.col("l_extendedprice") / 500).alias("start_frame"),
+        F.col("l_quantity").alias("a"),
+        F.col("l_orderkey").alias("b"),
+    )
+    return select.non_overlapping_topk(
+        values, 3, 40, key=["series_id"], score=["a", "b"], start="start_frame"
+    )
+
+
 @query(
     "train_validation_split",
     f"""WITH {FRAMES_SQL}, {_SPACED_SQL}, {topk_sql(4, 10)}, n AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY start_frame) AS rn,
@@ -312,7 +334,7 @@ def non_overlapping_topk(spark, d):
 )
 def train_validation_split(spark, d):
     picked = select.non_overlapping_topk(
-        _spaced(spark, d), 4, 10, key=["series_id"], score=["a", "b"], start="start_frame", grid=5
+        _spaced(spark, d), 4, 10, key=["series_id"], score=["a", "b"], start="start_frame"
     )
     out = select.train_validation_split(picked, key=["series_id"], start="start_frame")
     return out.select(
@@ -327,7 +349,7 @@ def train_validation_split(spark, d):
 )
 def split_counts(spark, d):
     picked = select.non_overlapping_topk(
-        _spaced(spark, d), 4, 10, key=["series_id"], score=["a", "b"], start="start_frame", grid=5
+        _spaced(spark, d), 4, 10, key=["series_id"], score=["a", "b"], start="start_frame"
     )
     return qc.split_counts(
         select.train_validation_split(picked, key=["series_id"], start="start_frame"),

@@ -73,6 +73,11 @@ def _or_minus_one(*columns: str) -> Column:
     return F.coalesce(*known, F.lit(-1.0))
 
 
+def _least_known(*columns: str) -> list[Column]:
+    """Smallest first; what was not measured (null or NaN) never beats a measurement."""
+    return [F.col(c).asc_nulls_last() for c in columns]
+
+
 def identity_order() -> list[Column]:
     """Strongest worst window first, among those that pass every gate."""
     return [
@@ -81,10 +86,8 @@ def identity_order() -> list[Column]:
         _or_minus_one("mean_window_identity_similarity").desc(),
         _or_minus_one("identity_similarity").desc(),
         _or_minus_one("reference_identity_similarity").desc(),
-        F.col("sustained_dropout_count").asc(),
-        F.col("dropout_fraction").asc(),
-        F.col("spectral_distance_db").asc(),
-        F.col("peak_reduction_db").asc(),
+        *_least_known("sustained_dropout_count", "dropout_fraction"),
+        *_least_known("spectral_distance_db", "peak_reduction_db"),
         F.col("candidate_index").asc(),
     ]
 
@@ -93,12 +96,9 @@ def continuity_order() -> list[Column]:
     """Fewest dropouts first, then pitch, spectrum and peak."""
     return [
         F.col("passed").desc(),
-        F.col("sustained_dropout_count").asc(),
-        F.col("dropout_fraction").asc(),
-        F.col("f0_gross_error_fraction").asc(),
-        F.col("f0_median_error_cents").asc(),
-        F.col("spectral_distance_db").asc(),
-        F.col("peak_reduction_db").asc(),
+        *_least_known("sustained_dropout_count", "dropout_fraction"),
+        *_least_known("f0_gross_error_fraction", "f0_median_error_cents"),
+        *_least_known("spectral_distance_db", "peak_reduction_db"),
         F.col("candidate_index").asc(),
     ]
 
@@ -161,11 +161,13 @@ def retry_order(
     """References to retry per phrase, each once: continuity-safe, identity-strong, fallback.
 
     A reference's place in a ranked list is that of its best record, so each list reduces to
-    one minimum per reference. ``records``: keys, reference_id, candidate measurements;
-    ``fallback``: keys, reference_id, position.
+    one minimum per reference; a similarity that is not known counts as -1 and comes last.
+    ``records``: keys, reference_id, candidate measurements; ``fallback``: keys, reference_id, position.
     """
-    worst = -F.col("minimum_window_identity_similarity")
-    mean = -F.col("mean_window_identity_similarity")
+    worst = -_or_minus_one("minimum_window_identity_similarity")
+    mean = -_or_minus_one("mean_window_identity_similarity")
+    dropouts = F.coalesce(F.col("sustained_dropout_count").cast("long"), F.lit(2**63 - 1))
+    gross = F.coalesce(F.col("f0_gross_error_fraction").cast("double"), F.lit(float("inf")))
     safe = F.when(
         F.col("sustained_dropout_count") == 0,
         F.struct(
@@ -179,8 +181,8 @@ def retry_order(
     strong = F.struct(
         worst.alias("a"),
         mean.alias("b"),
-        F.col("sustained_dropout_count").cast("long").alias("c"),
-        F.col("f0_gross_error_fraction").cast("double").alias("d"),
+        dropouts.alias("c"),
+        gross.alias("d"),
         F.col("candidate_index").cast("long").alias("e"),
     )
     seen = records.groupBy(*keys, "reference_id").agg(
@@ -355,6 +357,11 @@ def assign_roles(
     )
 
 
+#: Rows per key that the bounded way of ``non_overlapping_topk`` may gather.
+FOLDED_ROWS = 1_000
+_INTEGERS = ("tinyint", "smallint", "int", "bigint")
+
+
 def non_overlapping_topk(
     candidates: DataFrame,
     k: int,
@@ -363,34 +370,31 @@ def non_overlapping_topk(
     key: Sequence[str] = ("song_id",),
     score: Sequence[str] = ("score",),
     start: str = "start_seconds",
-    grid: float | None = None,
 ) -> DataFrame:
-    """Greedy best-first choice of up to k rows per key that lie ``spacing`` apart.
+    """Greedy best-first choice of up to k rows per key whose starts lie ``spacing`` apart.
 
-    With starts at least ``grid`` apart, one choice rules out a fixed number of others, so
-    the k-th choice is always among the first (k - 1) * ruled_out + 1 by score and only
-    those are folded. Without a grid the choice takes k rounds, each a map-combined minimum
-    per key followed by removing its neighbours.
+    Rows with equal starts exclude each other, so each start keeps its best row. Where starts
+    are whole numbers, one choice then rules out at most 2 * spacing - 1 rows, the k-th choice is
+    among the first (k - 1) * (2 * spacing - 1) + 1 by score, and only those are folded.
+    Otherwise, or where that is too many, the choice takes k rounds, each a map-combined minimum
+    per key followed by removing its neighbours. Both ways give the same rows.
     """
     key = list(key)
     columns = candidates.columns
     order = [*score, start]
-    ruled_out = 2 * (math.ceil(spacing / grid) - 1) + 1 if grid is not None else 0
-    reach = (k - 1) * ruled_out + 1
-    # beyond this many rows per key Spark no longer limits the groups before the shuffle
-    limit = int(
-        candidates.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
-    )
-    if grid is None or reach > limit:
-        return _topk_rounds(candidates, k, spacing, key, order, start)
-    front = Window.partitionBy(*key).orderBy(*order)
     rest = [c for c in columns if c not in key]
     packed = F.struct(*order, *[c for c in rest if c not in order])
+    best = candidates.groupBy(*key, F.col(start).alias("__start")).agg(F.min(packed).alias("__x"))
+    best = best.where(F.col("__start").isNotNull()).drop("__start")
+    reach = (k - 1) * max(2 * math.ceil(spacing) - 1, 1) + 1
+    if dict(candidates.dtypes)[start] not in _INTEGERS or reach > FOLDED_ROWS:
+        return _topk_rounds(best, k, spacing, key, start, columns)
+    front = Window.partitionBy(*key).orderBy("__x")
     few = (
-        candidates.withColumn("__rn", F.row_number().over(front))
+        best.withColumn("__rn", F.row_number().over(front))
         .where(F.col("__rn") <= reach)
         .groupBy(*key)
-        .agg(F.sort_array(F.collect_list(packed)).alias("__c"))
+        .agg(F.sort_array(F.collect_list("__x")).alias("__c"))
     )
 
     def take(chosen: Column, c: Column) -> Column:
@@ -400,28 +404,25 @@ def non_overlapping_topk(
         return F.when(fits, F.array_append(chosen, c)).otherwise(chosen)
 
     chosen = F.aggregate("__c", F.slice("__c", 1, 0), take)
-    return few.select(*key, F.explode(chosen).alias("__x")).select(
-        *[c if c in key else F.col(f"__x.{c}").alias(c) for c in columns]
-    )
+    return _unpacked(few.select(*key, F.explode(chosen).alias("__x")), key, columns)
+
+
+def _unpacked(rows: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    return rows.select(*[c if c in key else F.col(f"__x.{c}").alias(c) for c in columns])
 
 
 def _topk_rounds(
-    candidates: DataFrame, k: int, spacing: float, key: list[str], order: list[str], start: str
+    best: DataFrame, k: int, spacing: float, key: list[str], start: str, columns: list[str]
 ) -> DataFrame:
-    rest = [c for c in candidates.columns if c not in key]
-    packed = F.struct(*order, *[c for c in rest if c not in order])
-    left, chosen = candidates, None
+    left, chosen = pinned(best), None
     for i in range(k):
-        best = pinned(left.groupBy(*key).agg(F.min(packed).alias("__best")))
-        taken = best.select(
-            *[c if c in key else F.col(f"__best.{c}").alias(c) for c in candidates.columns]
-        )
+        first = pinned(left.groupBy(*key).agg(F.min("__x").alias("__x")))
+        taken = _unpacked(first, key, columns)
         chosen = taken if chosen is None else chosen.unionByName(taken)
         if i + 1 < k:
-            left = left.join(
-                best.select(*key, F.col(f"__best.{start}").alias("__at")), key
-            ).where(F.abs(F.col(start) - F.col("__at")) >= spacing)
-            left = left.drop("__at")
+            apart = F.abs(F.col(f"__x.{start}") - F.col("__at")) >= spacing
+            at = first.select(*key, F.col(f"__x.{start}").alias("__at"))
+            left = left.join(at, key).where(apart).drop("__at")
     return chosen
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -165,9 +166,14 @@ def tempo_candidates(
     grid = tempo_correlations(envelope, frame_rate, keys=keys)
     scored = grid.withColumn("score", -F.col("correlation"))
     step = (TEMPO_RANGE[1] - TEMPO_RANGE[0]) / (TEMPO_STEPS - 1)
-    kept = non_overlapping_topk(
-        scored, TEMPO_KEPT, TEMPO_SPACING, key=keys, score=("score",), start="bpm", grid=step
+    # tempos lie on a grid: distances are whole numbers of its steps
+    numbered = scored.withColumn(
+        "__step", F.round((F.col("bpm") - TEMPO_RANGE[0]) / step).cast("long")
     )
+    apart = math.ceil(TEMPO_SPACING / step - 1e-9)
+    kept = non_overlapping_topk(
+        numbered, TEMPO_KEPT, apart, key=keys, score=("score",), start="__step"
+    ).drop("__step")
     order = Window.partitionBy(*keys).orderBy("score", "bpm")
     return kept.withColumn("rank", F.row_number().over(order)).drop("score")
 

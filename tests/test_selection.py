@@ -113,18 +113,28 @@ def _greedy(values, k, spacing):
     return sorted(chosen)
 
 
-@pytest.mark.parametrize("grid", [5.0, None])
-def test_spaced_choice_is_the_greedy_one(spark, grid):
+@pytest.mark.parametrize("kind", ["bigint", "double"])
+def test_spaced_choice_is_the_greedy_one(spark, kind):
     rng = random.Random(3)
-    rows = {k: [(rng.choice([0.1, 0.2, 0.3, 0.4]), 5.0 * i) for i in range(60)] for k in "abc"}
+    cast = int if kind == "bigint" else float
+    rows = {k: [(rng.choice([0.1, 0.2, 0.3, 0.4]), cast(5 * i)) for i in range(60)] for k in "abc"}
     df = spark.createDataFrame(
-        [(k, s, t) for k, v in rows.items() for s, t in v], "song_id string, score double, start_seconds double"
+        [(k, s, t) for k, v in rows.items() for s, t in v], f"song_id string, score double, start_seconds {kind}"
     )
-    out = select.non_overlapping_topk(df, 6, 10.0, grid=grid).collect()
+    out = select.non_overlapping_topk(df, 6, 10.0).collect()
     for k, v in rows.items():
         assert sorted((r.score, r.start_seconds) for r in out if r.song_id == k) == _greedy(v, 6, 10.0)
 
 
+@pytest.mark.parametrize("kind", ["bigint", "double"])
+def test_repeated_starts_do_not_crowd_out_a_far_one(spark, kind):
+    cast = int if kind == "bigint" else float
+    rows = [("a", 0.1 + i / 100, cast(i % 3)) for i in range(30)] + [("a", 9.0, cast(100))]
+    df = spark.createDataFrame(rows, f"song_id string, score double, start_seconds {kind}")
+    out = select.non_overlapping_topk(df, 2, 10.0).collect()
+    assert sorted(r.start_seconds for r in out) == [0, 100]
+
+
 def test_split(spark):
     df = spark.createDataFrame(
         [("a", 0.0), ("a", 20.0), ("a", 40.0), ("b", 5.0)], "song_id string, start_seconds double"
