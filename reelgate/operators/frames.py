@@ -147,16 +147,19 @@ def window_metrics(
     few consecutive blocks, so frames are not multiplied by the number of windows they lie
     in; only the blocks at a chunk's edge are copied into the chunk before.
 
-    ``frames``: keys, frame_idx, f0, rms and optionally peak, clipped_n, n, mid_sq, side_sq.
+    ``frames``: keys, frame_idx, f0, rms and optionally peak, clipped_n, n, mid_sq, side_sq, channels.
+    Mono counts as fully centred (60 dB), as in ``centre_dominance``.
     """
     block = math.gcd(math.gcd(size, hop), rate)
     per_window, per_hop, per_second = size // block, hop // block, rate // block
     chunk_blocks = max(chunk_frames(frames) // block, per_window)
     sampled = "peak" in frames.columns
     stereo = "mid_sq" in frames.columns
+    told = stereo and "channels" in frames.columns
     extra = (["peak", "clipped_n", "n"] if sampled else []) + (
         ["mid_sq", "side_sq"] if stereo else []
     )
+    extra += ["channels"] if told else []
     placed = frames.select(*keys, "frame_idx", "f0", "rms", *extra).withColumn(
         "__block", F.expr(f"frame_idx div {block}")
     )
@@ -183,6 +186,8 @@ def window_metrics(
         ]
     if stereo:
         aggregates += [F.sum("mid_sq").alias("mid"), F.sum("side_sq").alias("side")]
+    if told:
+        aggregates.append(F.max("channels").alias("channels"))
     blocks = placed.groupBy(*keys, "__chunk", "__block").agg(*aggregates)
     fields = [c for c in blocks.columns if c not in (*keys, "__chunk", "__block")]
     ahead = (
@@ -260,7 +265,11 @@ def window_metrics(
             F.try_divide(total("clipped"), total("samples")).alias("clipping_fraction"),
         ]
     if stereo:
-        columns.append(_dominance(total("mid"), total("side")).alias("centre_dominance_db"))
+        centred = _dominance(total("mid"), total("side"))
+        if told:
+            widest = F.array_max(F.transform("__blocks", lambda b: b["channels"]))
+            centred = F.when(widest < 2, F.lit(MONO_DOMINANCE_DB)).otherwise(centred)
+        columns.append(centred.alias("centre_dominance_db"))
     rejected = F.when(~heard, "no voiced frame").when(
         F.size("__levels") == 0, "no sustained voiced second"
     )
@@ -273,6 +282,10 @@ def window_metrics(
     )
 
 
+#: Centre dominance of mono audio (fixed value).
+MONO_DOMINANCE_DB = 60.0
+
+
 def _dominance(mid_sq: Column, side_sq: Column) -> Column:
     # the numbers of samples cancel in the ratio
     floor = F.lit(1e-12)
@@ -289,7 +302,7 @@ def centre_dominance(
     floor = F.lit(1e-12)
     ratio = 20 * F.log10(F.greatest(mid, floor) / F.greatest(side, floor))
     return frames.groupBy(*keys).agg(
-        F.when(F.max(channels) < 2, F.lit(60.0))
+        F.when(F.max(channels) < 2, F.lit(MONO_DOMINANCE_DB))
         .otherwise(clip(ratio, -120.0, 120.0))
         .alias("centre_dominance_db")
     )

@@ -84,8 +84,6 @@ def ingest(
             )
         )
     )
-    if strict:
-        require_empty(denials, "denied source")
     passed = gated.where(F.col("denial_reason").isNull()).drop("denial_reason")
     known = catalog.select(
         "song_id", F.concat_ws("/", "artist_id", "source_sha256").alias("source_sha256")
@@ -96,7 +94,8 @@ def ingest(
         [F.lower("path"), F.col("path")],
         key=["artist_id", "sha256"],
     )
-    probed = probe_media(fresh)
+    # headers are read once; catalog rows, outcomes and denials all follow from the same reading
+    probed = pinned(probe_media(fresh))
     stem = F.regexp_replace("filename", r"\.[^.]+$", "")
     rows = probed.where(F.col("error").isNull()).select(
         "artist_id",
@@ -110,17 +109,28 @@ def ingest(
             "audio"
         ),
     )
-    bad = probed.where(F.col("error").isNotNull()).select(
-        "artist_id", "path", "sha256", F.col("error").alias("denial_reason")
+    # what a copy's first file turned out to be holds for every copy of the same content
+    read = probed.select(
+        F.col("artist_id").alias("__o"),
+        F.col("sha256").alias("__c"),
+        F.col("path").alias("__first"),
+        F.col("error").alias("__error"),
+    )
+    judged_copies = matched.join(
+        read, (F.col("artist_id") == F.col("__o")) & (F.col("sha256") == F.col("__c")), "left"
+    )
+    bad = judged_copies.where(F.col("__error").isNotNull()).select(
+        "artist_id", "path", "sha256", F.col("__error").alias("denial_reason")
     )
-    results = matched.select(
+    copy = F.col("__first").isNull() | (F.col("path") != F.col("__first"))
+    results = judged_copies.where(F.col("__error").isNull()).select(
         "artist_id",
         "path",
         "sha256",
         F.coalesce("known_song_id", song_id(stem, "sha256")).alias("song_id"),
-        "status",
-    ).join(fresh.select(F.col("path").alias("__first")), F.col("path") == F.col("__first"), "left")
-    results = results.withColumn(
-        "status", F.when(F.col("__first").isNull(), "duplicate").otherwise(F.col("status"))
-    ).drop("__first")
-    return Ingested(rows, results, denials.unionByName(bad))
+        F.when(copy, "duplicate").otherwise(F.col("status")).alias("status"),
+    )
+    denials = denials.unionByName(bad)
+    if strict:
+        require_empty(denials, "denied source")
+    return Ingested(rows, results, denials)

@@ -350,17 +350,31 @@ def overlapped_energy(
     return _ranges(wanted, "__units", per_task).mapInPandas(run, schema)
 
 
-def band_ratio_of(samples: np.ndarray, rate: int, clipped: bool = True) -> float:
-    """Energy from 5 kHz up against 100-5000 Hz in the first three seconds, in decibels."""
-    used = samples[: rate * 3]
-    if used.size < 2:
-        return -120.0
-    power = np.abs(np.fft.rfft(used * np.hanning(used.size))) ** 2
-    hertz = np.fft.rfftfreq(used.size, 1 / rate)
-    high = power[hertz >= 5000].sum()
-    body = power[(hertz >= 100) & (hertz < 5000)].sum()
-    ratio = 10 * math.log10(max(float(high), 1e-20) / max(float(body), 1e-20))
-    return min(60.0, max(-120.0, ratio)) if clipped else ratio
+#: Bounds of the two bands in hertz, and their decibel range (fixed values).
+BODY_HERTZ, BRIGHT_HERTZ, RATIO_DB = 100, 5000, (-120.0, 60.0)
+BAND_SECONDS = 3
+
+
+def band_ratios(excerpts: Sequence[np.ndarray], rates: Sequence[int], clipped: bool = True) -> np.ndarray:
+    """Energy from 5 kHz up against 100-5000 Hz in the first three seconds, in decibels.
+
+    Excerpts of one rate and length are the rows of one matrix, transformed at once; both
+    band energies are one product of their power spectra with the bands' membership.
+    """
+    ratios = np.full(len(excerpts), RATIO_DB[0])
+    shapes: dict[tuple[int, int], list[int]] = {}
+    for number, (samples, rate) in enumerate(zip(excerpts, rates, strict=True)):
+        shapes.setdefault((rate, min(len(samples), BAND_SECONDS * rate)), []).append(number)
+    for (rate, length), members in shapes.items():
+        if length < 2:
+            continue
+        matrix = np.stack([np.asarray(excerpts[m][:length], dtype=np.float64) for m in members])
+        spectra = np.fft.rfft(matrix * np.hanning(length), axis=1)
+        hertz = np.arange(spectra.shape[1]) * (rate / length)
+        bands = np.stack([hertz >= BRIGHT_HERTZ, (hertz >= BODY_HERTZ) & (hertz < BRIGHT_HERTZ)], axis=1)
+        energy = np.maximum((spectra.real**2 + spectra.imag**2) @ bands.astype(np.float64), 1e-20)
+        ratios[members] = 10 * (np.log10(energy[:, 0]) - np.log10(energy[:, 1]))
+    return np.clip(ratios, *RATIO_DB) if clipped else ratios
 
 
 def band_ratio(excerpts: DataFrame, clipped: bool = True) -> DataFrame:
@@ -369,12 +383,12 @@ def band_ratio(excerpts: DataFrame, clipped: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ratios = []
-            for p, rate, a, b in zip(
-                pdf["path"], pdf["sample_rate"], pdf["start_sample"], pdf["end_sample"], strict=True
-            ):
-                audio = read_samples(p, int(a), min(int(b), int(a) + 3 * int(rate)))
-                ratios.append(band_ratio_of(audio.mean(axis=1, dtype=np.float32), int(rate), clipped))
+            rates = [int(r) for r in pdf["sample_rate"]]
+            audio = [
+                read_samples(p, int(a), min(int(b), int(a) + BAND_SECONDS * rate)).mean(axis=1, dtype=np.float32)
+                for p, rate, a, b in zip(pdf["path"], rates, pdf["start_sample"], pdf["end_sample"], strict=True)
+            ]
+            ratios = band_ratios(audio, rates, clipped)
             yield pdf.assign(high_band_ratio_db=ratios)
 
     return excerpts.repartition("path", "start_sample").mapInPandas(run, schema)
@@ -404,29 +418,55 @@ def join_levels(joins: DataFrame, window_s: float = 0.005) -> DataFrame:
     return joins.repartition("path", "join_sample").mapInPandas(run, schema)
 
 
-def _adherence(segment: np.ndarray, rate: int, pitch: float, least: int) -> float:
-    """Cents between a pitch and the autocorrelation of the audio around it."""
-    if segment.size < least or np.sqrt(np.mean(segment**2)) < 1e-5:
-        return math.inf
-    shaped = (segment - segment.mean()) * np.hanning(segment.size)
-    size = 1 << (2 * shaped.size - 1).bit_length()
-    correlation = np.fft.irfft(np.abs(np.fft.rfft(shaped, size)) ** 2, size)[: shaped.size]
-    if correlation[0] <= 1e-12:
-        return math.inf
-    correlation = correlation / correlation[0]
-    lag = rate / pitch
-    spread = 2 ** (100 / 1200)
-    low = max(1, round(lag / spread))
-    high = min(correlation.size - 1, round(lag * spread))
-    if high <= low:
-        return math.inf
-    best = low + int(np.argmax(correlation[low : high + 1]))
-    strength = correlation[best]
-    octaves = [round(lag * m) for m in (0.5, 2.0)]
-    rivals = [correlation[o] for o in octaves if 1 <= o < correlation.size]
-    if strength < 0.12 or any(r > strength * 1.15 for r in rivals):
-        return 1200.0
-    return abs(1200 * math.log2(rate / best / pitch))
+#: Limits of the pitch check (fixed values): search reach either way in cents, least level and energy,
+#: least correlation, and how far an octave may exceed it before the pitch counts as an octave off.
+REACH_CENTS, LEAST_LEVEL, LEAST_ENERGY, LEAST_MATCH, OCTAVE_MARGIN = 100, 1e-5, 1e-12, 0.12, 1.15
+OFF_CENTS = 1200.0
+
+
+def pitch_errors(mono: np.ndarray, begins: np.ndarray, ends: np.ndarray, rate: int, pitches: np.ndarray, least: int) -> np.ndarray:
+    """Cents between each pitch and the best lag of the audio span around it; inf where unmeasurable.
+
+    A span's normalised correlation at a lag is a dot product of the span with itself shifted. Only
+    lags within reach of some pitch, and its octaves, are looked at: per lag, one row-wise
+    product over all spans of equal length that ask for it.
+    """
+    errors = np.full(len(pitches), np.inf)
+    ideal = rate / pitches
+    factor = 2 ** (REACH_CENTS / 1200)
+    lengths = ends - begins
+    for length in np.unique(lengths[lengths >= max(least, 2)]):
+        rows = np.flatnonzero(lengths == length)
+        spans = mono[begins[rows][:, None] + np.arange(length)]
+        loud = np.sqrt((spans**2).mean(axis=1)) >= LEAST_LEVEL
+        spans = (spans - spans.mean(axis=1, keepdims=True)) * np.hanning(length)
+        energy = np.einsum("ij,ij->i", spans, spans)
+        low = np.maximum(np.rint(ideal[rows] / factor), 1).astype(int)
+        high = np.minimum(np.rint(ideal[rows] * factor), length - 1).astype(int)
+        usable = loud & (energy > LEAST_ENERGY) & (high > low)
+        rows, spans, energy, low, high = (x[usable] for x in (rows, spans, energy, low, high))
+        if not len(rows):
+            continue
+        octaves = np.rint(np.stack([ideal[rows] * 0.5, ideal[rows] * 2.0])).astype(int)
+        best = np.full(len(rows), -np.inf)
+        rival = np.full(len(rows), -np.inf)
+        lag_of = low.copy()
+        asked = np.zeros(length, dtype=bool)
+        for a, b in zip(low, high, strict=True):
+            asked[a : b + 1] = True
+        asked[octaves[(octaves >= 1) & (octaves < length)]] = True
+        for lag in np.flatnonzero(asked):
+            inside = (low <= lag) & (lag <= high)
+            beside = (octaves == lag).any(axis=0)
+            at = np.flatnonzero(inside | beside)
+            match = np.einsum("ij,ij->i", spans[at, : length - lag], spans[at, lag:]) / energy[at]
+            rival[at] = np.where(beside[at], np.maximum(rival[at], match), rival[at])
+            better = inside[at] & (match > best[at])
+            best[at[better]], lag_of[at[better]] = match[better], lag
+        off = (best < LEAST_MATCH) | (rival > best * OCTAVE_MARGIN)
+        cents = np.abs(np.log2(ideal[rows] / lag_of)) * 1200
+        errors[rows] = np.where(off, OFF_CENTS, cents)
+    return errors
 
 
 def pitch_adherence(
@@ -458,14 +498,13 @@ def pitch_adherence(
         for pdf in batches:
             for (path, sr, _), part in pdf.groupby(["path", "sample_rate", "__part"], sort=False):
                 half = round(0.04 * sr)
-                centres = [round((i + 0.5) * sr / rate) for i in part["frame_idx"]]
-                base = max(0, min(centres) - half)
-                audio = read_samples(path, base, max(centres) + half)
+                centres = np.rint((part["frame_idx"].to_numpy() + 0.5) * sr / rate).astype(np.int64)
+                base = max(0, int(centres.min()) - half)
+                audio = read_samples(path, base, int(centres.max()) + half)
                 mono = audio.mean(axis=1, dtype=np.float32).astype(np.float64)
-                errors = []
-                for centre, pitch in zip(centres, part["f0"], strict=True):
-                    a, b = max(0, centre - half) - base, max(centre + half - base, 0)
-                    errors.append(_adherence(mono[a:b], sr, pitch, half))
+                begins = np.clip(centres - half - base, 0, len(mono))
+                ends = np.clip(centres + half - base, begins, len(mono))
+                errors = pitch_errors(mono, begins, ends, int(sr), part["f0"].to_numpy(), half)
                 yield part.assign(error_cents=errors)
 
     measured = pinned(

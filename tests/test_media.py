@@ -139,7 +139,7 @@ def song(spark, tmp_path_factory):
         [("song-a", i, f) for i, f in enumerate(f0)], "series_id string, frame_idx bigint, f0 double"
     )
     frames = media.frame_energy(recs).join(contour, ["series_id", "frame_idx"])
-    return recs, frames.withColumnRenamed("series_id", "song_id").drop("channels")
+    return recs, frames.withColumnRenamed("series_id", "song_id")
 
 
 def _policy(spark, intervals=()):
@@ -242,6 +242,30 @@ def test_ingest(spark, tmp_path):
         ingestion.ingest(files, rights, exclusions, catalog, F.lit(datetime(2024, 6, 1)), strict=True)
 
 
+def test_ingest_denies_every_copy_of_an_unreadable_file(spark, tmp_path):
+    for name in ("a.wav", "b.wav"):
+        (tmp_path / name).write_bytes(b"no header")
+    digest = hashlib.sha256(b"no header").hexdigest()
+    files = spark.createDataFrame(
+        [("x", str(tmp_path / n), n) for n in ("a.wav", "b.wav")], "artist_id string, path string, filename string"
+    )
+    rights = spark.createDataFrame(
+        [("x", "approved", None, None, 1, True)],
+        "artist_id string, status string, effective_at timestamp, expires_at timestamp, n_approvals int, training boolean",
+    )
+    assets = spark.createDataFrame([("x", digest)], "artist_id string, sha256 string")
+    none = spark.createDataFrame(
+        [], "artist_id string, sha256 string, filename string, reason string, pos int"
+    )
+    catalog = spark.createDataFrame([], "artist_id string, song_id string, source_sha256 string")
+    at = F.lit(datetime(2024, 6, 1))
+    done = ingestion.ingest(files, rights, none, catalog, at, assets=assets)
+    assert done.catalog.count() == 0 and done.results.count() == 0
+    assert sorted(r.path[-5:] for r in done.denials.collect()) == ["a.wav", "b.wav"]
+    with pytest.raises(Exception, match="denied source"):
+        ingestion.ingest(files, rights, none, catalog, at, assets=assets, strict=True)
+
+
 def test_incremental_ingest_resumes(spark, tmp_path):
     source, folder = tmp_path / "in", str(tmp_path / "state")
     write_wav(source / "a.wav", np.full(100, 0.1), 8_000)

@@ -146,3 +146,16 @@ def test_smoothing_equals_convolution(spark):
     spark.conf.unset("reelgate.chunkFrames")
     kernel = np.hanning(21) / np.hanning(21).sum()
     assert out == pytest.approx(np.convolve(x, kernel, mode="same").tolist())
+
+
+@pytest.mark.parametrize("channels, expected", [(1, 60.0), (2, 120.0)])
+def test_mono_windows_count_as_centred(spark, channels, expected):
+    from reelgate.operators.frames import window_metrics
+
+    rows = [("a", i, 200.0, 0.1, 1.0, 0.0, channels) for i in range(100)]
+    frames = spark.createDataFrame(
+        rows,
+        "series_id string, frame_idx bigint, f0 double, rms double, mid_sq double, side_sq double, channels int",
+    )
+    out = window_metrics(frames, 100, 50).select("centre_dominance_db").collect()
+    assert [r[0] for r in out] == [expected]
