@@ -10,15 +10,18 @@ Jaccard similarity of at least p differ in at most (1 - p) / (1 + p) * (a + b) e
 * Pigeonhole join: beside its bits, a block has the XOR of its elements' 64-bit hashes, which
   equal blocks share and others do not. Of m blocks of which at least m - d agree, the
   d + 1 that come first in any fixed order must have one in common. The order here puts the
-  fullest blocks first, as nearly empty ones agree by chance. A set enters a band's join with its
-  own d, and the next smaller band as well when a partner can be there.
+  rarest blocks first. Blocks that nobody else has lead it and match nothing: a set with d + 1
+  of them is done, and others are joined on the few rarest blocks that remain. A set enters a
+  band's join with its own d, and the next smaller band as well when a partner can be there.
 * Verify: pairs that pass the Hamming bound are compared as whole sets.
 
 Nothing in a group of equal blocks is paired with everything else. First each member is paired
-with the group's smallest document, and the links found give components. A pair that is still
-apart is then tested only where a group holds more than one component, so a group of thousands
-of near copies costs one comparison each, and no link between different components is missed.
-Documents with equal sets are one node throughout.
+with the group's smallest document, and the links found give components; a group of thousands of
+near copies costs one comparison each. Documents of groups that still hold more than one component
+are joined again on more and smaller blocks, where most sets have enough blocks of their own to
+be done. In the groups that remain, sketches of different components are compared in cells of
+bounded size, and only pairs within the Hamming bound leave a cell. So no link between
+components is missed. Documents with equal sets are one node throughout.
 
 Defined cases: without words or text a set is empty and links with nothing; rows that share an id
 are one node with the links of all its texts; a row without an id takes no part, its component is
@@ -27,23 +30,31 @@ null. Equal 64-bit hashes of shingles are taken for equal shingles.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelgate.llm import hashing
 from reelgate.llm.components import components
 from reelgate.llm.tables import text_or_empty
+from reelgate.operators.scan import map_sorted_groups
 from reelgate.session import pinned
 
 SHINGLE = 4
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Sets of 4**k up to 4**(k+1) elements share a band.
-BAND = 4
+#: A band's sizes reach up to this multiple of its smallest.
+BAND = 1.6
+#: Blocks of a band for each difference that its largest sets allow: for all documents, and for
+#: those that are compared across components.
+SPARE, FINE = 1.25, 2.5
+#: Members of a group that one step compares with each other, about.
+CELL = 1024
 #: Pairs with one hub that one sorted run compares.
 RUN = 512
 _U = np.uint64
@@ -73,45 +84,48 @@ def most_apart(a: int, b: int, percent: int = PERCENT) -> int:
     return (100 - percent) * (a + b) // (100 + percent)
 
 
-def band_views(size: int, percent: int = PERCENT) -> list[tuple[int, int, int]]:
-    """Band, number of blocks and number of blocks to offer, for a set of this size."""
-    band = 0
-    while BAND ** (band + 1) <= size:
-        band += 1
+def _band_edges() -> list[int]:
+    edges = [1]
+    while edges[-1] < 1 << 40:
+        edges.append(max(edges[-1] + 1, int(edges[-1] * BAND)))
+    return edges
+
+
+EDGES = _band_edges()
+
+
+def band_views(size: int, percent: int = PERCENT, spare: float = SPARE) -> list[tuple[int, int, int]]:
+    """Band, number of blocks and most differing blocks, for each join that a set of this size enters."""
+    band = bisect_right(EDGES, size) - 1
 
     def blocks(of: int) -> int:
-        top = BAND ** (of + 1) - 1
-        most = most_apart(top, top * 100 // percent, percent) + 1
-        return most + most // 2
-
-    low = BAND**band
-    views = [(band, blocks(band), most_apart(size, size * 100 // percent, percent) + 1)]
-    if band and -(-size * percent // 100) < low:
-        views.append((band - 1, blocks(band - 1), most_apart(size, low - 1, percent) + 1))
+        top = EDGES[of + 1] - 1
+        return math.ceil(spare * (most_apart(top, top * 100 // percent, percent) + 1))
+
+    views = [(band, blocks(band), most_apart(size, size * 100 // percent, percent))]
+    while band and -(-size * percent // 100) < EDGES[band]:
+        band -= 1
+        views.append((band, blocks(band), most_apart(size, EDGES[band + 1] - 1, percent)))
     return views
 
 
-def sketch(elements: np.ndarray, band: int, blocks: int, offered: int) -> tuple[np.ndarray, np.ndarray]:
-    """The offered blocks' keys and the sketch's bits (eight a block, as 64-bit words)."""
+def sketch(elements: np.ndarray, band: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the blocks and the sketch's bits (eight a block, as 64-bit words)."""
     spread = hashing.mixed(elements + _U(band + 1))
     block = (((spread >> _U(32)) * _U(blocks)) >> _U(32)).astype(np.int64)
     bit = (spread & _U(7)).astype(np.int64)
     words = -(-blocks // 8)
-    bits = np.packbits(np.bincount(block * 8 + bit, minlength=words * 64)[: words * 64] & 1)
+    bits = np.packbits(np.bincount(block * 8 + bit, minlength=words * 64) & 1)
     total = np.zeros(blocks, dtype=np.uint64)
     np.bitwise_xor.at(total, block, elements)
-    held = np.bincount(block, minlength=blocks)
-    keys = hashing.mixed(
-        total + hashing.mixed(np.arange(blocks, dtype=np.uint64) * _U(64) + _U(band)) + held.astype(np.uint64)
-    )
-    if offered < blocks:
-        fullest = ((_U(65535) - np.minimum(held, 65535).astype(np.uint64)) << _U(48)) | (keys >> _U(16))
-        keys = keys[np.argpartition(fullest, offered - 1)[:offered]]
-    return keys.view(np.int64), bits.view(np.int64)
+    place = hashing.mixed(np.arange(blocks, dtype=np.uint64) * _U(1024) + _U(band))
+    return hashing.mixed(total + place).view(np.int64), bits.view(np.int64)
 
 
-def described(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """id, n_shingles, two hashes of the set and its views (band, keys, bits)."""
+def described(
+    docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, spare: float = SPARE
+) -> DataFrame:
+    """id, n_shingles, two hashes of the set and its views (band, apart, keys, bits)."""
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -120,9 +134,11 @@ def described(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> D
                 rows = []
                 for elements in shingle_sets(part, size):
                     views = []
-                    for band, blocks, offered in band_views(len(elements), percent) if len(elements) else []:
-                        keys, bits = sketch(elements, band, blocks, offered)
-                        views.append({"band": band, "keys": keys, "bits": bits})
+                    for band, blocks, apart in (
+                        band_views(len(elements), percent, spare) if len(elements) else []
+                    ):
+                        keys, bits = sketch(elements, band, blocks)
+                        views.append({"band": band, "apart": apart, "keys": keys, "bits": bits})
                     spread = hashing.mixed(elements)
                     rows.append(
                         (
@@ -139,7 +155,7 @@ def described(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> D
     return docs.select(F.col("doc_id").alias("id"), text_or_empty().alias("text")).mapInPandas(
         describe,
         "id long, n_shingles long, f1 long, f2 long,"
-        " views array<struct<band: int, keys: array<long>, bits: array<long>>>",
+        " views array<struct<band: int, apart: int, keys: array<long>, bits: array<long>>>",
     )
 
 
@@ -160,6 +176,18 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return wanted.mapInPandas(cut, "id long, elements binary")
 
 
+def rarest_blocks(views: DataFrame) -> DataFrame:
+    """id, band and key of the blocks on which a set is joined: of its rarest, those not its alone."""
+    keys = views.select("id", "band", "apart", F.size("keys").alias("blocks"), F.explode("keys").alias("key"))
+    held = pinned(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
+    shared = keys.join(held, "key")
+    own = Window.partitionBy("id", "band")
+    alone = F.col("blocks") - F.count(F.lit(1)).over(own)
+    place = F.row_number().over(own.orderBy("n", "key"))
+    ranked = shared.withColumn("place", place).withColumn("alone", alone)
+    return ranked.where(F.col("place") + F.col("alone") <= F.col("apart") + 1).select("id", "band", "key")
+
+
 def near(pairs: DataFrame, views: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, band) whose sizes and sketches allow a link, as (a, b)."""
 
@@ -184,6 +212,43 @@ def near(pairs: DataFrame, views: DataFrame, percent: int) -> DataFrame:
     return both.where(possible).select("a", "b").distinct()
 
 
+def compared(placed: DataFrame, views: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one key and different components whose sizes and sketches allow a link."""
+    many = pinned(placed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("chunks")))
+    rows = placed.join(views.select("id", "band", "n_shingles", "bits"), ["id", "band"]).join(many, "key")
+    chunk = F.pmod(F.hash("id"), F.col("chunks"))
+    cells = rows.withColumn("chunk", chunk).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    cells = cells.select(
+        "key",
+        F.least("chunk", "with").alias("low"),
+        F.greatest("chunk", "with").alias("high"),
+        "id",
+        "component",
+        "n_shingles",
+        "bits",
+    )
+
+    def compare(held: pd.DataFrame) -> pd.DataFrame:
+        ids, part = held["id"].to_numpy(), held["component"].to_numpy()
+        sizes = held["n_shingles"].to_numpy()
+        bits = np.stack(held["bits"].to_numpy()).view(np.uint64)
+        found = []
+        for at in range(len(ids) - 1):
+            rest = slice(at + 1, None)
+            total = sizes[at] + sizes[rest]
+            least = np.minimum(sizes[at], sizes[rest]) * 100 >= np.maximum(sizes[at], sizes[rest]) * percent
+            other = np.flatnonzero((part[rest] != part[at]) & least)
+            if not len(other):
+                continue
+            apart = np.bitwise_count(bits[at] ^ bits[rest][other]).sum(axis=1, dtype=np.int64)
+            near = other[apart * (100 + percent) <= total[other] * (100 - percent)]
+            found += [(min(ids[at], b), max(ids[at], b)) for b in ids[rest][near]]
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    found = map_sorted_groups(cells, ["key", "low", "high"], ["id"], compare, "a long, b long")
+    return found.distinct()
+
+
 def verified(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
     """The pairs (a, b) that link. Runs of one hub's pairs stream past its set, which is held."""
     pairs = pinned(pairs)
@@ -225,23 +290,42 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> Data
     return runs.mapInPandas(compare, "a long, b long")
 
 
+def _groups(views: DataFrame, twins: DataFrame) -> DataFrame:
+    """key, band, id and hub (smallest id) of the groups of two and more different sets."""
+    offered = rarest_blocks(views).join(twins, "id", "left")
+    offered = pinned(offered.select("key", "band", F.coalesce("twin", "id").alias("id")).distinct())
+    hubs = offered.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("other"))
+    hubs = pinned(hubs.where(F.col("hub") != F.col("other")).select("key", "hub"))
+    return pinned(offered.join(hubs, "key"))
+
+
+def _across(shared: DataFrame, known: DataFrame) -> DataFrame:
+    """The members, with their component, of groups that hold several components."""
+    placed = shared.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn(
+        "component", F.coalesce("component", "id")
+    )
+    spread = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    several = pinned(spread.where(F.col("low") != F.col("high")).select("key"))
+    return placed.join(several, "key").select("key", "band", "id", "component")
+
+
 def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
     table = pinned(described(docs, percent, size))
     nodes = table.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
     views = nodes.select("id", "n_shingles", F.explode("views").alias("v")).select("id", "n_shingles", "v.*")
-    keys = views.select("id", "band", F.explode("keys").alias("key"))
-    groups = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("other"))
-    groups = groups.where(F.col("hub") != F.col("other")).select("key", "hub")
-    one_of = nodes.groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("twin"))
+    one_of = nodes.groupBy("f1", "f2", "n_shingles").agg(
+        F.min("id").alias("twin"), F.max("id").alias("other")
+    )
+    one_of = pinned(one_of.where(F.col("twin") != F.col("other")).drop("other"))
     twins = pinned(
-        nodes.join(one_of, ["f1", "f2", "n_shingles"])
+        nodes.select("id", "f1", "f2", "n_shingles")
+        .join(one_of, ["f1", "f2", "n_shingles"])
         .where(F.col("id") != F.col("twin"))
         .select("id", "twin")
         .distinct()
     )
-    shared = keys.join(groups, "key").join(twins, "id", "left")
-    shared = pinned(shared.select("key", "band", F.coalesce("twin", "id").alias("id"), "hub").distinct())
+    shared = _groups(views, twins)
 
     stars = shared.where(F.col("id") != F.col("hub")).select(
         F.col("hub").alias("a"), F.col("id").alias("b"), "band"
@@ -252,17 +336,13 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, size: int = SHIN
     )
 
     # groups that hold more than one component: test the pairs between components
-    known = components(links)
-    placed = shared.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn(
-        "component", F.coalesce("component", "id")
-    )
-    spread = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = placed.join(spread.where(F.col("low") != F.col("high")).select("key"), "key")
-    mixed = pinned(mixed.select("key", "band", "id", "component"))
-    left = mixed.select("key", "band", F.col("id").alias("a"), F.col("component").alias("ca"))
-    right = mixed.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-    crossing = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))
-    more = verified(near(crossing.select("a", "b", "band").distinct(), views, percent), docs, percent, size)
+    known = pinned(components(links))
+    mixed = _across(shared, known).select("id").distinct()
+    fine_rows = docs.join(mixed.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    fine = pinned(described(fine_rows, percent, size, FINE)).where(F.col("n_shingles") > 0)
+    fine = fine.select("id", "n_shingles", F.explode("views").alias("v")).select("id", "n_shingles", "v.*")
+    placed = pinned(_across(_groups(fine, twins), known))
+    more = verified(compared(placed, fine, percent), docs, percent, size)
     final = components(links.unionByName(more)).withColumnRenamed("node", "id")
     return table.join(final, "id", "left").select(
         F.col("id").alias("doc_id"),
