@@ -54,7 +54,7 @@ BAND = 1.6
 #: those that are compared across components.
 SPARE, FINE = 1.25, 2.5
 #: Members of a group that one step compares with each other, about.
-CELL = 1024
+CELL = 256
 #: Pairs with one hub that one sorted run compares.
 RUN = 512
 _U = np.uint64
