@@ -6,9 +6,50 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reelgate.llm.jaccard import one_of_each
+from reelgate.llm.line_dedup import dedup_lines
+from reelgate.llm.mixing import mixed_documents
+from reelgate.llm.packing import pack
+from reelgate.llm.quality import keep_good
 from reelgate.session import prepare, shared_dir
 
-STAGES = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling against the labelled good ones keeps."""
+    return keep_good(docs, prepare(spark).read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that many documents share, which stay in one of them."""
+    prepare(spark)
+    return dedup_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: shingles of five words, similarity 0.8."""
+    prepare(spark)
+    return one_of_each(docs, percent=80, size=5)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, in training order."""
+    prepare(spark)
+    return mixed_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of training sequences; token ids follow from document, start and length."""
+    prepare(spark)
+    return pack(docs).drop("ids")
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources to target weights", mixing),
+    ("packing", packing),
+]
 
 #: No stage list with a classifier and a tokenizer can be said in SQL.
 ORACLE_SQL = None
