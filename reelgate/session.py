@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 from uuid import uuid4
 
@@ -75,8 +77,39 @@ def pinned(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it from there.
 
     Every later read sees the same rows, computed once, and survives lost executors; being
-    columnar, the table also serves readers that need only some of its columns.
+    columnar, the table also serves readers that need only some of its columns. The table is
+    needed for as long as results that follow from it are read; ``scratch`` and ``release`` free it.
     """
     path = f"{shared_dir(df.sparkSession)}/pinned-{uuid4().hex}"
+    _steps(df.sparkSession).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _steps(spark: SparkSession) -> list[str]:
+    """The stored steps of this application that have not been freed."""
+    context = spark.sparkContext
+    if not hasattr(context, "_reelgate_steps"):
+        context._reelgate_steps = []
+    return context._reelgate_steps
+
+
+def release(spark: SparkSession, keep: int = 0) -> int:
+    """Delete the stored steps but the first ``keep``; frames that read them become unusable."""
+    steps = _steps(spark)
+    gone, steps[keep:] = steps[keep:], []
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    for name in gone:
+        path = path_of(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(gone)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Free all steps stored inside the block at its end, when its results have been written."""
+    before = len(_steps(spark))
+    try:
+        yield
+    finally:
+        release(spark, before)
