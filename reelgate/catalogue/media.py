@@ -388,9 +388,9 @@ def ingest_plan(spark, d):
     rg AS (SELECT doc_id, st, quantile_cont(db, 0.95) - quantile_cont(db, 0.05) AS rng FROM sec GROUP BY 1, 2),
     isl AS (SELECT doc_id, st, k - row_number() OVER (PARTITION BY doc_id, st ORDER BY k) AS g FROM w WHERE f0 > 0),
     lr AS (SELECT doc_id, st, max(c) AS c FROM (SELECT doc_id, st, g, count(*) AS c FROM isl GROUP BY ALL) GROUP BY 1, 2),
-    toxic AS (SELECT doc_id FROM labels WHERE toxic = 1),
+    toxic AS (SELECT doc_id FROM labels WHERE toxic = 1 UNION SELECT doc_id FROM documents WHERE source = 'src3'),
     scr AS (SELECT doc_id, st, vf, act, rng FROM m JOIN rg USING (doc_id, st) JOIN lr USING (doc_id, st)
-      WHERE vf BETWEEN 0.72 AND 0.98 AND rng <= 8 AND mp < 0.999 AND act >= -45 AND pk <= -0.1 AND c / 50 >= 1.2 AND st > 0 AND doc_id NOT IN (SELECT doc_id FROM toxic)),
+      WHERE vf BETWEEN 0.72 AND 0.98 AND rng <= 8 AND mp < 0.999 AND act >= -45 AND pk <= -0.1 AND c / 50 >= 1.2 AND st > 0 AND (st // 250) % 7 <= 3 AND doc_id NOT IN (SELECT doc_id FROM toxic)),
     top AS (SELECT doc_id, quantile_cont(act, 0.75) AS top FROM scr GROUP BY 1),
     c0 AS (SELECT doc_id AS series_id, st AS start_frame, abs(vf - 0.82) + rng / 20 + greatest(0, -35 - act) / 20 AS a, 0 AS b
       FROM scr JOIN top USING (doc_id) WHERE greatest(0, top - act) <= 6),
@@ -413,36 +413,54 @@ def curation_plan(spark, d):
         F.struct(F.col("h").alias("sha256")).alias("vocals"),
         F.struct(F.col("h").alias("source_vocals_sha256")).alias("clean_vocals"),
     )
-    catalog = docs.select(
+    # every third stem has no catalog row
+    catalog = docs.where("doc_id % 3 > 0").select(
         F.col("source").alias("artist_id"), song.alias("song_id"),
         F.col("lang").alias("title"), F.concat(song, F.lit(".wav")).alias("source_filename"),
     )
     toxic = known.join(labels.where("toxic = 1"), "doc_id", "left_semi")
     policy = curation.Policy(
         sources=toxic.select(
-            F.col("h").alias("sha256"), F.lit("").alias("filename"), F.lit("toxic").alias("reason"),
+            F.col("source").alias("artist_id"), F.col("h").alias("sha256"), F.lit("").alias("filename"), F.lit("toxic").alias("reason"),
             F.col("doc_id").alias("pos"),
         ),
         voice=toxic.limit(0).select(
-            song.alias("song_id"), F.lit(True).alias("exclude_entire_song"), F.lit("").alias("reason")
+            F.col("source").alias("artist_id"), song.alias("song_id"), F.lit(True).alias("exclude_entire_song"), F.lit("").alias("reason")
         ),
-        intervals=known.select(song.alias("song_id"), F.lit(0.0).alias("start_s"), F.lit(0.5).alias("end_s")),
+        intervals=known.select(F.col("source").alias("artist_id"), song.alias("song_id"), F.lit(0.0).alias("start_s"), F.lit(0.5).alias("end_s")),
     )
 
     def frames_of(passed: DataFrame) -> DataFrame:
-        wanted = recordings.join(
-            passed.select(F.col("song_id").cast("long").alias("series_id")), "series_id", "left_semi"
-        )
-        frames = media.frame_energy(wanted)
+        owners = passed.select("artist_id", F.col("song_id").cast("long").alias("series_id"))
+        wanted = recordings.join(owners, "series_id", "left_semi")
+        frames = media.frame_energy(wanted).join(owners, "series_id")
         return frames.select(
-            F.col("series_id").cast("string").alias("song_id"), "frame_idx",
+            "artist_id", F.col("series_id").cast("string").alias("song_id"), "frame_idx",
             F.when((F.col("peak") < 0.9) & (F.col("rms") >= 0.12), 400 * F.col("rms"))
             .otherwise(F.lit(0.0))
             .alias("f0"),
-            "rms", "peak", "clipped_n", "n", "mid_sq", "side_sq",
+            "rms", "peak", "clipped_n", "n", "mid_sq", "side_sq", "channels",
         )
 
-    built = curation.curate(stems, catalog, policy, known.select(F.col("h").alias("sha256")), frames_of)
+    # recordings of 8 kHz have no high band; their place stands in for it
+    def bands(windows: DataFrame) -> DataFrame:
+        step = F.expr("start_frame div 250") % 7
+        return windows.withColumn("high_band_ratio_db", (-20 - 5 * step).cast("double"))
+
+    rights = docs.select(F.col("source").alias("artist_id")).distinct().select(
+        "artist_id",
+        F.lit("approved").alias("status"),
+        F.lit(None).cast("timestamp").alias("effective_at"),
+        F.lit(None).cast("timestamp").alias("expires_at"),
+        F.lit(1).alias("n_approvals"),
+        F.lit(True).alias("training"),
+        (F.col("artist_id") != "src3").alias("singing_voice"),
+    )
+    allowed = known.select(F.col("source").alias("artist_id"), F.col("h").alias("sha256"))
+    at = F.lit("2024-06-01").cast("timestamp")
+    built = curation.curate(
+        stems, catalog, policy, allowed, frames_of, rights=rights, at=at, bands=bands
+    )
     return rounded(
         built.sources.select("song_id", "training_segments", "validation_segments").unionByName(
             built.excluded.select(

@@ -160,12 +160,15 @@ def voice_song_gate(
     label: Column,
     *,
     markers: Sequence[str] = POLICY_MARKERS,
-    reject_live: bool = True,
+    reject_live: bool | Column = True,
     key: str = "song_id",
+    name: str | None = None,
 ) -> DataFrame:
     """Add ``voice_excluded`` and ``voice_reason``: whole-song flag or live marker.
 
-    ``policy`` has one row per song: exclude_entire_song, reason.
+    ``policy`` has one row per song: exclude_entire_song, reason. ``reject_live`` may be a
+    column, as each artist's policy says; ``name`` is the column whose text is searched for
+    markers beside ``label`` where the key is not the song's own name.
     """
     rules = policy.select(
         F.col(key).alias("__pk"),
@@ -175,8 +178,10 @@ def voice_song_gate(
     joined = df.join(rules, F.col(key) == F.col("__pk"), "left")
     whole = F.coalesce(F.col("__whole"), F.lit(False))
     marked = F.lit(False)
-    if reject_live:
-        marked = has_marker(F.concat_ws(" ", F.col(key).cast("string"), label), markers)
+    if reject_live is not False:
+        marked = has_marker(F.concat_ws(" ", F.col(name or key).cast("string"), label), markers)
+    if isinstance(reject_live, Column):
+        marked = marked & F.coalesce(reject_live, F.lit(True))
     return (
         joined.withColumn("voice_excluded", whole | marked)
         .withColumn(
@@ -433,16 +438,17 @@ def review_gate(
 
 
 def exclusion_audit(
-    source_denied_rows: DataFrame, voice_denied_rows: DataFrame, key: str = "song_id"
+    source_denied_rows: DataFrame, voice_denied_rows: DataFrame, key: str | Sequence[str] = "song_id"
 ) -> DataFrame:
-    """One audit table (key, scope, reason) over both scopes, with a fallback reason."""
+    """One audit table (keys, scope, reason) over both scopes, with a fallback reason."""
+    keys = [key] if isinstance(key, str) else list(key)
     source = source_denied_rows.select(
-        key,
+        *keys,
         F.lit("source").alias("scope"),
         F.coalesce("exclusion_reason", F.lit("source is excluded")).alias("reason"),
     )
     voice = voice_denied_rows.select(
-        key,
+        *keys,
         F.lit("voice_training").alias("scope"),
         F.coalesce("voice_reason", F.lit("live recordings are excluded")).alias("reason"),
     )

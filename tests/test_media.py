@@ -142,25 +142,30 @@ def song(spark, tmp_path_factory):
     return recs, frames.withColumnRenamed("series_id", "song_id")
 
 
-def _policy(spark, intervals=()):
+def _policy(spark, intervals=(), sources=()):
     return curation.Policy(
-        sources=spark.createDataFrame([], "sha256 string, filename string, reason string, pos int"),
-        voice=spark.createDataFrame([], "song_id string, exclude_entire_song boolean, reason string"),
-        intervals=spark.createDataFrame(list(intervals), "song_id string, start_s double, end_s double"),
+        sources=spark.createDataFrame(list(sources), "artist_id string, sha256 string, filename string, reason string, pos int"),
+        voice=spark.createDataFrame([], "artist_id string, song_id string, exclude_entire_song boolean, reason string"),
+        intervals=spark.createDataFrame(list(intervals), "artist_id string, song_id string, start_s double, end_s double"),
     )
 
 
-def _build(spark, song, intervals=(), lineage="v", listed="src"):
+def _build(spark, song, intervals=(), lineage="v", listed="src", sources=(), granted=True, artists=("x",)):
     recs, frames = song
     stems = spark.createDataFrame(
-        [("x", "song-a", "src", ("v",), (lineage,))],
+        [(a, "song-a", "src", ("v",), (lineage,)) for a in artists],
         "artist_id string, song_id string, source_sha256 string, vocals struct<sha256:string>, "
         "clean_vocals struct<source_vocals_sha256:string>",
     )
     catalog = spark.createDataFrame(
         [("x", "song-a", "A", "a.wav")], "artist_id string, song_id string, title string, source_filename string"
     )
-    allowed = spark.createDataFrame([(listed,)], "sha256 string")
+    allowed = spark.createDataFrame([("x", listed)], "artist_id string, sha256 string")
+    rights = spark.createDataFrame(
+        [(a, "approved", None, None, 1, True, granted) for a in artists],
+        "artist_id string, status string, effective_at timestamp, expires_at timestamp, n_approvals int, "
+        "training boolean, singing_voice boolean",
+    )
 
     def bands(windows):
         where = recs.select(F.col("series_id").alias("song_id"), "path", "sample_rate")
@@ -170,9 +175,12 @@ def _build(spark, song, intervals=(), lineage="v", listed="src"):
         return media.band_ratio(cut)
 
     def frames_of(passed):
-        return frames.join(passed.select("song_id"), "song_id", "left_semi")
+        return frames.join(passed.select("artist_id", "song_id"), "song_id")
 
-    return curation.curate(stems, catalog, _policy(spark, intervals), allowed, frames_of, bands=bands, training_segments=1)
+    return curation.curate(
+        stems, catalog, _policy(spark, intervals, sources), allowed, frames_of,
+        rights=rights, at=F.lit(datetime(2024, 6, 1)), bands=bands, training_segments=1,
+    )
 
 
 def test_curation(spark, song):
@@ -187,7 +195,7 @@ def test_curation(spark, song):
 
 
 def test_curation_skips_excluded_intervals(spark, song):
-    built = _build(spark, song, [("song-a", 0.0, 20.0)])
+    built = _build(spark, song, [("x", "song-a", 0.0, 20.0), ("y", "song-a", 0.0, 45.0)])
     assert all(r.start_s >= 20 for r in built.segments.collect())
 
 
@@ -196,6 +204,23 @@ def test_curation_reports_broken_lineage_and_unlisted_sources(spark, song):
     assert [r.violation for r in _build(spark, song, listed="other").violations.collect()] == ["not allow-listed"]
 
 
+def test_curation_is_governed_per_artist(spark, song):
+    """Two artists share a song id and a source hash; rules and allow-lists are their own."""
+    rule = ("y", "src", "", "withdrawn", 0)
+    built = _build(spark, song, artists=("x", "y"), sources=[rule])
+    assert {(r.artist_id, r.scope, r.reason) for r in built.excluded.collect()} == {("y", "source", "withdrawn")}
+    assert {r.artist_id for r in built.segments.collect()} == {"x"}
+    built = _build(spark, song, artists=("x", "y"))
+    assert [(r.artist_id, r.violation) for r in built.violations.collect()] == [("y", "not allow-listed")]
+    assert [(r.artist_id, r.training_segments) for r in built.sources.collect()] == [("x", 1)]
+
+
+def test_curation_asks_for_every_capability(spark, song):
+    built = _build(spark, song, granted=False)
+    assert [(r.scope, r.reason) for r in built.excluded.collect()] == [("rights", "capability not granted")]
+    assert built.segments.count() == 0 and built.sources.count() == 0
+
+
 def test_window_metrics_equal_series_metrics_of_the_cut(spark, song):
     _, frames = song
     window = window_metrics(frames, 750, 250, keys=["song_id"]).where("start_frame = 500").first()
