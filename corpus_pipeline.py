@@ -11,7 +11,7 @@ from reelgate.llm.line_dedup import dedup_lines
 from reelgate.llm.mixing import mixed_documents
 from reelgate.llm.packing import pack
 from reelgate.llm.quality import keep_good
-from reelgate.session import prepare, shared_dir
+from reelgate.session import prepare, scratch, shared_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,6 +62,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/pipeline-{uuid4().hex}"
     for number, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{number}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

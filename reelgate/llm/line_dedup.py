@@ -25,7 +25,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelgate.llm.tables import SPACE_CHARS, ascii_lower, id_key, text_or_empty
+from reelgate.llm.tables import (
+    SPACE_CHARS,
+    ascii_lower,
+    id_key,
+    text_or_empty,
+    unpacked,
+    whole_row,
+)
 from reelgate.session import pinned
 
 MIN_CHARS = 20
@@ -65,7 +72,9 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     lines = lines.where(F.char_length("line") >= min_chars).withColumn("key", key)
     lines = lines.where(F.char_length("key") >= min_chars)
     lines = lines.select("id", "text_hash", "position", *_hashes(F.col("key")))
-    held = pinned(lines.join(repeated_keys(docs, min_chars, min_docs), ["h1", "h2"]))
+    # stored first, so that the join below can split a hot hash among tasks
+    repeated = pinned(repeated_keys(docs, min_chars, min_docs))
+    held = pinned(lines.join(repeated, ["h1", "h2"]))
 
     span = F.col("last").cast("double") - F.col("low").cast("double")
     width = F.greatest(span / F.ceil(F.col("docs") / SLICE_LINES), F.lit(1.0))
@@ -98,12 +107,12 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 
 
 def with_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """All rows of ``docs`` with ``dropped``, ``keep`` and ``kept_text`` beside them."""
+    """Each row of ``docs`` (as struct ``row``) with ``dropped``, ``keep`` and ``kept_text``."""
     maps = keep_bitmaps(docs, min_chars, min_docs)
-    rows = docs.withColumn("__id", id_key()).withColumn("__hash", F.xxhash64(text_or_empty()))
-    joined = rows.join(
-        maps.withColumnsRenamed({"id": "__id", "text_hash": "__hash"}), ["__id", "__hash"], "left"
+    rows = docs.select(
+        whole_row(docs), id_key().alias("id"), F.xxhash64(text_or_empty()).alias("text_hash")
     )
+    joined = rows.join(maps, ["id", "text_hash"], "left")
 
     def kept_text(lines: Column) -> Column:
         chosen = F.transform(
@@ -113,19 +122,16 @@ def with_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
         return F.array_join(F.flatten(chosen), "\n")
 
     # the lambda binds the split lines once for all runs
-    applied = F.element_at(F.transform(F.array(F.split(text_or_empty(), "\n")), kept_text), 1)
-    text = F.when(F.col("keep").isNull(), F.col("text")).otherwise(applied)
-    return joined.withColumn("kept_text", text).drop("__id", "__hash")
+    applied = F.element_at(F.transform(F.array(F.split(text_or_empty("row.text"), "\n")), kept_text), 1)
+    text = F.when(F.col("keep").isNull(), F.col("row.text")).otherwise(applied)
+    return joined.select("row", "dropped", "keep", text.alias("kept_text"))
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """The documents with repeated lines dropped; ``n_chars`` follows the text."""
-    done = with_bitmaps(docs.select(*docs.columns), **options)
-    changed = {"text": F.col("kept_text").alias("text")}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = (
-            F.when(F.col("keep").isNull(), F.col("n_chars"))
-            .otherwise(F.char_length("kept_text").cast("long"))
-            .alias("n_chars")
-        )
-    return done.select(*[changed.get(c, F.col(f"`{c}`")) for c in docs.columns])
+    count = F.when(F.col("keep").isNull(), F.col("row.n_chars") if "n_chars" in docs.columns else F.lit(None))
+    changed = {
+        "text": F.col("kept_text"),
+        "n_chars": count.otherwise(F.char_length("kept_text").cast("long")),
+    }
+    return unpacked(with_bitmaps(docs, **options), docs.columns, changed)

@@ -24,7 +24,7 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelgate.llm.tables import SPACE, WORD, id_key, text_or_empty
+from reelgate.llm.tables import SPACE, WORD, id_key, text_or_empty, unpacked, whole_row
 from reelgate.session import pinned
 
 WEIGHTS = (1, 2, 3)
@@ -215,23 +215,21 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     the first words only; its text is cut after the last of them and ``n_chars`` follows.
     """
     plan = mix(docs, **options)
-    group = ["__id", "__hash"]
-    ways = plan.select(
-        id_key().alias("__id"), F.col("text_hash").alias("__hash"), "size", "copies"
-    ).groupBy(*group).agg(
-        F.first("size").alias("__size"), F.sort_array(F.collect_list("copies")).alias("__ways")
+    group = ["id", "text_hash"]
+    ways = plan.select(id_key().alias("id"), "text_hash", "size", "copies").groupBy(*group).agg(
+        F.first("size").alias("size"), F.sort_array(F.collect_list("copies")).alias("ways")
     )
-    rows = docs.withColumn("__id", id_key()).withColumn("__hash", F.xxhash64(text_or_empty()))
-    rows = rows.withColumn("__row", F.row_number().over(Window.partitionBy(*group).orderBy(*group)))
-    taken = rows.join(ways, group).withColumn("__copy", F.explode(F.element_at("__ways", F.col("__row"))))
-    pieces = F.split(text_or_empty(), rf"(?<=[^{SPACE}])(?=[{SPACE}])")
-    words = F.col("__copy.words")
-    cut = words < F.col("__size")
-    text = F.when(cut, F.array_join(F.slice(pieces, F.lit(1), words.cast("int")), "")).otherwise(F.col("text"))
-    changed = {"text": text.alias("text")}
+    rows = docs.select(
+        whole_row(docs), id_key().alias("id"), F.xxhash64(text_or_empty()).alias("text_hash")
+    )
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*group).orderBy(*group)))
+    taken = rows.join(ways, group).withColumn("copy", F.explode(F.element_at("ways", F.col("nth"))))
+    pieces = F.split(text_or_empty("row.text"), rf"(?<=[^{SPACE}])(?=[{SPACE}])")
+    words = F.col("copy.words")
+    cut = words < F.col("size")
+    first_words = F.array_join(F.slice(pieces, F.lit(1), words.cast("int")), "")
+    text = F.when(cut, first_words).otherwise(F.col("row.text"))
+    changed = {"text": text}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = (
-            F.when(cut, F.char_length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
-        )
-    ordered = taken.withColumn("__position", F.col("__copy.position")).orderBy("__position", "__id", "__hash")
-    return ordered.select(*[changed.get(c, F.col(f"`{c}`")) for c in docs.columns])
+        changed["n_chars"] = F.when(cut, F.char_length(text).cast("long")).otherwise(F.col("row.n_chars"))
+    return unpacked(taken.orderBy("copy.position", "id", "text_hash"), docs.columns, changed)

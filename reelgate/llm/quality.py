@@ -201,5 +201,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     kept = resample(docs, labels, **options).where("kept").select(
         F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")
     ).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text_or_empty()) == F.col("__hash"))
+    text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    same = docs["doc_id"].eqNullSafe(kept["__id"]) & (text_hash == kept["__hash"])
     return docs.join(kept, same, "left_semi")

@@ -99,8 +99,8 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its count of lines, of dropped lines and a digest of what stays."""
     done = with_bitmaps(table(spark, folder, "documents").select("doc_id", "text"))
     return done.select(
-        "doc_id",
-        F.size(F.split(text_or_empty(), "\n")).cast("long").alias("n_lines"),
+        "row.doc_id",
+        F.size(F.split(text_or_empty("row.text"), "\n")).cast("long").alias("n_lines"),
         F.coalesce("dropped", F.lit(0).cast("long")).alias("n_dropped"),
         F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
     )

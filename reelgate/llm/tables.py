@@ -31,5 +31,17 @@ def id_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column), F.lit(NO_ID))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that no name of theirs meets one used inside."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
+def unpacked(df: DataFrame, columns: list[str], changed: dict[str, Column]) -> DataFrame:
+    """The columns of ``row`` again, some of them replaced."""
+    return df.select(
+        *[changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in columns]
+    )
+
+
 def shuffle_parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -133,7 +133,7 @@ def plain_lines(docs):
 def lines_of(df):
     done = with_bitmaps(df.select("doc_id", "text"))
     return [
-        (r.doc_id, r.dropped or 0, r.kept_text or "") for r in done.select("doc_id", "dropped", "kept_text").collect()
+        (r.doc_id, r.dropped or 0, r.kept_text or "") for r in done.select("row.doc_id", "dropped", "kept_text").collect()
     ]
 
 
