@@ -6,7 +6,7 @@ collection is cut by content first and each part is sorted by itself:
 
 1. Cut. Every window of ``LENGTH`` bytes names its anchor, the ``ANCHOR`` bytes of least hash in
    it. Equal windows have equal anchors. Successive windows with one anchor make a piece
-   (``LENGTH`` to 176 bytes), known by the hashes of its anchor and of its bytes. Pieces that repeat
+   (``LENGTH`` to 152 bytes), known by the hashes of its anchor and of its bytes. Pieces that repeat
    inside a task are settled there: only the earliest travels.
 2. Meet. Pieces are sorted by anchor, bytes and place. Of equal pieces all but the earliest are
    covered. Anchors that are left with several different pieces are what needs sorting.
@@ -45,7 +45,7 @@ from reelgate.llm.tables import id_key, text_or_empty
 from reelgate.session import pinned
 
 LENGTH = 100
-ANCHOR = 24
+ANCHOR = 48
 #: Pieces that a task settles among themselves before any travels.
 SETTLED = 1 << 20
 #: Bytes of pieces that are sorted as one collection.
