@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelgate.llm import hashing
-from reelgate.llm.tables import id_key, shuffle_parts, text_or_empty
+from reelgate.llm.tables import id_key, real_id, shuffle_parts, text_or_empty
 
 WINDOW = 64
 LEVELS = 1000
@@ -195,8 +195,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 out["digest"] = [as_text(d) for d in digests(texts, ranks)]
                 yield out
 
-    rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
-    return rows.mapInPandas(make, "doc_id long, text_hash long, digest string")
+    rows = docs.select(
+        id_key().alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text")
+    )
+    made = rows.mapInPandas(make, "doc_id long, text_hash long, digest string")
+    return made.withColumn("doc_id", real_id("doc_id"))
 
 
 def _runs(docs: DataFrame) -> DataFrame:
@@ -223,7 +226,7 @@ def _runs(docs: DataFrame) -> DataFrame:
         )
 
     rows = docs.select(
-        "doc_id", id_key().alias("id"), F.xxhash64(text_or_empty()).alias("h"), text_or_empty().alias("text")
+        id_key().alias("id"), F.xxhash64(text_or_empty()).alias("h"), text_or_empty().alias("text")
     )
     placed = rows.withColumn("at", F.explode(places("id"))).select("*", "at.*")
     return placed.repartition("run").sortWithinPartitions("run", "copy", F.col("id").desc(), "h")
@@ -246,7 +249,7 @@ def with_successors(docs: DataFrame) -> DataFrame:
         own, other = digests([t.encode() for t in texts], ranks), digests(changed, ranks)
         return pd.DataFrame(
             {
-                "doc_id": pd.array([r[0] for r in rows], dtype="Int64"),
+                "doc_id": [r[0] for r in rows],
                 "n_chars": [len(t) for t in texts[:-1]],
                 "edited_sha256": [hashlib.sha256(t).hexdigest() for t in changed],
                 "fingerprint": [as_text(d) for d in own[:-1]],
@@ -260,11 +263,11 @@ def with_successors(docs: DataFrame) -> DataFrame:
         held, size, at = [], 0, None
         for batch in batches:
             for doc_id, text, number, copy in zip(
-                batch["doc_id"], batch["text"], batch["run"], batch["copy"], strict=True
+                batch["id"], batch["text"], batch["run"], batch["copy"], strict=True
             ):
                 if number != at:
                     held, size, at = [], 0, number
-                row = (None if pd.isna(doc_id) else int(doc_id), text)
+                row = (int(doc_id), text)
                 if copy:
                     if held:
                         yield compare(held, row)
@@ -276,8 +279,9 @@ def with_successors(docs: DataFrame) -> DataFrame:
                 held.append(row)
                 size += len(text)
 
-    return _runs(docs).select("doc_id", "text", "run", "copy").mapInPandas(
+    found = _runs(docs).select("id", "text", "run", "copy").mapInPandas(
         run,
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string,"
         " near_edited double, near_next double",
     )
+    return found.withColumn("doc_id", real_id("doc_id"))

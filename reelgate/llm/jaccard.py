@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from reelgate.llm import hashing
 from reelgate.llm.components import components
-from reelgate.llm.tables import text_or_empty
+from reelgate.llm.tables import id_key, real_id, text_or_empty
 from reelgate.operators.scan import map_sorted_groups
 from reelgate.session import pinned
 
@@ -152,11 +152,12 @@ def described(
                 out.insert(0, "id", batch["id"].iloc[first : first + len(part)].to_numpy())
                 yield out
 
-    return docs.select(F.col("doc_id").alias("id"), text_or_empty().alias("text")).mapInPandas(
+    rows = docs.select(id_key().alias("id"), text_or_empty().alias("text"))
+    return rows.mapInPandas(
         describe,
         "id long, n_shingles long, f1 long, f2 long,"
         " views array<struct<band: int, apart: int, keys: array<long>, bits: array<long>>>",
-    )
+    ).withColumn("id", real_id("id"))
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:

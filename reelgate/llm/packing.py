@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelgate.llm.tables import text_or_empty
+from reelgate.llm.tables import id_key, real_id, text_or_empty
 from reelgate.llm.tokens import VOCABULARY, encode
 from reelgate.session import pinned
 
@@ -45,7 +45,7 @@ _SCHEMA = (
 )
 
 # a piece: (doc_id, start, ids, doc_tokens)
-Piece = tuple[int | None, int, np.ndarray, int]
+Piece = tuple[int, int, np.ndarray, int]
 
 
 class Packer:
@@ -105,10 +105,14 @@ class Packer:
 
     def taken(self) -> pd.DataFrame:
         rows, self.rows = self.rows, []
-        out = pd.DataFrame(rows, columns=_COLUMNS)
-        for name in ("doc_id", "sequence_id", "part"):
-            out[name] = out[name].astype("Int64")
-        return out
+        columns = list(zip(*rows, strict=True)) or [()] * len(_COLUMNS)
+        # nullable integers from the start: by way of floats, large ids would lose digits
+        return pd.DataFrame(
+            {
+                name: list(values) if name == "ids" else pd.array(values, dtype="Int64")
+                for name, values in zip(_COLUMNS, columns, strict=True)
+            }
+        )
 
 
 def pack(
@@ -119,6 +123,7 @@ def pack(
     end_id: int = END_ID,
     vocabulary: str = VOCABULARY,
     with_ids: bool = False,
+    group: int = GROUP,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
@@ -131,13 +136,13 @@ def pack(
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ids = np.append(encode(text, vocabulary), np.uint32(end_id))
-                packer.place((None if pd.isna(doc_id) else int(doc_id), 0, ids, len(ids)))
+                packer.place((int(doc_id), 0, ids, len(ids)))
                 if len(packer.rows) > 10_000:
                     yield packer.taken()
         packer.merge(part)
         yield packer.taken()
 
-    texts = docs.select("doc_id", text_or_empty().alias("text"))
+    texts = docs.select(id_key().alias("doc_id"), text_or_empty().alias("text"))
     placed = pinned(texts.mapInPandas(first_pass, _SCHEMA))
     done = [placed.where(F.col("sequence_id").isNotNull())]
     loose = placed.where(F.col("sequence_id").isNull())
@@ -147,30 +152,31 @@ def pack(
         last = loose.agg(F.max("part")).first()[0]
         if last is None:
             break
-        merged = pinned(_merged(loose, level, last < GROUP, window, with_ids))
+        merged = pinned(_merged(loose, level, last < group, window, with_ids, group))
         done.append(merged.where(F.col("sequence_id").isNotNull()))
         loose = merged.where(F.col("sequence_id").isNull())
-        if last < GROUP:
+        if last < group:
             break
     everything = done[0]
     for more in done[1:]:
         everything = everything.unionByName(more)
-    return everything.drop("part")
+    return everything.drop("part").withColumn("doc_id", real_id("doc_id"))
 
 
-def _merged(loose: DataFrame, level: int, final: bool, window: int, with_ids: bool) -> DataFrame:
+def _merged(
+    loose: DataFrame, level: int, final: bool, window: int, with_ids: bool, size: int
+) -> DataFrame:
     """Merge the leftover windows of each group of tasks; the last group emits its rest as well."""
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        group = int(pdf["part"].iloc[0]) // GROUP
+        group = int(pdf["part"].iloc[0]) // size
         packer = Packer((1 << 62) + (level << 54) + (group << 16), window, 1, with_ids)
         for row in pdf.sort_values(["part", "offset"]).itertuples(index=False):
             ids = np.frombuffer(row.ids, dtype="<u4")
-            doc_id = None if pd.isna(row.doc_id) else int(row.doc_id)
-            packer.place((doc_id, int(row.start), ids, int(row.doc_tokens)))
+            packer.place((int(row.doc_id), int(row.start), ids, int(row.doc_tokens)))
         if final and packer.open:
             packer.emit(packer.open.pop()[1])
         packer.merge(group)
         return packer.taken()
 
-    return loose.groupBy(F.floor(F.col("part") / GROUP).alias("g")).applyInPandas(merge, _SCHEMA)
+    return loose.groupBy(F.floor(F.col("part") / size).alias("g")).applyInPandas(merge, _SCHEMA)

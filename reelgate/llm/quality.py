@@ -7,9 +7,10 @@ without that tempering a long document's weight drowns both the noise and the co
 short ones. Gumbel noise is added to the weights and the documents with the largest sums stay,
 which samples without replacement in proportion to the weights.
 
-How many stay is measured, not guessed: the weight that best parts the labelled good from the
-labelled bad documents is found, and as many documents are drawn as lie above it. ``sharpness``
-scales the weights against the noise.
+How many stay is measured, not guessed: the weight that best parts labelled good from labelled bad
+documents is found, and as many documents are drawn as lie above it. Only every other good document
+teaches the target model; the others show what weights good documents get that it has not seen,
+as most documents are. ``sharpness`` scales the weights against the noise.
 
 Shapes at scale: two passes over the texts without a shuffle of text. Counts leave a task as one
 row per feature bucket and are summed per bucket; the model is ``BUCKETS`` numbers. Labelled ids
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelgate.llm import hashing
-from reelgate.llm.tables import text_or_empty
+from reelgate.llm.tables import id_key, real_id, text_or_empty
 from reelgate.session import pinned
 
 #: Feature buckets of the models.
@@ -42,6 +43,8 @@ BUCKETS = 1 << 16
 LABELLED = 20_000
 #: Added to every bucket's count.
 SMOOTHING = 1.0
+#: A lost good document costs as much as this many bad ones kept (as shares of their classes).
+CARE = 3.0
 #: Weights are multiplied by this before noise is added.
 SHARPNESS = 16.0
 
@@ -98,8 +101,7 @@ def fit(docs: DataFrame, good: list[int], smoothing: float = SMOOTHING) -> np.nd
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         raw, wanted = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            ids = batch["doc_id"].to_numpy(dtype="float64", na_value=np.nan)
-            chosen = np.isin(ids, target)
+            chosen = np.isin(batch["doc_id"].to_numpy(), target)
             for first, texts in hashing.steps(_encoded(batch["text"])):
                 buckets, owner = features(texts)
                 raw += np.bincount(buckets, minlength=BUCKETS)
@@ -107,7 +109,7 @@ def fit(docs: DataFrame, good: list[int], smoothing: float = SMOOTHING) -> np.nd
         used = np.flatnonzero(raw)
         yield pd.DataFrame({"bucket": used.astype(np.int32), "raw": raw[used], "wanted": wanted[used]})
 
-    rows = docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(
+    rows = docs.select(id_key().alias("doc_id"), text_or_empty().alias("text")).mapInPandas(
         count, "bucket int, raw long, wanted long"
     )
     # at most BUCKETS rows
@@ -135,13 +137,15 @@ def score(docs: DataFrame, model: np.ndarray) -> DataFrame:
                 {"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "log_weight": weights}
             )
 
-    return docs.select(
-        "doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text")
-    ).mapInPandas(weigh, "doc_id long, text_hash long, log_weight double")
+    rows = docs.select(
+        id_key().alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text")
+    )
+    weighed = rows.mapInPandas(weigh, "doc_id long, text_hash long, log_weight double")
+    return weighed.withColumn("doc_id", real_id("doc_id"))
 
 
-def parting_weight(good: np.ndarray, bad: np.ndarray) -> float:
-    """The weight at which the shares of misjudged good and misjudged bad documents sum to least."""
+def parting_weight(good: np.ndarray, bad: np.ndarray, care: float = CARE) -> float:
+    """The weight with the least cost: ``care`` times the share of good lost plus that of bad kept."""
     if not len(good) or not len(bad):
         return -np.inf
     good, bad = np.sort(good), np.sort(bad)
@@ -149,7 +153,7 @@ def parting_weight(good: np.ndarray, bad: np.ndarray) -> float:
     cuts = np.concatenate([[cuts[0] - 1], (cuts[:-1] + cuts[1:]) / 2])
     lost = np.searchsorted(good, cuts) / len(good)
     passed = 1 - np.searchsorted(bad, cuts) / len(bad)
-    return float(cuts[np.argmin(lost + passed)])
+    return float(cuts[np.argmin(care * lost + passed)])
 
 
 def kth_largest(rows: DataFrame, column: str, k: int) -> int:
@@ -176,9 +180,11 @@ def resample(
 ) -> DataFrame:
     """doc_id, text_hash, log_weight, noisy_weight and kept of every row of ``docs``."""
     good, bad = labelled_ids(labels, limit)
-    scored = pinned(score(docs, fit(docs, good)))
+    # ids come in hash order, so every other one is a fair half
+    taught, unseen = good[::2], good[1::2] or good
+    scored = pinned(score(docs, fit(docs, taught)))
     known = docs.sparkSession.createDataFrame(
-        [(i, True) for i in good] + [(i, False) for i in bad], "doc_id long, good boolean"
+        [(i, True) for i in unseen] + [(i, False) for i in bad], "doc_id long, good boolean"
     )
     judged = scored.join(known, "doc_id").select("good", "log_weight").toPandas()  # 2 * limit ids
     cut = parting_weight(

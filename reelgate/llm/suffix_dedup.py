@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from reelgate.llm import hashing
 from reelgate.llm.bwt import repeated_windows
-from reelgate.llm.tables import id_key, text_or_empty
+from reelgate.llm.tables import id_key, real_id, text_or_empty
 from reelgate.session import pinned
 
 LENGTH = 100
@@ -122,7 +122,7 @@ def _joined_spans(keys: tuple[np.ndarray, ...], start: np.ndarray, end: np.ndarr
 
 def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(
-        "doc_id", id_key().alias("id"), F.hash(text_or_empty()).alias("h"), text_or_empty().alias("text")
+        id_key().alias("id"), F.hash(text_or_empty()).alias("h"), text_or_empty().alias("text")
     )
 
 
@@ -304,7 +304,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> D
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc_id, text, some in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
+            for doc_id, text, some in zip(batch["id"], batch["text"], batch["spans"], strict=True):
                 raw = text.encode()
                 some = [] if some is None else some
                 start = np.array([p["start"] for p in some], dtype=np.int64)
@@ -314,12 +314,11 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> D
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 removed = [{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist(), strict=True)]
                 rows.append((doc_id, len(raw), len(raw) - len(kept), len(removed), removed, kept))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "removed", "kept"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "removed", "kept"])
 
-    return _documents(docs).join(gone, ["id", "h"], "left").mapInPandas(
+    done = _documents(docs).join(gone, ["id", "h"], "left").mapInPandas(
         remove,
         "doc_id long, n_bytes long, n_removed long, n_spans long,"
         " removed array<struct<start: long, end: long>>, kept binary",
     )
+    return done.withColumn("doc_id", real_id("doc_id"))

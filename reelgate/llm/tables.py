@@ -43,5 +43,14 @@ def unpacked(df: DataFrame, columns: list[str], changed: dict[str, Column]) -> D
     )
 
 
+def real_id(column: str) -> Column:
+    """Null again where ``id_key`` put its stand-in.
+
+    Ids pass through pandas as ``id_key``: a column with nulls would turn into doubles there, and
+    ids beyond 2**53 would change.
+    """
+    return F.when(F.col(column) != NO_ID, F.col(column))
+
+
 def shuffle_parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

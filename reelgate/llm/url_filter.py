@@ -110,7 +110,7 @@ def train(labelled: DataFrame, limit: int = LABELLED) -> LogisticRegressionModel
     classes = {row["label"] for row in few.select("label").distinct().collect()}
     if len(classes) < 2:
         return BLOCK if 1.0 in classes else ALLOW
-    learner = LogisticRegression(maxIter=50, regParam=0.001, standardization=False)
+    learner = LogisticRegression(maxIter=50, regParam=0.0001, standardization=False)
     # one bounded partition in a fixed order: the sums of a rerun are the same to the last bit
     return learner.fit(hashed(few.coalesce(1)))
 
