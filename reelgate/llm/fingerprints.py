@@ -41,7 +41,7 @@ FILTER_BYTES = 256
 #: Bits that one feature sets.
 HASHES = 5
 #: Runs of documents per shuffle partition.
-RUNS = 8
+RUNS = 2
 _STEP = 1 << 18
 
 _c = np.arange(WINDOW + 1, dtype=np.float64)
