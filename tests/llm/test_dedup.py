@@ -7,7 +7,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
-from conftest import DOCS, PROSE, edge_rows, rows
+from samples import DOCS, PROSE, edge_rows, rows
 
 from reelgate.llm import jaccard
 from reelgate.llm.bwt import collection_bwt, repeated_windows

@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import PROSE, edge_rows, rows
+from samples import PROSE, edge_rows, rows
 from oracle import _rows, connect
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer

@@ -1,7 +1,7 @@
 """The pipeline's stages against what each is to do with its own input."""
 
 import corpus_pipeline
-from conftest import edge_rows
+from samples import edge_rows
 from test_dedup import plain_components, plain_lines
 
 from reelgate.llm.mixing import mix
