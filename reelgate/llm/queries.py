@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgate.llm.chat import rotate
+from reelgate.llm.chat import perspectives
 from reelgate.llm.fingerprints import with_successors
 from reelgate.llm.jaccard import near_duplicates
 from reelgate.llm.line_dedup import with_bitmaps
@@ -148,8 +148,10 @@ def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def op6_chat(spark: SparkSession, folder: str) -> DataFrame:
-    """Every dialogue from every participant's side: a digest of the text, and its mask."""
-    seen = rotate(table(spark, folder, "conversations"))
+    """Every dialogue from every participant's side, in segments: a digest of each segment's text
+    behind the instructions carried into it, and its mask, counted from the dialogue's beginning.
+    """
+    seen = perspectives(table(spark, folder, "conversations"))
     span = F.transform("mask", lambda m: F.concat_ws(":", m["start"], m["length"]))
     return seen.select(
         "conv_id",
@@ -158,7 +160,7 @@ def op6_chat(spark: SparkSession, folder: str) -> DataFrame:
         "n_turns",
         "n_targets",
         F.char_length("rendered").cast("long").alias("n_chars"),
-        F.sha2(F.col("rendered").cast("binary"), 256).alias("rendered_sha256"),
+        F.sha2(F.concat("context", "rendered").cast("binary"), 256).alias("rendered_sha256"),
         F.array_join(span, ",").alias("mask"),
     )
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from reelgate.llm import fingerprints, topk
-from reelgate.llm.chat import rotate
+from reelgate.llm.chat import perspectives, rotate
 from reelgate.llm.mixing import _position, mix, mixed_documents
 from reelgate.llm.packing import pack
 from reelgate.llm.quality import keep_good, kth_largest, resample
@@ -147,6 +147,72 @@ def test_chat_edge_rows(spark):
     assert rotate(df.limit(0)).count() == 0
 
 
+def plain_views(turns, segment):
+    """The whole rendering and mask of every participant, and the instructions before each segment."""
+    order = lambda t: (t[1] is None, t[1] or 0, t[2] is not None, t[2] or "", t[3] or "")
+    views = {}
+    for conv in {t[0] for t in turns}:
+        said = sorted({t for t in turns if t[0] == conv}, key=order)
+        for who in {t[2] for t in said} - {None, "system"}:
+            text, mask, rules = "", [], []
+            for i, (_, _, role, words) in enumerate(said):
+                if i % segment == 0:
+                    rules.append("".join(f"<|im_start|>system\n{t[3]}<|im_end|>\n" for t in said[:i] if t[2] == "system"))
+                name = "assistant" if role == who else role if role == "system" else f"user name={role}" if role else "user"
+                text += f"<|im_start|>{name}\n"
+                body = (words or "") + "<|im_end|>"
+                mask += [(len(text), len(body))] if role == who else []
+                text += body + "\n"
+            views[conv, who] = text, mask, rules
+    return views
+
+
+def long_dialogues():
+    turns = [(1, 0, "system", "rules"), (1, 1, "guest", "only once \U0001f600"), (1, 90, "system", "more rules"), (1, None, "bob", "late")]
+    turns += [(1, i, ("ann", "bob", None)[i % 3], f"word {i}" if i % 5 else None) for i in range(2, 150) if i != 90]
+    turns += [(1, 100, "ann", f"many at once {i}") for i in range(70)]
+    return turns + [(2, -3, "ann", "x"), (2, 64, "bob", "y"), (2, None, "eve", "z")]
+
+
+def check_whole_dialogues(spark):
+    turns = long_dialogues()
+    df = spark.createDataFrame([*turns, turns[0]], "conv_id long, turn long, role string, text string")
+    wanted = plain_views(turns, 64)
+    got = {}
+    for r in sorted(perspectives(df).collect(), key=lambda r: r.segment):
+        got.setdefault((r.conv_id, r.speaker), []).append(r)
+    assert set(got) == set(wanted)
+    for key, parts_ in got.items():
+        text, mask, rules = wanted[key]
+        assert [r.segment for r in parts_] == list(range(len(rules))) and max(r.n_turns for r in parts_) <= 64
+        assert "".join(r.rendered for r in parts_) == text and [r.context for r in parts_] == rules
+        assert [(m.start, m.length) for r in parts_ for m in r.mask] == mask
+        assert all(text[r.start :].startswith(r.rendered) and r.n_targets == len(r.mask) for r in parts_)
+
+
+def test_chat_renders_whole_dialogues(spark):
+    check_whole_dialogues(spark)
+
+
+def test_chat_renders_whole_dialogues_in_chunks(spark):
+    spark.conf.set("reelgate.groupRows", "5")
+    try:
+        check_whole_dialogues(spark)
+    finally:
+        spark.conf.unset("reelgate.groupRows")
+
+
+def test_chat_query_covers_every_participant(spark, tmp_path):
+    turns = long_dialogues()
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {(r.conv_id, r.segment, r.speaker): r for r in QUERIES["op6_chat"](spark, str(tmp_path)).collect()}
+    for (conv, who), (text, mask, rules) in plain_views(turns, 64).items():
+        mine = [found.pop((conv, i, who)) for i in range(len(rules))]
+        assert sum(r.n_chars for r in mine) == len(text)
+        assert ",".join(r.mask for r in mine if r.mask) == ",".join(f"{a}:{n}" for a, n in mask)
+    assert not found
+
+
 def check_packing(pieces, texts, window):
     vocabulary = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     wanted = {i: vocabulary.encode(t or "", add_special_tokens=False).ids + [1] for i, t in texts}
