@@ -7,7 +7,8 @@ collection is cut by content first and each part is sorted by itself:
 1. Cut. Every window of ``LENGTH`` bytes names its anchor, the ``ANCHOR`` bytes of least hash in
    it. Equal windows have equal anchors. Successive windows with one anchor make a piece
    (``LENGTH`` to 152 bytes), known by the hashes of its anchor and of its bytes. Pieces that repeat
-   inside a task are settled there: only the earliest travels.
+   inside a task are settled there: only the earliest travels. Both kinds are stored by one run, as
+   another run may split the rows in another way.
 2. Meet. Pieces are sorted by anchor, bytes and place. Of equal pieces all but the earliest are
    covered. Anchors that are left with several different pieces are what needs sorting.
 3. Sort. The bytes of those pieces are fetched and the collection's Burrows-Wheeler transform and
@@ -27,7 +28,7 @@ of each is found by a combining aggregate.
 
 Defined cases: a null text is empty; a document is an id with a text, so rows that repeat both are
 one document and have one result; rows without an id come first. Equal 64-bit hashes are taken
-for equal bytes where pieces are compared, texts of one id are told apart by a 32-bit hash.
+for equal bytes where pieces are compared, texts of one id are told apart by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -122,27 +123,37 @@ def _joined_spans(keys: tuple[np.ndarray, ...], start: np.ndarray, end: np.ndarr
 
 def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(
-        id_key().alias("id"), F.hash(text_or_empty()).alias("h"), text_or_empty().alias("text")
+        id_key().alias("id"), F.xxhash64(text_or_empty()).alias("h"), text_or_empty().alias("text")
     )
 
 
-def _settled(docs: DataFrame, length: int, travel: bool) -> DataFrame:
-    """Pieces settled inside each task: the earliest of each, or the spans of all others."""
+def _settled(docs: DataFrame, length: int) -> DataFrame:
+    """Pieces settled inside each task: the earliest of each, and the spans (gone) of all others.
+
+    Which piece is held back depends on the order and the split of the rows, so both must come out
+    of one run.
+    """
 
     def settle(held: list[tuple]) -> pd.DataFrame:
         a, s, doc, h, start, size = (np.concatenate(c) for c in zip(*held, strict=True))
         order = np.lexsort((start, h, doc, s))
         a, s, doc, h, start, size = (c[order] for c in (a, s, doc, h, start, size))
         first = np.concatenate([[True], s[1:] != s[:-1]])
-        if travel:
-            out = {"anchor": a.view(np.int64), "piece": s.view(np.int64), "id": doc, "h": h, "start": start, "size": size}
-            return pd.DataFrame({name: column[first] for name, column in out.items()})
         leader = np.maximum.accumulate(np.where(first, np.arange(len(s)), 0))
         same = (doc == doc[leader]) & (h == h[leader]) & (start == start[leader])  # a repeated row
         gone = ~first & ~same
-        names = ("id", "h", "start", "end")
-        spans = _joined_spans((doc[gone], h[gone]), start[gone], (start + size)[gone])
-        return pd.DataFrame(dict(zip(names, spans, strict=True)))
+        docs_, hashes, begin, end = _joined_spans((doc[gone], h[gone]), start[gone], (start + size)[gone])
+        none = np.zeros(len(begin), dtype=np.int64)
+        out = {
+            "gone": np.repeat([False, True], [int(first.sum()), len(begin)]),
+            "anchor": np.concatenate([a.view(np.int64)[first], none]),
+            "piece": np.concatenate([s.view(np.int64)[first], none]),
+            "id": np.concatenate([doc[first], docs_]),
+            "h": np.concatenate([h[first], hashes]),
+            "start": np.concatenate([start[first], begin]),
+            "size": np.concatenate([size[first], (end - begin).astype(np.int32)]),
+        }
+        return pd.DataFrame(out)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, count = [], 0
@@ -158,11 +169,12 @@ def _settled(docs: DataFrame, length: int, travel: bool) -> DataFrame:
         if count:
             yield settle(held)
 
-    schema = "anchor long, piece long, id long, h int, start long, size int" if travel else "id long, h int, start long, end long"
-    return _documents(docs).select("id", "h", "text").mapInPandas(run, schema)
+    return _documents(docs).select("id", "h", "text").mapInPandas(
+        run, "gone boolean, anchor long, piece long, id long, h long, start long, size int"
+    )
 
 
-_MET = "met int, anchor long, id long, h int, start long, size int"
+_MET = "met int, anchor long, id long, h long, start long, size int"
 
 
 def _met(travelling: DataFrame) -> DataFrame:
@@ -219,7 +231,7 @@ def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     return (
         _documents(docs).join(spans, ["id", "h"]).mapInPandas(
-            cut, "anchor long, id long, h int, start long, bytes binary"
+            cut, "anchor long, id long, h long, start long, bytes binary"
         )
     )
 
@@ -254,7 +266,7 @@ def _sorted_pieces(fetched: DataFrame, length: int) -> DataFrame:
             yield spans(held)
 
     return fetched.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(
-        run, "id long, h int, start long, end long"
+        run, "id long, h long, start long, end long"
     )
 
 
@@ -270,7 +282,7 @@ def _single_windows(fetched: DataFrame, length: int) -> DataFrame:
                 yield pd.DataFrame({"window": hashes.view(np.int64), "id": key, "h": h, "start": start + at})
 
     windows = pinned(
-        fetched.select("id", "h", "start", "bytes").mapInPandas(cut, "window long, id long, h int, start long")
+        fetched.select("id", "h", "start", "bytes").mapInPandas(cut, "window long, id long, h long, start long")
     )
     place = F.struct("id", "h", "start")
     first = pinned(windows.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last"))
@@ -283,13 +295,15 @@ def _single_windows(fetched: DataFrame, length: int) -> DataFrame:
 
 def covered_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """id, h (of the text), start and end of byte spans to remove; spans may overlap."""
-    met = pinned(_met(_settled(docs, length, True)))
+    settled = pinned(_settled(docs, length))
+    met = pinned(_met(settled.where("not gone").drop("gone")))
     several = met.where("met = 1")
     many = pinned(several.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot))
     few = several.join(many, "anchor", "left_anti")
+    span = ("id", "h", "start", (F.col("start") + F.col("size")).alias("end"))
     spans = (
-        _settled(docs, length, False)
-        .unionByName(met.where("met = 0").select("id", "h", "start", (F.col("start") + F.col("size")).alias("end")))
+        settled.where("gone").select(*span)
+        .unionByName(met.where("met = 0").select(*span))
         .unionByName(_sorted_pieces(_fetched(docs, few), length))
     )
     if not many.isEmpty():

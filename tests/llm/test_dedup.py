@@ -6,10 +6,11 @@ import re
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from samples import DOCS, PROSE, edge_rows, rows
 
-from reelgate.llm import jaccard
+from reelgate.llm import jaccard, suffix_dedup
 from reelgate.llm.bwt import collection_bwt, repeated_windows
 from reelgate.llm.components import components
 from reelgate.llm.jaccard import near_duplicates, one_of_each
@@ -105,6 +106,21 @@ def test_substrings_of_edge_rows(documents):
         assert set(results) == {(size, gone, kept)}
 
 
+def test_substrings_of_rows_in_another_order_each_run(spark, monkeypatch):
+    def dealt_anew(batches):
+        yield pd.concat(list(batches)).sample(frac=1, random_state=np.random.default_rng())
+
+    data = [(i, PROSE * 3, "en", "a", None) for i in range(40)]
+    df = spark.createDataFrame(data, DOCS).coalesce(1)
+    monkeypatch.setattr(suffix_dedup, "SETTLED", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        found = removal(df.mapInPandas(dealt_anew, df.schema))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == plain_removal([r[:2] for r in data])
+
+
 def test_substrings_of_nothing(documents):
     assert dedup_substrings(documents([])).count() == 0
 
