@@ -3,9 +3,11 @@
 Every window of ``WINDOW`` bytes has an entropy, in ``LEVELS`` steps. Levels that are rare in the
 corpus are improbable, and windows of improbable levels make good features: in every run of
 ``WINDOW`` successive windows the rarest (leftmost on ties) gets a vote, and windows with at least
-``VOTES`` votes are selected. Selected windows are hashed into a chain of Bloom filters, at
-most ``FEATURES`` in each, and two digests are compared filter by filter: the overlap of their
-bits beyond what chance gives, over the most it can be.
+``VOTES`` votes are selected. Texts with fewer than ``WINDOW`` such runs take shorter runs, fewer
+votes, and their first and last window in any case, so that every byte of theirs counts. Selected
+windows are hashed into a chain of Bloom filters, at most ``FEATURES`` in each, and two digests
+are compared filter by filter: the overlap of their bits beyond what chance gives the best of so
+many filters, over the most it can be, weighed by the filter's features.
 
 Shapes at scale: one pass counts levels (a row per level and task), another one makes digests. Where
 each document is compared with its successor, documents move once: into runs of successive
@@ -22,6 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -36,6 +39,9 @@ LEVELS = 1000
 #: Windows below this level are runs of few characters; they are selected last.
 LEAST_LEVEL = 100
 VOTES = 16
+#: The same for short texts.
+SHORT_RUN = 16
+SHORT_VOTES = 4
 FEATURES = 160
 FILTER_BYTES = 256
 #: Bits that one feature sets.
@@ -49,6 +55,7 @@ _weights = np.round(_c * np.log2(np.maximum(_c, 1)) * 1024).astype(np.int32)
 # what one more occurrence of a byte adds to the sum of c * log2(c)
 _GAIN = np.diff(_weights)
 _MOST = int(_weights[WINDOW])
+_NORMAL = NormalDist()
 
 
 def levels(data: np.ndarray) -> np.ndarray:
@@ -122,13 +129,18 @@ def digests(texts: list[bytes], ranks: np.ndarray) -> list[np.ndarray]:
     while reach < WINDOW:
         least[:-reach] = np.minimum(least[:-reach], least[reach:])
         reach *= 2
-    votes = np.zeros(len(data), dtype=np.int64)
-    rounds = _ranges(starts, np.maximum(counts - WINDOW + 1, 0))
-    if len(rounds):
-        votes += np.bincount(least[rounds] & 0xFFFFFFFF, minlength=len(data))
+        if reach == SHORT_RUN:
+            near = least.copy()
+    brief = counts < 2 * WINDOW - 1
+    chosen = np.zeros(len(data), dtype=bool)
+    for some, rarest, run, least_votes in ((~brief, least, WINDOW, VOTES), (brief, near, SHORT_RUN, SHORT_VOTES)):
+        rounds = _ranges(starts[some], np.maximum(counts[some] - run + 1, 0))
+        if len(rounds):
+            chosen |= np.bincount(rarest[rounds] & 0xFFFFFFFF, minlength=len(data)) >= least_votes
     long = np.flatnonzero(counts)
-    chosen = votes >= VOTES
     if len(long):
+        ends_too = long[brief[long]]
+        chosen[starts[ends_too]] = chosen[starts[ends_too] + counts[ends_too] - 1] = True
         # the rarest window of a text counts in any case
         edges = np.stack([starts[long], starts[long] + counts[long]], axis=1).ravel()
         chosen[np.minimum.reduceat(key, edges)[::2] & 0xFFFFFFFF] = True
@@ -168,20 +180,31 @@ def from_text(text: str) -> np.ndarray:
 
 
 def likeness(one: np.ndarray, other: np.ndarray) -> float:
-    """0 to 1: the mean over the shorter chain of each filter's best overlap in the other."""
+    """0 to 1: the mean over the shorter chain of each filter's best overlap in the other.
+
+    Filters count by their features. Chance is the best of as many unlike filters, about the
+    median and in whole bits, so that few bits are not found in one of many full filters.
+    """
     if len(one) > len(other):
         one, other = other, one
     if not len(one):
         return 1.0 if not len(other) else 0.0
+    if np.array_equal(one, other):
+        return 1.0
+    size = FILTER_BYTES * 8
     held = np.bitwise_count(one).sum(axis=1, dtype=np.int64)
     others = np.bitwise_count(other).sum(axis=1, dtype=np.int64)
+    full = others / size
+    best = _NORMAL.inv_cdf((len(other) - 0.375) / (len(other) + 0.25))
+    weights = -np.log1p(-np.minimum(held, size - 1) / size)
     total = 0.0
-    for row, bits in zip(one, held, strict=True):
+    for row, bits, weight in zip(one, held, weights, strict=True):
         common = np.bitwise_count(row & other).sum(axis=1, dtype=np.int64)
-        chance = bits * others / (FILTER_BYTES * 8)
-        most = np.minimum(bits, others)
-        total += float(np.clip((common - chance) / np.maximum(most - chance, 1e-9), 0.0, 1.0).max())
-    return total / len(one)
+        chance = np.rint(bits * full + best * np.sqrt(bits * full * (1 - full)))
+        room = np.minimum(bits, others) - chance
+        part = np.where(room > 0, (common - chance) / np.maximum(room, 1e-9), 0.0)
+        total += weight * float(np.clip(part, 0.0, 1.0).max())
+    return float(min(total / weights.sum(), 1.0))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

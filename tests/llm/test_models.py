@@ -318,6 +318,31 @@ def test_levels_against_counting():
         assert found[at] == 1000 - total * 1000 // fingerprints._MOST
 
 
+def random_prose(rng, size):
+    return bytes(rng.choice(np.frombuffer(b"etaoin shrdlu cmfwyp", dtype=np.uint8), size))
+
+
+def test_fingerprints_of_short_texts_see_every_byte():
+    rng = np.random.default_rng(6)
+    texts = [random_prose(rng, size) for size in (100, 120, 141, 160, 180) for _ in range(40)]
+    ranks = fingerprints.rarity(np.arange(1001))
+    own = fingerprints.digests(texts, ranks)
+    for at in (0.0, 0.999):
+        edited = [t[: (p := int(at * len(t)))] + b"#" + t[p + 1 :] for t in texts]
+        scores = [fingerprints.likeness(a, b) for a, b in zip(own, fingerprints.digests(edited, ranks), strict=True)]
+        # an edited end is seen, and leaves most of the rest
+        assert max(scores) < 1.0 and np.median(scores) > 0.4
+
+
+def test_short_texts_are_not_found_in_long_ones_by_chance():
+    rng = np.random.default_rng(7)
+    ranks = fingerprints.rarity(np.arange(1001))
+    (long,) = fingerprints.digests([random_prose(rng, 200_000)], ranks)
+    shorts = fingerprints.digests([random_prose(rng, size) for size in (30, 64, 100, 141) for _ in range(50)], ranks)
+    scores = np.array([fingerprints.likeness(s, long) for s in shorts]).reshape(4, 50)
+    assert len(long) > 10 and (np.median(scores, axis=1) < 0.15).all()
+
+
 def test_fingerprints_of_edge_rows(documents):
     data = edge_rows()
     got = fingerprints.with_successors(documents(data, extra=True)).collect()
