@@ -6,8 +6,6 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-SAMPLE = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -22,6 +20,7 @@ def spark():
 @pytest.fixture(scope="session")
 def duck():
     from oracle import connect
+    from samples_dir import SAMPLE
 
     return connect(SAMPLE)
 

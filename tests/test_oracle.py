@@ -1,8 +1,8 @@
 """Every registered query against its SQL twin, also with every group cut into chunks."""
 
 import pytest
-from conftest import SAMPLE
 from oracle import compare
+from samples_dir import SAMPLE
 
 from reelgate.catalogue import ORACLES, QUERIES
 
