@@ -4,13 +4,16 @@ Two bag-of-n-gram models over hashed features are counted: one of the raw text (
 and one of target text (documents labelled good). A document's log importance weight is the sum over its features
 of log target probability minus log raw probability, divided by the square root of their number:
 without that tempering a long document's weight drowns both the noise and the comparison with
-short ones. Gumbel noise is added to the weights and the documents with the largest sums stay,
-which samples without replacement in proportion to the weights.
+short ones. Gumbel noise is added to the weights, multiplied by ``SHARPNESS``, and the documents
+with the largest sums stay: sampling without replacement in proportion to that power of the
+weights. The sharper, the less the noise decides; as it is set, documents near the cut change
+places and others do not.
 
 How many stay is measured, not guessed: the weight that best parts labelled good from labelled bad
 documents is found, and as many documents are drawn as lie above it. Only every other good document
 teaches the target model; the others show what weights good documents get that it has not seen,
-as most documents are. ``sharpness`` scales the weights against the noise.
+as most documents are. A judgement outranks the model: a document labelled good always stays, also
+where few labels teach the model too little to see it.
 
 Shapes at scale: two passes over the texts without a shuffle of text. Counts leave a task as one
 row per feature bucket and are summed per bucket; the model is ``BUCKETS`` numbers. Labelled ids
@@ -182,7 +185,8 @@ def resample(
     good, bad = labelled_ids(labels, limit)
     # ids come in hash order, so every other one is a fair half
     taught, unseen = good[::2], good[1::2] or good
-    scored = pinned(score(docs, fit(docs, taught)))
+    sure = labels.groupBy("doc_id").agg((F.min("quality") > 0).alias("__good"))
+    scored = pinned(score(docs, fit(docs, taught)).join(sure, "doc_id", "left"))
     known = docs.sparkSession.createDataFrame(
         [(i, True) for i in unseen] + [(i, False) for i in bad], "doc_id long, good boolean"
     )
@@ -198,8 +202,11 @@ def resample(
     drawn = scored.withColumn("noisy_weight", noisy).withColumn("__key", key)
     k = scored.where(F.col("log_weight") >= F.lit(cut)).count()
     if k == 0:
-        return drawn.withColumn("kept", F.lit(False)).drop("__key")
-    return drawn.withColumn("kept", F.col("__key") >= kth_largest(drawn, "__key", k)).drop("__key")
+        drawn = drawn.withColumn("kept", F.lit(False))
+    else:
+        drawn = drawn.withColumn("kept", F.col("__key") >= kth_largest(drawn, "__key", k))
+    kept = F.col("kept") | F.coalesce("__good", F.lit(False))
+    return drawn.withColumn("kept", kept).drop("__key", "__good")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
