@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelgate.llm.chat import perspectives
+from reelgate.llm.filter_audit import audit
 from reelgate.llm.fingerprints import with_successors
 from reelgate.llm.jaccard import near_duplicates
 from reelgate.llm.line_dedup import with_bitmaps
@@ -227,3 +228,52 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's bytes, those removed as repeated, and a digest of what stays."""
     done = dedup_substrings(table(spark, folder, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Per language, order of the filters and step: what is kept, removed, redundant and lost."""
+    return audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+ORACLES["op13_filter_audit"] = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), firsts AS (
+  SELECT t, min(doc_id) AS first FROM docs GROUP BY t
+), judged AS (
+  SELECT part,
+         [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+          100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+          regexp_matches(t, '[#$%&*|]'), coalesce(first < doc_id, false)] AS f,
+         coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL), false) AS good,
+         coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL), false) AS bad
+  FROM docs JOIN firsts USING (t)
+), grouped AS (
+  SELECT part, f, count(*) AS n, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE bad) AS b
+  FROM judged GROUP BY part, f
+), letters AS (
+  SELECT unnest([1, 2, 3, 4, 5]) AS x
+), orders AS (
+  SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), placed AS (
+  SELECT *, list_position(list_transform(o, lambda i: f[i]), true) AS hit FROM grouped, orders
+), steps AS (
+  SELECT part, o, step, o[step] AS i,
+         sum(n) FILTER (WHERE hit IS NULL OR hit > step) AS kept,
+         sum(n) FILTER (WHERE hit = step) AS removed,
+         sum(n) FILTER (WHERE f[o[step]] AND hit < step) AS redundant,
+         sum(n) FILTER (WHERE f[o[step]] AND len(list_filter(f, lambda y: y)) = 1) AS unique_fails,
+         sum(g) FILTER (WHERE hit = step) AS good_lost, sum(b) FILTER (WHERE hit = step) AS toxic_lost
+  FROM placed, (SELECT unnest([1, 2, 3, 4, 5]) AS step) GROUP BY part, o, step
+)
+SELECT part, array_to_string(list_transform(o, lambda j: substr('ABCDE', j, 1)), '') AS filter_order, step::INTEGER AS step,
+       coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+       coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+       coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       (sum(coalesce(removed, 0)) OVER (PARTITION BY part, i))::BIGINT AS shapley
+FROM steps
+"""
