@@ -14,6 +14,7 @@ from reelgate.llm.jaccard import near_duplicates
 from reelgate.llm.line_dedup import with_bitmaps
 from reelgate.llm.mixing import mix
 from reelgate.llm.packing import pack
+from reelgate.llm.prefix_trie import prefix_trie
 from reelgate.llm.quality import resample
 from reelgate.llm.suffix_dedup import dedup_substrings
 from reelgate.llm.tables import table, text_or_empty
@@ -277,3 +278,57 @@ SELECT part, array_to_string(list_transform(o, lambda j: substr('ABCDE', j, 1)),
        (sum(coalesce(removed, 0)) OVER (PARTITION BY part, i))::BIGINT AS shapley
 FROM steps
 """
+
+
+@_query
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every distinct beginning of the rebuilt conversations with the totals of its subtree."""
+    return prefix_trie(table(spark, folder, "conversations")).drop("node", "parent")
+
+
+ORACLES["op12_prefix_trie"] = r"""
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  -- the CRC-32 of the decimal id, bit by bit
+  SELECT conv_id AS c, conv_id - conv_id % 20 AS donor, xor(list_reduce(
+           list_prepend(4294967295, list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ord(substr(conv_id::VARCHAR, i, 1))::BIGINT)),
+           lambda acc, x: list_reduce(list_prepend(xor(acc, x), range(8)),
+             lambda r, i: xor(r >> 1, 3988292384 * (r & 1)))), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM own)
+), heads AS (
+  SELECT c, p, role, text FROM convs JOIN own ON own.conv_id = donor AND p < h
+), joined AS (
+  SELECT c, 0 AS side, p, role, text FROM heads
+  UNION ALL SELECT c, 1, p, role, text FROM convs JOIN own ON own.conv_id = c AND p >= h
+), rebuilt AS (
+  SELECT *, row_number() OVER w AS d,
+         md5(to_json(list({r: role, t: text}) OVER (w ROWS UNBOUNDED PRECEDING))::VARCHAR) AS node
+  FROM joined WINDOW w AS (PARTITION BY c ORDER BY side, p)
+), chained AS (
+  SELECT c, d, node, coalesce(lag(node) OVER (PARTITION BY c ORDER BY d), 'root') AS parent,
+         lead(node) OVER (PARTITION BY c ORDER BY d) IS NULL AS stops,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
+  FROM rebuilt
+  UNION ALL SELECT c, 0, 'root', NULL, NOT EXISTS (SELECT 1 FROM rebuilt r WHERE r.c = convs.c), 0 FROM convs
+), nodes AS (
+  SELECT node, any_value(parent) AS parent, d, min(c) AS conv_id, count(*) AS n_convs,
+         bool_and(stops) AS leaf, (count(*) - 1) * any_value(words) AS saved,
+         coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE stops), '') AS ends
+  FROM chained GROUP BY node, d
+), under AS (
+  -- every node with the nodes above it, found through its smallest member
+  SELECT a.node AS top, n.node, n.leaf, n.saved
+  FROM nodes n JOIN chained a ON a.c = n.conv_id AND a.d <= n.d
+), totals AS (
+  SELECT top AS node, count(*) FILTER (WHERE leaf) AS n_leaves, sum(saved) AS saved_tokens FROM under GROUP BY top
+), children AS (
+  SELECT parent AS node, count(*) AS n_children FROM nodes GROUP BY parent
+)
+SELECT n.conv_id, n.d::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs,
+       coalesce(n_children, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves,
+       saved_tokens::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN totals USING (node) LEFT JOIN children USING (node) LEFT JOIN nodes p ON p.node = n.parent
+"""
