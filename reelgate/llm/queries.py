@@ -16,6 +16,7 @@ from reelgate.llm.mixing import mix
 from reelgate.llm.packing import pack
 from reelgate.llm.prefix_trie import prefix_trie
 from reelgate.llm.quality import resample
+from reelgate.llm.secrets import find_secrets
 from reelgate.llm.suffix_dedup import dedup_substrings
 from reelgate.llm.tables import table, text_or_empty
 from reelgate.llm.topk import top_k
@@ -332,3 +333,11 @@ SELECT n.conv_id, n.d::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs::
        saved_tokens::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
 FROM nodes n JOIN totals USING (node) LEFT JOIN children USING (node) LEFT JOIN nodes p ON p.node = n.parent
 """
+
+
+@_query
+def op11_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's secrets by fixed patterns and by the field taught on them."""
+    found = find_secrets(table(spark, folder, "documents"))
+    digest = F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", digest, "spans")
