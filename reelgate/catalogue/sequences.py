@@ -322,12 +322,12 @@ def _pieces(spark, d):
         F.min("frame_idx").alias("start"),
         (F.max("frame_idx") + 1).alias("end"),
         F.sort_array(F.collect_list(F.struct("frame_idx", "rms")))["rms"].alias("values"),
-    ).where(F.col("end") - F.col("start") >= 4)
+    )
 
 
 _STITCH_SQL = f"""{FRAMES_SQL},
     p AS (SELECT series_id, unnest(list_distinct([frame_idx // 8, greatest((frame_idx - 2) // 8, 0)])) AS piece_idx, frame_idx, rms FROM frames),
-    q AS (SELECT series_id, piece_idx, min(frame_idx) AS s, max(frame_idx) + 1 AS e FROM p GROUP BY ALL HAVING max(frame_idx) + 1 - min(frame_idx) >= 4),
+    q AS (SELECT series_id, piece_idx, min(frame_idx) AS s, max(frame_idx) + 1 AS e FROM p GROUP BY ALL),
     n AS (SELECT *, row_number() OVER w AS rn, lag(e) OVER w AS pe, lead(s) OVER w AS ns FROM q WINDOW w AS (PARTITION BY series_id ORDER BY s)),
     l AS (SELECT n.series_id, n.piece_idx, rn, s, e, CASE WHEN pe IS NULL THEN 0 ELSE greatest(least(pe, e) - s, 0) END AS head, greatest(e - coalesce(ns, e), 0) AS tail,
       coalesce(sqrt(avg(rms * rms) FILTER (f.frame_idx < pe)), 0) AS hr, coalesce(sqrt(avg(rms * rms) FILTER (f.frame_idx >= ns)), 0) AS tr

@@ -306,3 +306,48 @@ def chunked_fold(
             break
         given = new
     return grouped.cogroup(given.groupBy(*group)).applyInPandas(rows_of, schema)
+
+
+def composed_scan(
+    df: DataFrame,
+    keys: Sequence[str],
+    chunk: Column,
+    order: Sequence[str],
+    summary: Callable[[pd.DataFrame], str],
+    advance: Callable[[str, str | None], str],
+    follow: Callable[[pd.DataFrame, str | None], pd.DataFrame],
+    schema: str,
+) -> DataFrame:
+    """A sequential walk whose steps compose, as a parallel scan: two passes for any length.
+
+    ``summary(rows)`` says what a chunk does to any state it may be entered with, and
+    ``advance(summary, state)`` applies that; the summaries of a key, one row per chunk, are followed
+    in order, and ``follow(rows, state)`` gives the rows of each chunk from the state it is entered with.
+    A state is text, None at the beginning of a key.
+    """
+    rows = df.withColumn("__chunk", chunk)
+    group = [*keys, "__chunk"]
+    types = dict(rows.dtypes)
+    key_schema = ", ".join(f"`{k}` {types[k]}" for k in group)
+
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[group].head(1).assign(summary=summary(pdf))
+
+    def entered(pdf: pd.DataFrame) -> pd.DataFrame:
+        states, state = [], None
+        for text in pdf["summary"]:
+            states.append(state)
+            state = advance(text, state)
+        return pdf[group].assign(__state=states)
+
+    def given(pdf: pd.DataFrame) -> pd.DataFrame:
+        state = pdf["__state"].iloc[0]
+        return follow(pdf, state if isinstance(state, str) else None)
+
+    summaries = map_sorted_groups(rows, group, order, summed, f"{key_schema}, summary string")
+    states = pinned(map_sorted_groups(summaries, keys, ["__chunk"], entered, f"{key_schema}, __state string"))
+    match = rows["__chunk"] == states["__chunk"]
+    for k in keys:
+        match = match & rows[k].eqNullSafe(states[k])
+    joined = rows.join(states, match, "left").select(rows["*"], states["__state"])
+    return map_sorted_groups(joined, group, order, given, schema)

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,7 @@ from reelgate.operators.scan import (
     Running,
     chunk_frames,
     chunked_fold,
+    composed_scan,
     drop_halo,
     has_large_group,
     halo_window,
@@ -661,6 +663,95 @@ def peak_pick(
     )
 
 
+_LIMIT_DB = 6.0
+_SILENT = 1e-8
+
+
+@dataclass(frozen=True)
+class GainMap:
+    """What a run of pieces makes of the gain in front of it: clip(gain + shift, low, high), by ranges.
+
+    ``parts`` are (from, shift, low, high), each for gains above ``from`` up to the next part's. Steps
+    compose exactly: adding to a clipped sum and clipping again is one clipped sum, and a
+    piece that starts anew is one with low = high = 0.
+    """
+
+    parts: tuple[tuple[float, float, float, float], ...] = ((-math.inf, 0.0, -math.inf, math.inf),)
+
+    def __call__(self, gain: float) -> float:
+        _, shift, low, high = next(p for p in reversed(self.parts) if gain > p[0] or p[0] == -math.inf)
+        return min(high, max(low, gain + shift))
+
+    def then(self, shift: float | None, above: float) -> GainMap:
+        """Followed by a piece that adds ``shift`` to gains over ``above`` and is 0 otherwise (or always)."""
+        if shift is None:
+            return GainMap(((-math.inf, 0.0, 0.0, 0.0),))
+        out: list[tuple[float, float, float, float]] = []
+
+        def put(begin: float, moved: float, low: float, high: float) -> None:
+            if not out or out[-1][1:] != (moved, low, high):
+                out.append((begin, moved, low, high))
+
+        for number, (begin, moved, low, high) in enumerate(self.parts):
+            end = self.parts[number + 1][0] if number + 1 < len(self.parts) else math.inf
+            # this part gives more than ``above`` for gains over ``split``
+            split = math.inf if high <= above else -math.inf if low > above else above - moved
+            if split > begin:
+                put(begin, 0.0, 0.0, 0.0)
+            if split < end:
+                limits = [min(_LIMIT_DB, max(-_LIMIT_DB, x + shift)) for x in (low, high)]
+                put(max(begin, split), moved + shift, *limits)
+        return GainMap(tuple(out))
+
+
+def _join_gains(levels: DataFrame, keys: Sequence[str], key_schema: str, chunk: int) -> DataFrame:
+    """The gain of every piece, from the level behind it and its own, as a scan over chunks of pieces.
+
+    A piece takes up the gain before it where both meet above silence; how loud the tail before it is
+    after its gain decides that, so the threshold is one on the gain.
+    """
+    around = ordered_scan(
+        levels, keys, ["__place"], {"__before": Running("lag", "__tail_rms")}, chunk=F.expr(f"__place div {chunk}")
+    )
+
+    def decibels(over: Column, under: Column) -> Column:
+        return 20 * F.log10(over / under)
+
+    meets = (F.col("__head") > 0) & (F.col("__before") > 0) & (F.col("__head_rms") > _SILENT)
+    steps = around.select(
+        *keys,
+        "piece_idx",
+        "__place",
+        F.when(meets, decibels(F.col("__before"), F.col("__head_rms"))).alias("__shift"),
+        F.when(meets, decibels(F.lit(_SILENT), F.col("__before"))).alias("__above"),
+    )
+
+    def each(pdf: pd.DataFrame) -> Iterator[tuple[float | None, float]]:
+        for shift, above in zip(pdf["__shift"].tolist(), pdf["__above"].tolist(), strict=True):
+            yield (None if shift is None or math.isnan(shift) else shift), above
+
+    def summary(pdf: pd.DataFrame) -> str:
+        done = GainMap()
+        for shift, above in each(pdf):
+            done = done.then(shift, above)
+        return json.dumps(done.parts)
+
+    def advance(text: str, state: str | None) -> str:
+        parts = tuple(tuple(p) for p in json.loads(text))
+        return repr(GainMap(parts)(float(state or 0.0)))
+
+    def follow(pdf: pd.DataFrame, state: str | None) -> pd.DataFrame:
+        gain, gains = float(state or 0.0), []
+        for shift, above in each(pdf):
+            gain = min(_LIMIT_DB, max(-_LIMIT_DB, gain + shift)) if shift is not None and gain > above else 0.0
+            gains.append(gain)
+        return pdf[[*keys, "piece_idx"]].assign(join_gain_db=gains)
+
+    return composed_scan(
+        steps, keys, F.expr(f"__place div {chunk}"), ["__place"], summary, advance, follow, f"{key_schema}, join_gain_db double"
+    )
+
+
 def overlap_stitch(
     pieces: DataFrame,
     lengths: DataFrame,
@@ -672,9 +763,10 @@ def overlap_stitch(
 
     ``pieces``: keys, piece_idx, start, end, values; ``lengths``: keys, total. Returns the
     joined points (keys, idx, value), the gain of every piece in decibels, and violations.
-    Each piece may overlap its two neighbours only. Its gain depends on the gain before it,
-    so gains are folded along the series from one pair of levels per piece; the audio
-    itself is only weighted and summed per point.
+    Each piece may overlap its two neighbours only. Its gain depends on the gain before it; as such
+    steps compose, gains of any number of pieces follow from one scan over chunks of them (one
+    pair of levels per piece). The audio itself is only weighted and summed per point. A piece
+    of any length takes part; one that its neighbour covers is faded in whole.
     """
     sized = lengths.select(*keys, F.col("total").cast("long").alias("__total"))
     cut = pieces.join(sized, list(keys)).withColumn("end", F.least("end", F.col("__total")))
@@ -747,35 +839,11 @@ def overlap_stitch(
         ),
     )
     types = dict(pieces.dtypes)
-    levels = body.select(*keys, "piece_idx", "__place", "__head", "__head_rms", "__tail_rms")
-
-    def follow(pdf: pd.DataFrame, state: str | None) -> tuple[pd.DataFrame, str | None]:
-        before = json.loads(state) if state else 0.0
-        gains = []
-        for head_n, head_rms, tail_rms in zip(
-            pdf["__head"], pdf["__head_rms"], pdf["__tail_rms"], strict=True
-        ):
-            gain = 0.0
-            if head_n > 0 and before > 1e-8 and head_rms > 1e-8:
-                gain = min(6.0, max(-6.0, 20 * math.log10(before / head_rms)))
-            gains.append(gain)
-            before = float(tail_rms) * 10 ** (gain / 20)
-        out = pdf[[*keys, "piece_idx"]].copy()
-        out["join_gain_db"] = gains
-        return out, json.dumps(before)
-
-    schema = ", ".join(f"`{c}` {types[c]}" for c in [*keys, "piece_idx"]) + ", join_gain_db double"
-    gains = chunked_fold(
-        levels,
+    gains = _join_gains(
+        body.select(*keys, "piece_idx", "__place", "__head", "__head_rms", "__tail_rms"),
         keys,
-        F.expr(f"__place div {chunk_frames(pieces)}"),
-        ["__place"],
-        follow,
-        schema,
-        one_chunk=pieces.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.col("__n") > chunk_frames(pieces))
-        .isEmpty(),
+        ", ".join(f"`{c}` {types[c]}" for c in [*keys, "piece_idx"]),
+        chunk_frames(pieces),
     )
     placed = body.join(gains, [*keys, "piece_idx"]).select(
         *keys,

@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -159,3 +160,46 @@ def test_mono_windows_count_as_centred(spark, channels, expected):
     )
     out = window_metrics(frames, 100, 50).select("centre_dominance_db").collect()
     assert [r[0] for r in out] == [expected]
+
+
+def test_gain_steps_compose():
+    draw = random.Random(1)
+    for _ in range(400):
+        steps = []
+        for _ in range(draw.randrange(1, 30)):
+            kind = draw.random()
+            shift = None if kind < 0.1 else draw.uniform(-9, 9)
+            # mostly far below any gain, at times among them
+            steps.append((shift, draw.uniform(-7, 7) if kind > 0.8 else -100.0))
+        whole = sequence.GainMap()
+        for step in steps:
+            whole = whole.then(*step)
+        for gain in [0.0, *(draw.uniform(-6, 6) for _ in range(20))]:
+            walked = gain
+            for shift, above in steps:
+                walked = min(6.0, max(-6.0, walked + shift)) if shift is not None and walked > above else 0.0
+            assert whole(gain) == pytest.approx(walked, abs=1e-9)
+
+
+@pytest.mark.parametrize("size", ["65536", "3"])
+def test_gains_of_a_long_series(spark, size):
+    draw = random.Random(2)
+    spark.conf.set("reelgate.chunkFrames", size)
+    try:
+        levels = [draw.choice([0.0, 1e-9, 0.8e-8, 1.3e-8, 0.01, 0.1, 0.5, 1.0]) for _ in range(60)]
+        rows = [("a", i, 8 * i, 8 * i + (10 if i < 59 else 1), [levels[i]] * 8 + [levels[i] / 2] * 2) for i in range(60)]
+        schema = "series_id string, piece_idx int, start long, end long, values array<double>"
+        joined, gains, bad = sequence.overlap_stitch(
+            spark.createDataFrame(rows, schema), spark.createDataFrame([("a", 8 * 59 + 1)], "series_id string, total long")
+        )
+        got = {r.piece_idx: r.join_gain_db for r in gains.collect()}
+        count = joined.count()
+    finally:
+        spark.conf.unset("reelgate.chunkFrames")
+    before, want = 0.0, {}
+    for i, level in enumerate(levels):
+        gain = 0.0
+        if i and before > 1e-8 and level > 1e-8:
+            gain = min(6.0, max(-6.0, 20 * math.log10(before / level)))
+        want[i], before = gain, level / 2 * 10 ** (gain / 20)
+    assert got == pytest.approx(want, abs=1e-9) and count == 8 * 59 + 1 and bad.count() == 0
