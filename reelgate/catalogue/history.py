@@ -254,35 +254,39 @@ def incremental_ingest(spark, d):
 
 @query(
     "run_state_stream",
-    """SELECT conv_id AS run_id, turn AS sequence, role AS stage,
-      CASE WHEN turn = 0 AND role NOT IN ('system', 'user') THEN 'illegal first stage'
-        WHEN lag(role) OVER w IS NOT NULL AND lag(role) OVER w || '>' || role NOT IN ('system>user', 'user>assistant', 'assistant>user') THEN 'illegal transition' END AS alert
-    FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
+    """WITH RECURSIVE e AS (SELECT conv_id, turn, role, CASE WHEN turn < 2 THEN 0 ELSE 1 + (conv_id + turn) % 2 END AS part FROM conversations),
+    n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY part, turn) AS rn FROM e),
+    s AS (SELECT conv_id, 0::BIGINT AS rn, NULL::BIGINT AS turn, NULL::VARCHAR AS role, NULL::VARCHAR AS alert, -1::BIGINT AS seen, NULL::VARCHAR AS held
+        FROM n WHERE rn = 1
+      UNION ALL SELECT conv_id, rn, turn, role, alert, CASE WHEN alert IS NULL THEN turn ELSE seen END, CASE WHEN alert IS NULL THEN role ELSE held END
+        FROM (SELECT n.*, s.seen, s.held, CASE WHEN n.turn <= s.seen THEN 'late event' WHEN n.turn <> s.seen + 1 THEN 'sequence gap'
+            WHEN s.held IS NULL AND n.role NOT IN ('system', 'user') THEN 'illegal first stage'
+            WHEN s.held || '>' || n.role NOT IN ('system>user', 'user>assistant', 'assistant>user') THEN 'illegal transition' END AS alert
+          FROM s JOIN n ON n.conv_id = s.conv_id AND n.rn = s.rn + 1))
+    SELECT conv_id AS run_id, turn AS sequence, role AS stage, alert, seen AS run_sequence, held AS run_stage FROM s WHERE rn > 0""",
 )
 def run_state(spark, d):
-    conversations = table(spark, d, "conversations")
-    stream = (
-        spark.readStream.schema(conversations.schema)
-        .option("pathGlobFilter", "conversations.parquet")
-        .parquet(d)
-        .select(
-            F.col("conv_id").cast("string").alias("run_id"),
-            F.col("turn").alias("sequence"),
-            F.col("role").alias("stage"),
-        )
+    """Three parts of the events arrive one after the other, the last two out of sequence."""
+    part = F.when(F.col("turn") < 2, 0).otherwise(1 + F.pmod(F.col("conv_id") + F.col("turn"), F.lit(2)))
+    events = table(spark, d, "conversations").select(
+        F.col("conv_id").cast("string").alias("run_id"),
+        F.col("turn").alias("sequence"),
+        F.col("role").alias("stage"),
+        part.alias("part"),
     )
     folder = f"{shared_dir(spark)}/runs-{uuid4().hex}"
-    states = run_state_stream(stream, allowed=SPEAKERS, first=["system", "user"])
-    (
-        states.writeStream.format("parquet")
-        .option("path", f"{folder}/out")
-        .option("checkpointLocation", f"{folder}/progress")
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
-    return spark.read.parquet(f"{folder}/out").select(
-        F.col("run_id").cast("long").alias("run_id"), "sequence", "stage", "alert"
-    )
-
-
+    for number in range(3):
+        events.where(F.col("part") == number).drop("part").write.mode("append").parquet(f"{folder}/events")
+        stream = spark.readStream.schema(events.drop("part").schema).parquet(f"{folder}/events")
+        # each start takes up the state that the one before it left
+        (
+            run_state_stream(stream, allowed=SPEAKERS, first=["system", "user"])
+            .writeStream.format("parquet")
+            .option("path", f"{folder}/out")
+            .option("checkpointLocation", f"{folder}/progress")
+            .trigger(availableNow=True)
+            .start()
+            .awaitTermination()
+        )
+    rows = spark.read.parquet(f"{folder}/out")
+    return rows.withColumn("run_id", F.col("run_id").cast("long"))

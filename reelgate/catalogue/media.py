@@ -13,7 +13,7 @@ from uuid import uuid4
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelgate.catalogue.registry import (
@@ -28,6 +28,7 @@ from reelgate.operators.sequence import clean_contour
 from reelgate.plans import curation, ingestion
 from reelgate.session import pinned, shared_dir
 from reelgate.sources import documents, media, sinks
+from reelgate.streaming.ingest import TABLES, read_table, start_media_ingest
 
 RATE = 8_000
 FRAME = 160
@@ -334,14 +335,33 @@ def dataset_sink(spark, d):
 def ingest_plan(spark, d):
     """Every fortieth document is a file without a header, empty ones hold no samples."""
     folder = _export_wavs(spark, d)
-    broken = table(spark, d, "documents").where("doc_id % 40 = 0").select(
+    _export(_headless(spark, d), folder, _text)
+    files = media.discover_media(spark, folder).select(_artist(), "path", "filename")
+    rights, excluded, assets = _ingest_rules(spark, d, files)
+    catalog = assets.limit(0).select(
+        "artist_id", F.lit("").alias("song_id"), F.col("sha256").alias("source_sha256")
+    )
+    done = ingestion.ingest(files, rights, excluded, catalog, _imported_at(), assets=assets)
+    return _outcomes(done.results.drop("song_id"), done.denials)
+
+
+def _imported_at() -> Column:
+    return F.lit("2024-06-01").cast("timestamp")
+
+
+def _artist() -> Column:
+    return F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("artist_id")
+
+
+def _headless(spark, d) -> DataFrame:
+    return table(spark, d, "documents").where("doc_id % 40 = 0").select(
         F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".wav")).alias("name"),
         F.col("text").alias("body"),
     )
-    _export(broken, folder, _text)
-    files = media.discover_media(spark, folder).select(
-        F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("artist_id"), "path", "filename"
-    )
+
+
+def _ingest_rules(spark, d, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rights (src3 is pending), exclusions of toxic contents, and the listed assets of each artist."""
     number = F.regexp_extract("filename", r"^([0-9]+)", 1).cast("long")
     hashed = pinned(media.hash_files(files.withColumn("doc_id", number)))
     toxic = hashed.join(table(spark, d, "labels").where("toxic = 1"), "doc_id", "left_semi")
@@ -361,18 +381,63 @@ def ingest_plan(spark, d):
         F.lit(1).alias("n_approvals"),
         F.lit(True).alias("training"),
     )
-    catalog = assets.limit(0).select(
-        "artist_id", F.lit("").alias("song_id"), F.col("sha256").alias("source_sha256")
-    )
-    done = ingestion.ingest(
-        files, rights, excluded, catalog, F.lit("2024-06-01").cast("timestamp"), assets=assets
-    )
+    return rights, excluded, assets
+
+
+def _outcomes(results: DataFrame, denials: DataFrame, *more: str) -> DataFrame:
     number = F.regexp_extract("path", r"([0-9]+)\.wav$", 1).cast("long").alias("doc_id")
     reason = F.col("denial_reason")
-    gate = F.when(reason.isin("not approved", "toxic"), reason).otherwise("unreadable")
-    return done.results.select("artist_id", number, F.col("status").alias("outcome")).unionByName(
-        done.denials.select("artist_id", number, gate.alias("outcome"))
+    known = reason.isin("not approved", "toxic", "by name", "not allow-listed")
+    gate = F.when(known, reason).otherwise("unreadable").alias("outcome")
+    return results.select("artist_id", number, F.col("status").alias("outcome"), *more).unionByName(
+        denials.select("artist_id", number, gate), allowMissingColumns=True
+    )
+
+
+@query(
+    "media_stream_ingest",
+    """WITH t AS (SELECT doc_id, source, doc_id % 3 AS part, doc_id % 40 = 0 OR text = '' AS broken, sha256(text) || (doc_id % 40 = 0)::VARCHAR AS h,
+      doc_id::VARCHAR || '.wav' AS name FROM documents),
+    r AS (SELECT *, source <> 'src3' AS ok, doc_id % 50 = 7 AS named, doc_id % 11 = 5 AS unlisted,
+      h IN (SELECT h FROM t WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS bad FROM t),
+    l AS (SELECT *, NOT bool_and(unlisted) OVER (PARTITION BY source, h) AS listed FROM r),
+    k AS (SELECT *, row_number() OVER w AS rn, first_value(name) OVER w AS f FROM l WHERE ok AND NOT bad AND NOT named AND listed
+      WINDOW w AS (PARTITION BY source, h ORDER BY part, name)),
+    q AS (SELECT k.*, w.digest FROM k JOIN (SELECT doc_id, sha256(unhex('52494646' || SIZE36 || '57415645666D74201000000001000100401F0000401F00000100080064617461' || SIZE) || b) AS digest
+      FROM (SELECT doc_id, encode(text) AS b, octet_length(encode(text)) AS n FROM documents)) w USING (doc_id))
+    SELECT source AS artist_id, doc_id, CASE WHEN broken THEN 'unreadable' WHEN rn = 1 THEN 'imported' ELSE 'duplicate' END AS outcome,
+      CASE WHEN NOT broken THEN 'song-' || replace(f, '.wav', '') || '-' || substr(digest, 1, 8) END AS song_id,
+      CASE WHEN NOT broken AND rn = 1 THEN octet_length(encode(text)) / 8000 END AS duration_seconds
+    FROM q JOIN (SELECT doc_id, text FROM documents) USING (doc_id)
+    UNION ALL SELECT source, doc_id, CASE WHEN NOT ok THEN 'not approved' WHEN bad THEN 'toxic' WHEN named THEN 'by name' ELSE 'not allow-listed' END, NULL, NULL
+    FROM l WHERE NOT ok OR bad OR named OR NOT listed""".replace("SIZE36", _hex32("(n + 36)")).replace("SIZE", _hex32("n")),
+)
+def media_stream_ingest(spark, d):
+    """The same files arrive in three parts, each met by a stream that is started anew.
+
+    Some are kept out by their name and some contents are on nobody's list.
+    """
+    source, folder = _export_wavs(spark, d), _folder(spark, "ingested")
+    _export(_headless(spark, d), source, _text)
+    files = media.discover_media(spark, source).select(_artist(), "path", "filename")
+    rights, excluded, _ = _ingest_rules(spark, d, files)
+    number = F.regexp_extract("filename", r"^([0-9]+)", 1).cast("long")
+    named = files.where(number % 50 == 7).select(
+        "artist_id", F.lit("").alias("sha256"), F.upper("filename").alias("filename"), F.lit("by name").alias("reason"), F.lit(1).alias("pos")
     )
+    excluded = pinned(excluded.unionByName(named))
+    assets = pinned(media.hash_files(files.where(number % 11 != 5)).select("artist_id", "sha256").distinct())
+    at_first = f"{folder}/arrived"
+    paths = pinned(files.withColumn("part", number % 3))
+    for part in range(3):
+        paths.where(F.col("part") == part).drop("part").write.mode("append").parquet(at_first)
+        arrivals = spark.readStream.schema(paths.drop("part").schema).parquet(at_first)
+        start_media_ingest(
+            arrivals, f"{folder}/state", rights=rights, exclusions=excluded, at=_imported_at(), assets=assets
+        ).awaitTermination()
+    results, denials, catalog = (read_table(spark, f"{folder}/state", name) for name in TABLES)
+    songs = catalog.select("artist_id", F.col("original_path").alias("path"), F.col("audio.duration_seconds").alias("duration_seconds"))
+    return _outcomes(results.join(songs, ["artist_id", "path"], "left"), denials, "song_id", "duration_seconds")
 
 
 @query(

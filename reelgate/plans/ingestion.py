@@ -114,6 +114,7 @@ def ingest(
         F.col("artist_id").alias("__o"),
         F.col("sha256").alias("__c"),
         F.col("path").alias("__first"),
+        song_id(stem, "sha256").alias("__song"),
         F.col("error").alias("__error"),
     )
     judged_copies = matched.join(
@@ -127,7 +128,7 @@ def ingest(
         "artist_id",
         "path",
         "sha256",
-        F.coalesce("known_song_id", song_id(stem, "sha256")).alias("song_id"),
+        F.coalesce("known_song_id", "__song").alias("song_id"),
         F.when(copy, "duplicate").otherwise(F.col("status")).alias("status"),
     )
     denials = denials.unionByName(bad)

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 from datetime import datetime
 
 import numpy as np
@@ -11,7 +12,7 @@ from reelgate.operators.frames import active_rms, series_metrics, window_metrics
 from reelgate.plans import curation, ingestion
 from reelgate.plans.rhythm import analyse_rhythm
 from reelgate.sources import documents, media, sinks
-from reelgate.streaming.ingest import media_stream, read_back, start_ingest
+from reelgate.streaming.ingest import TABLES, media_paths, read_table, start_media_ingest
 from reelgate.streaming.runs import run_state_stream
 
 
@@ -291,21 +292,77 @@ def test_ingest_denies_every_copy_of_an_unreadable_file(spark, tmp_path):
         ingestion.ingest(files, rights, none, catalog, at, assets=assets, strict=True)
 
 
-def test_incremental_ingest_resumes(spark, tmp_path):
-    source, folder = tmp_path / "in", str(tmp_path / "state")
-    write_wav(source / "a.wav", np.full(100, 0.1), 8_000)
-    none = spark.createDataFrame([], "sha256 string, reason string")
+def test_media_ingest_resumes_and_replays(spark, tmp_path):
+    source, folder = tmp_path / "in", tmp_path / "state"
+    none = spark.createDataFrame([("x", "", "LATE.wav", "withdrawn", 0)], "artist_id string, sha256 string, filename string, reason string, pos int")
+    rights = spark.createDataFrame(
+        [("x", "approved", None, None, 1, True), ("y", "pending", None, None, 1, True)],
+        "artist_id string, status string, effective_at timestamp, expires_at timestamp, n_approvals int, training boolean",
+    )
+    at = F.lit(datetime(2024, 6, 1))
+
+    def write(name, level):
+        write_wav(source / name, np.full(100, level), 8_000)
+        return ("x", hashlib.sha256((source / name).read_bytes()).hexdigest())
+
+    listed = [write("x/a.wav", 0.1)]
+    write("y/a.wav", 0.1)
+
+    def arrived():
+        artist = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("artist_id")
+        return media_paths(spark, str(source), media.SUFFIXES).select(artist, "path", "filename")
 
     def run():
-        stream = media_stream(spark, str(source), media.SUFFIXES).select("path", "sha256")
-        start_ingest(stream, folder, order=["path"], excluded=none, allowed=None).awaitTermination()
-        return sorted((r.path.rsplit("/", 1)[1], r.status) for r in read_back(spark, folder).collect())
+        assets = spark.createDataFrame(listed, "artist_id string, sha256 string")
+        start_media_ingest(
+            arrived(), str(folder), rights=rights, exclusions=none, at=at, assets=assets
+        ).awaitTermination()
+        done = [read_table(spark, str(folder), name).collect() for name in TABLES]
+        names = [["/".join(p.rsplit("/", 2)[1:]) for p in ps] for ps in ([r.path for r in done[0]], [r.path for r in done[1]])]
+        return (
+            sorted(zip(names[0], [(r.status, r.song_id) for r in done[0]])),
+            sorted(zip(names[1], [r.denial_reason for r in done[1]])),
+            sorted(r.song_id for r in done[2]),
+        )
+
+    song = f"song-a-{listed[0][1][:8]}"
+    assert run() == ([("x/a.wav", ("imported", song))], [("y/a.wav", "not approved")], [song])
+    write("x/copy.wav", 0.1)
+    write("x/late.wav", 0.1)
+    write("x/unknown.wav", 0.3)
+    listed.append(write("x/new.wav", 0.2))
+    (source / "x/broken.wav").write_bytes(b"no header")
+    listed.append(("x", hashlib.sha256(b"no header").hexdigest()))
+    results, denials, songs = run()
+    other = f"song-new-{listed[1][1][:8]}"
+    assert results == [("x/a.wav", ("imported", song)), ("x/copy.wav", ("duplicate", song)), ("x/new.wav", ("imported", other))]
+    assert [d for d in denials if d[0] != "x/broken.wav"] == [
+        ("x/late.wav", "withdrawn"), ("x/unknown.wav", "not allow-listed"), ("y/a.wav", "not approved")
+    ]
+    assert len(denials) == 4 and songs == sorted([song, other])
+    # the last batch runs again, as after a failure between its writes and its commit
+    for file in (folder / "progress" / "commits").glob("*1*"):
+        file.unlink()
+    assert run() == (results, denials, songs)
+    # the plan for files at rest agrees
+    rest = media.discover_media(spark, str(source)).select(
+        F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("artist_id"), "path", "filename"
+    )
+    catalog = spark.createDataFrame([], "artist_id string, song_id string, source_sha256 string")
+    assets = spark.createDataFrame(listed, "artist_id string, sha256 string")
+    once = ingestion.ingest(rest, rights, none, catalog, at, assets=assets)
+    assert sorted(r.song_id for r in once.catalog.collect()) == songs
+    assert sorted((r.status, r.song_id) for r in once.results.collect()) == sorted(r[1] for r in results)
+    assert once.denials.count() == len(denials)
 
-    assert run() == [("a.wav", "imported")]
-    write_wav(source / "copy.wav", np.full(100, 0.1), 8_000)
-    write_wav(source / "new.wav", np.full(100, 0.2), 8_000)
-    assert run() == [("a.wav", "imported"), ("copy.wav", "duplicate"), ("new.wav", "imported")]
-    assert len(run()) == 3
+
+def test_unannounced_batches_are_not_read(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/catalog/batch=0")
+    assert read_table(spark, str(tmp_path), "catalog") is None
+    spark.range(1).write.parquet(f"{tmp_path}/announced/batch=0")
+    spark.range(5).write.parquet(f"{tmp_path}/catalog/batch=1")
+    assert read_table(spark, str(tmp_path), "catalog").count() == 3
+    assert read_table(spark, str(tmp_path), "catalog", before=0) is None
 
 
 def test_run_states_survive_between_batches(spark, tmp_path):
@@ -332,6 +389,35 @@ def test_run_states_survive_between_batches(spark, tmp_path):
         ("r", 1, "mixed"): "late event",
         ("q", 2, "failed"): "sequence gap",
     }
+    stages = {(r.run_id, r.sequence, r.stage): (r.run_sequence, r.run_stage) for r in spark.read.parquet(out).collect()}
+    assert stages[("r", 1, "music_generated")] == (1, "music_generated")
+    assert stages[("r", 1, "mixed")] == (1, "music_generated") and stages[("q", 0, "mixed")] == (-1, None)
+    # the latest rows tell what the event tables tell
+    legal = spark.read.parquet(out).where("alert IS NULL")
+    held = {r.run_id: r.stage for r in legal.groupBy("run_id").agg(F.max_by("stage", "sequence").alias("stage")).collect()}
+    assert held == {"r": "complete", "q": "created"}
+
+
+def test_run_states_of_disordered_events(spark, tmp_path):
+    allowed = {"a": ("b",), "b": ("a",)}
+    rows = [("r", i, "ab"[i % 2]) for i in range(60)] + [("r", 70, "a"), ("r", 30, "a"), ("s", 1, "b")]
+    random.Random(1).shuffle(rows)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text("\n".join(json.dumps(dict(zip(("run_id", "sequence", "stage"), r))) for r in rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        stream = spark.readStream.schema("run_id string, sequence bigint, stage string").json(str(tmp_path / "in"))
+        (
+            run_state_stream(stream, allowed=allowed, first="a").writeStream.format("parquet").option("path", str(tmp_path / "out"))
+            .option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
+        )
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(got) == 63
+    alerts = sorted((r.run_id, r.sequence, r.alert) for r in got if r.alert)
+    assert alerts == [("r", 30, "late event"), ("r", 70, "sequence gap"), ("s", 1, "sequence gap")]
+    assert max((r.run_sequence, r.run_stage) for r in got if r.run_id == "r") == (59, "b")
 
 
 def test_documents(spark, tmp_path):
