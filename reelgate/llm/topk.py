@@ -4,17 +4,19 @@ Vectors are dealt into shards by hash, and each shard becomes one ball tree: nod
 centre and a radius, leaves of ``LEAF`` vectors. For a query q no vector of a node has an inner
 product above q * centre + |q| * radius. A block of queries walks a tree from the node with the
 largest bound down; a query leaves a node when the bound lies below its k-th score so far.
-The first shard that a block searches gives every query a k-th score, and that score is the
-starting bound in all other shards.
+A block searches its shards in waves of 1, 2, 4, ... shards; after each wave the k-th score found so
+far is shared, as the bound that every query enters the shards of the next wave with.
 
 Shapes at scale: trees and query blocks are rows of at most ``SHARD`` and ``BLOCK`` vectors, so a
 task holds one of each. Each block meets each shard once (a query set against all rows, in
-blocks), and gives at most k rows a query that reach the shared bound.
+blocks), and gives at most k rows a query that reach the shared bound. There are as many waves as
+the number of shards has binary digits.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part;
 rows that repeat in id and vector count once; other rows with a query's id are not its
 candidates; vectors are only compared with vectors of the same length; with fewer than k
-candidates all are given.
+candidates all are given. Scores are exact integers of 64 bits, also beyond 2**53; one that would leave
+64 bits is held at the end of the range.
 """
 
 from __future__ import annotations
@@ -34,7 +36,8 @@ LEAF = 128
 SHARD = BLOCK = 32_768
 #: Shards are smaller than that only to give every core a few.
 LEAST_SHARD = 1_024
-_EXACT = 2.0**52
+#: No score yet. Real scores are larger.
+NOTHING = np.int64(np.iinfo(np.int64).min)
 
 
 def ball_tree(vectors: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -67,7 +70,7 @@ class Best:
     """The k best candidates so far of each query: highest score first, then smallest id."""
 
     def __init__(self, queries: int, k: int, bound: np.ndarray):
-        self.scores = np.full((queries, k), -np.inf)
+        self.scores = np.full((queries, k), NOTHING)
         self.ids = np.zeros((queries, k), dtype=np.int64)
         self.given = bound
 
@@ -75,24 +78,33 @@ class Best:
         return np.maximum(self.scores[rows, -1], self.given[rows])
 
     def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        some = (scores >= self.bound(rows)[:, None]).any(axis=1)
+        some = ((scores >= self.bound(rows)[:, None]) & (scores != NOTHING)).any(axis=1)
         rows, scores = rows[some], scores[some]
         if not len(rows):
             return
         k = self.scores.shape[1]
         every = np.concatenate([self.scores[rows], scores], axis=1)
         names = np.concatenate([self.ids[rows], np.broadcast_to(ids, scores.shape)], axis=1)
-        best = np.lexsort((names, -every), axis=-1)[:, :k]
+        # the complement falls as the score rises, and unlike the negative it has no overflow
+        best = np.lexsort((names, ~every), axis=-1)[:, :k]
         self.scores[rows] = np.take_along_axis(every, best, axis=1)
         self.ids[rows] = np.take_along_axis(names, best, axis=1)
 
 
 def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer vectors, in doubles where those can hold them."""
-    most = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * queries.shape[1]
-    if most < _EXACT:
-        return queries.astype(np.float64) @ vectors.astype(np.float64).T
-    return (queries[:, None, :] * vectors[None, :, :]).sum(axis=2).astype(np.float64)
+    """Exact inner products of integer vectors, held to the range of 64 bits.
+
+    Doubles do the work where they can hold every sum, integers of 64 bits where those can, and
+    integers of any length in the rest, in all cases without an array beyond rows x columns.
+    """
+    most = int(np.abs(queries.astype(np.float64)).max(initial=0)) * int(np.abs(vectors.astype(np.float64)).max(initial=0))
+    most *= queries.shape[1]
+    if most < 1 << 52:
+        return (queries.astype(np.float64) @ vectors.astype(np.float64).T).astype(np.int64)
+    if most < 1 << 62:
+        return queries @ vectors.T
+    whole = queries.astype(object) @ vectors.astype(object).T
+    return np.clip(whole, int(NOTHING) + 1, int(np.iinfo(np.int64).max)).astype(np.int64)
 
 
 def search(
@@ -119,14 +131,15 @@ def search(
     heap = [(-top.max(), 0, everyone, top)]
     while heap:
         _, node, rows, top = heapq.heappop(heap)
-        live = top >= best.bound(rows)
+        bound = best.bound(rows)
+        live = (bound == NOTHING) | (top >= bound)
         rows = rows[live]
         if not len(rows):
             continue
         begin, end, left, right = spans[node]
         if left < 0:
             scores = products(queries[rows], vectors[begin:end])
-            scores[query_ids[rows][:, None] == ids[None, begin:end]] = -np.inf
+            scores[query_ids[rows][:, None] == ids[None, begin:end]] = NOTHING
             best.offer(rows, scores, ids[begin:end])
             continue
         for child in (left, right):
@@ -178,9 +191,9 @@ def _searched(cells: DataFrame, k: int) -> DataFrame:
             for row in batch.itertuples(index=False):
                 query_ids = np.frombuffer(row.q_ids, dtype=np.int64)
                 queries = np.frombuffer(row.q_vectors, dtype=np.int64).reshape(len(query_ids), row.dim)
-                bound = np.full(len(query_ids), -np.inf)
+                bound = np.full(len(query_ids), NOTHING)
                 if row.q_bound is not None:
-                    bound = np.frombuffer(row.q_bound, dtype=np.float64)
+                    bound = np.frombuffer(row.q_bound, dtype=np.int64)
                 ids = np.frombuffer(row.ids, dtype=np.int64)
                 tree = (
                     np.frombuffer(row.spans, dtype=np.int64).reshape(-1, 4),
@@ -189,7 +202,7 @@ def _searched(cells: DataFrame, k: int) -> DataFrame:
                 )
                 vectors = np.frombuffer(row.vectors, dtype=np.int64).reshape(len(ids), row.dim)
                 best = search(query_ids, queries, bound, ids, vectors, tree, k)
-                used = (best.scores > -np.inf) & (best.scores >= bound[:, None])
+                used = (best.scores > NOTHING) & (best.scores >= bound[:, None])
                 at, place = np.nonzero(used)
                 yield pd.DataFrame(
                     {
@@ -199,7 +212,7 @@ def _searched(cells: DataFrame, k: int) -> DataFrame:
                         "query_no": at,
                         "query_id": query_ids[at],
                         "vec_id": best.ids[at, place],
-                        "score": best.scores[at, place].astype(np.int64),
+                        "score": best.scores[at, place],
                     }
                 )
 
@@ -224,42 +237,44 @@ def top_k(table: DataFrame, *, k: int = 20, every: int = 20, scale: int = 64) ->
             "dim", "block", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")
         )
     )
-    # the first shard of a block: its k-th scores are the bounds everywhere else
     numbers = trees.groupBy("dim").agg(F.array_sort(F.collect_list("shard")).alias("shards"))
-    planned = queries.join(numbers, "dim").withColumn(
-        "first", F.element_at("shards", (F.col("block") % F.size("shards") + 1).cast("int"))
-    )
-    none = F.lit(None).cast("binary")
-    opening = planned.withColumn("shard", F.col("first")).withColumn("q_bound", none)
-    found = pinned(_searched(opening.join(trees, ["dim", "shard"]), k))
-    kth = found.groupBy("dim", "block", "query_no").agg(
-        F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")
-    )
-    kth = kth.where(F.col("n") == k).groupBy("dim", "block").agg(
-        F.collect_list(F.struct("query_no", "kth")).alias("bounds")
+    planned = pinned(queries.join(numbers, "dim"))
+    best, begin, width = None, 0, 1
+    while begin < shards:
+        # blocks begin at different shards
+        wave = F.transform(
+            F.sequence(F.lit(begin), F.least(F.lit(begin + width), F.size("shards")) - 1),
+            lambda at: F.get("shards", ((F.col("block") + at) % F.size("shards")).cast("int")),
+        )
+        asked = _bounded(planned, best, k) if best is not None else planned.withColumn("q_bound", F.lit(None).cast("binary"))
+        cells = asked.where(F.size("shards") > begin).withColumn("shard", F.explode(wave)).drop("shards")
+        found = _searched(cells.join(trees, ["dim", "shard"]), k)
+        best = pinned(_merged(found if best is None else best.drop("rank").unionByName(found), k))
+        begin, width = begin + width, 2 * width
+    return best.select("query_id", "rank", "vec_id", "score")
+
+
+def _merged(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("dim", "block", "query_no").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _bounded(planned: DataFrame, best: DataFrame, k: int) -> DataFrame:
+    """Blocks of queries with the k-th scores found so far (``NOTHING`` before there are k)."""
+    kth = best.where(F.col("rank") == k).groupBy("dim", "block").agg(
+        F.collect_list(F.struct("query_no", F.col("score").alias("kth"))).alias("bounds")
     )
 
     def as_bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             packed = []
             for ids, bounds in zip(batch["q_ids"], batch["bounds"], strict=True):
-                bound = np.full(len(ids) // 8, -np.inf)
+                bound = np.full(len(ids) // 8, NOTHING)
                 for one in [] if bounds is None else bounds:
                     bound[one["query_no"]] = one["kth"]
                 packed.append(bound.tobytes())
             batch["q_bound"] = packed
-            yield batch[["dim", "block", "q_ids", "q_vectors", "shards", "first", "q_bound"]]
+            yield batch[["dim", "block", "q_ids", "q_vectors", "shards", "q_bound"]]
 
-    bounded = planned.join(kth, ["dim", "block"], "left").mapInPandas(
-        as_bounds,
-        "dim int, block int, q_ids binary, q_vectors binary, shards array<int>, first int, q_bound binary",
-    )
-    others = bounded.withColumn("shard", F.explode("shards")).where(F.col("shard") != F.col("first"))
-    rest = _searched(others.drop("shards", "first").join(trees, ["dim", "shard"]), k)
-    order = Window.partitionBy("dim", "block", "query_no").orderBy(F.col("score").desc(), "vec_id")
-    return (
-        found.unionByName(rest)
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    schema = "dim int, block int, q_ids binary, q_vectors binary, shards array<int>, q_bound binary"
+    return planned.join(kth, ["dim", "block"], "left").mapInPandas(as_bounds, schema)

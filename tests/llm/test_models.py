@@ -284,7 +284,7 @@ def test_search_prunes_but_stays_exact():
     order, spans, nodes, radii = topk.ball_tree(vectors)
     ids = np.arange(3000)[order]
     queries, names = vectors[::100], np.arange(0, 3000, 100)
-    best = topk.search(names, queries, np.full(30, -np.inf), ids, vectors[order], (spans, nodes, radii), 20)
+    best = topk.search(names, queries, np.full(30, topk.NOTHING), ids, vectors[order], (spans, nodes, radii), 20)
     scores = (queries @ vectors.T).astype(float)
     scores[np.arange(30), names] = -np.inf
     for i in range(30):
@@ -292,6 +292,25 @@ def test_search_prunes_but_stays_exact():
         assert best.ids[i].tolist() == wanted.tolist()
 
 
+@pytest.mark.parametrize("size", [0.3, 2.0**20, 2.0**26, 2.0**40])
+def test_search_scores_are_exact_integers(spark, monkeypatch, size):
+    monkeypatch.setattr(topk, "LEAST_SHARD", 8)
+    rng = np.random.default_rng(5)
+    data = [(i, [float(np.float32(x)) for x in rng.normal(size=5) * size]) for i in range(70)]
+    # the last ones repeat, so that ties are decided by id
+    data += [(i, data[i - 70][1]) for i in range(70, 80)]
+    got = topk.top_k(spark.createDataFrame(data, "vec_id long, embedding array<float>"), k=7).collect()
+    whole = {i: [int(np.floor(64 * x)) for x in v] for i, v in data}
+    limit = 2**63 - 1
+
+    def score(a, b):
+        return max(-limit, min(limit, sum(x * y for x, y in zip(whole[a], whole[b]))))
+
+    for q in range(0, 80, 20):
+        want = sorted((-score(q, i), i) for i in whole if i != q)[:7]
+        assert sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q) == [(n, i, -s) for n, (s, i) in enumerate(want, 1)]
+
+
 def test_fingerprints_on_the_sample(spark):
     docs = sorted(duckdb.sql(f"SELECT doc_id, text FROM '{SAMPLE}/documents.parquet'").fetchall(), reverse=True)
     got = {r.doc_id: r for r in QUERIES["op4_fingerprints"](spark, SAMPLE).collect()}
