@@ -15,9 +15,9 @@ Three steps, all of them built-in columns:
 3. The lines to drop come together per document and become runs of kept lines, a run-length
    compressed bitmap. Texts move once, when bitmaps are applied.
 
-Defined cases: a null or empty text is one empty line; every row counts as a document, also
-repeated rows and rows without an id; a null id is smaller than any other. Rows that repeat with
-id and text are kept or dropped alike.
+Defined cases: a null or empty text is one empty line; all rows of an id are one document, and rows
+without an id are one together, whose id is smaller than any other. Rows that repeat with id and
+text are kept or dropped alike. Work is linear in a line's length, whatever blanks it holds.
 """
 
 from __future__ import annotations
@@ -39,8 +39,6 @@ MIN_CHARS = 20
 MIN_DOCS = 3
 #: Lines of one hash that share a slice, about.
 SLICE_LINES = 256
-# white space other than the newline, around a newline
-_EDGE = r"[\x20\x09\x0B-\x0D]*\n[\x20\x09\x0B-\x0D]*"
 
 
 def _hashes(key: Column) -> list[Column]:
@@ -49,13 +47,19 @@ def _hashes(key: Column) -> list[Column]:
 
 def repeated_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """h1, h2, docs, first and last id of the keys that at least ``min_docs`` documents hold."""
-    stripped = F.btrim(ascii_lower(text_or_empty()), F.lit(SPACE_CHARS))
-    keys = docs.select(
-        id_key().alias("id"), F.explode(F.array_distinct(F.split(stripped, _EDGE))).alias("key")
-    ).where(F.char_length("key") >= min_chars)
+    lines = F.filter(F.split(ascii_lower(text_or_empty()), "\n"), lambda x: F.char_length(x) >= min_chars)
+    stripped = F.transform(lines, lambda x: F.btrim(x, F.lit(SPACE_CHARS)))
+    keys = docs.select(id_key().alias("id"), F.explode(F.array_distinct(stripped)).alias("key"))
+    hashed = keys.where(F.char_length("key") >= min_chars).select("id", *_hashes(F.col("key")))
+    # a document counts once however many rows it has; that takes a shuffle, for those with several rows
+    several = pinned(
+        docs.groupBy(id_key().alias("id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("id")
+    )
+    if not several.isEmpty():
+        again = hashed.join(several, "id", "left_semi").distinct()
+        hashed = hashed.join(several, "id", "left_anti").unionByName(again)
     return (
-        keys.select("id", *_hashes(F.col("key")))
-        .groupBy("h1", "h2")
+        hashed.groupBy("h1", "h2")
         .agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("low"), F.max("id").alias("last"))
         .where(F.col("docs") >= min_docs)
     )

@@ -110,24 +110,27 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op3_line_dedup"] = r"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
+WITH docs AS (
+  -- rows of an id are one document, rows without an id are one that is smaller than all others
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, -9223372036854775808) AS id,
+         string_split(coalesce(text, ''), chr(10)) AS parts
   FROM documents
+), lines AS (
+  SELECT r, doc_id, id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM docs
 ), keyed AS (
   SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
   FROM lines
 ), often AS (
-  SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20
-  GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+  SELECT k, max(id) AS keeper FROM keyed WHERE length(k) >= 20
+  GROUP BY k HAVING count(DISTINCT id) >= 3
 ), judged AS (
-  SELECT keyed.*, often.k IS NOT NULL AND doc_id <> keeper AS gone
+  SELECT keyed.*, often.k IS NOT NULL AND id <> keeper AS gone
   FROM keyed LEFT JOIN often USING (k)
 )
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM judged GROUP BY doc_id
+FROM judged GROUP BY r, doc_id
 """
 
 
