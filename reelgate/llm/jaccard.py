@@ -23,8 +23,11 @@ be done. In the groups that remain, sketches of different components are compare
 bounded size, and only pairs within the Hamming bound leave a cell. So no link between
 components is missed. Documents with equal sets are one node throughout.
 
+Where an id has several texts, each of them is a node of its own, named by a hash of both, and nodes
+of one id are linked; components are then named after their smallest id.
+
 Defined cases: without words or text a set is empty and links with nothing; rows that share an id
-are one node with the links of all its texts; a row without an id takes no part, its component is
+have the links of all its texts; a row without an id takes no part, its component is
 null. Equal 64-bit hashes of shingles are taken for equal shingles.
 """
 
@@ -55,8 +58,8 @@ BAND = 1.6
 SPARE, FINE = 1.25, 2.5
 #: Members of a group that one step compares with each other, about.
 CELL = 256
-#: Pairs with one hub that one sorted run compares.
-RUN = 512
+#: Pairs with one hub that one sorted run compares, about.
+RUN = 64
 _U = np.uint64
 
 
@@ -65,7 +68,7 @@ def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
     data, offsets = hashing.joined(texts)
     data = hashing.ASCII_LOWER[data]
     starts, ends, owner = hashing.words(data, offsets)
-    tokens = hashing.span_hashes(hashing.prefix_sums(data), starts, ends)
+    tokens = hashing.word_hashes(data, starts, ends)
     grams = hashing.ngrams(tokens, size)
     first = np.searchsorted(owner, np.arange(len(texts) + 1))
     found = []
@@ -312,6 +315,30 @@ def _across(shared: DataFrame, known: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
+    text_hash = F.xxhash64(text_or_empty())
+    several = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id")
+    several = several.agg(F.min(text_hash).alias("low"), F.max(text_hash).alias("high"))
+    several = pinned(several.where(F.col("low") != F.col("high")).select("doc_id", F.lit(True).alias("several")))
+    if several.isEmpty():
+        return _joined(docs, percent, size)
+    node = F.when(F.col("several"), F.xxhash64("doc_id", text_hash)).otherwise(F.col("doc_id"))
+    named = docs.select("doc_id", "text").join(several, "doc_id", "left")
+    named = pinned(named.select(F.col("doc_id").alias("owner"), node.alias("doc_id"), "text", "several"))
+    owners = pinned(named.where("several").select("owner", F.col("doc_id").alias("node")).distinct())
+    # one node of each id stands for it; the others are linked to that one
+    anchors = owners.groupBy("owner").agg(F.min("node").alias("a"))
+    same = owners.join(anchors, "owner").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b"))
+    found = _joined(named.select("doc_id", "text"), percent, size, same)
+    owned = found.join(owners, F.col("doc_id") == F.col("node"), "left").select(
+        F.coalesce("owner", "doc_id").alias("doc_id"), "n_shingles", F.col("component_id").alias("component")
+    )
+    owned = pinned(owned)
+    smallest = owned.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return owned.join(smallest, "component", "left").select("doc_id", "n_shingles", "component_id")
+
+
+def _joined(docs: DataFrame, percent: int, size: int, same: DataFrame | None = None) -> DataFrame:
+    """``near_duplicates`` of ids with one text each; ``same`` (a, b) are further links."""
     table = pinned(described(docs, percent, size))
     nodes = table.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
     views = nodes.select("id", "n_shingles", F.explode("views").alias("v")).select("id", "n_shingles", "v.*")
@@ -332,6 +359,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, size: int = SHIN
         F.col("hub").alias("a"), F.col("id").alias("b"), "band"
     )
     copies = twins.select(F.col("twin").alias("a"), F.col("id").alias("b"))
+    if same is not None:
+        copies = copies.unionByName(same)
     links = pinned(
         verified(near(stars.distinct(), views, percent), docs, percent, size).unionByName(copies)
     )
@@ -353,7 +382,19 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, size: int = SHIN
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The document with the smallest id of each component; rows without an id stay."""
+    """One row of the smallest id of each component; of rows without an id, one of each text."""
     found = near_duplicates(docs, **options)
     others = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti")
+    kept = docs.join(others, "doc_id", "left_anti")
+    key = ["__id", "__hash"]
+    keyed = [id_key().alias("__id"), F.xxhash64(text_or_empty()).alias("__hash")]
+    again = docs.select(*keyed).groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
+    again = pinned(again.select(*key))
+    if again.isEmpty():
+        return kept
+    # only rows that repeat move
+    held = kept.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *keyed)
+    once = held.join(again, key, "left_semi").groupBy(*key).agg(F.min("__row").alias("__row"))
+    rest = held.join(again, key, "left_anti").select("__row")
+    whole = rest.unionByName(once.select("__row"))
+    return whole.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -10,12 +11,12 @@ import pandas as pd
 import pytest
 from samples import DOCS, PROSE, edge_rows, rows
 
-from reelgate.llm import jaccard, suffix_dedup
+from reelgate.llm import hashing, jaccard, suffix_dedup
 from reelgate.llm.bwt import collection_bwt, repeated_windows
 from reelgate.llm.components import components
 from reelgate.llm.jaccard import near_duplicates, one_of_each
 from reelgate.llm.line_dedup import dedup_lines, with_bitmaps
-from reelgate.llm.queries import QUERIES
+from reelgate.llm.queries import ORACLES, QUERIES
 from reelgate.llm.suffix_dedup import dedup_substrings
 
 SAMPLE = "/root/testdata/sf0.001"
@@ -130,18 +131,14 @@ def plain_lines(docs):
         return line.strip(" \t\n\x0b\x0c\r").translate(UPPER)
 
     held = {}
-    for number, (doc_id, text) in enumerate(docs):
+    for doc_id, text in docs:
         for line in {key(x) for x in (text or "").split("\n")}:
-            held.setdefault(line, []).append((-1 if doc_id is None else doc_id, number))
+            held.setdefault(line, set()).add(-1 if doc_id is None else doc_id)
     out = []
     for doc_id, text in docs:
         lines = (text or "").split("\n")
         own = -1 if doc_id is None else doc_id
-        kept = [
-            x
-            for x in lines
-            if len(key(x)) < 20 or len(held[key(x)]) < 3 or max(held[key(x)])[0] == own
-        ]
+        kept = [x for x in lines if len(key(x)) < 20 or len(held[key(x)]) < 3 or max(held[key(x)]) == own]
         out.append((doc_id, len(lines) - len(kept), "\n".join(kept)))
     return out
 
@@ -180,12 +177,38 @@ def test_lines_of_edge_rows(documents):
     data = edge_rows()
     out = dedup_lines(documents(data, extra=True))
     assert out.columns == documents(data, extra=True).columns and out.count() == len(data)
-    # three rows hold the prose: the largest id keeps it
+    # three rows of two documents hold the prose, which is too few
     kept = {r.doc_id: r.text for r in out.collect()}
-    assert kept[3] == "" and kept[4] == PROSE and kept[1] is None
+    assert kept[3] == kept[4] == PROSE and kept[1] is None
+    kept = {r.doc_id: r.text for r in dedup_lines(documents(data + [(9, PROSE, "en", "a", 1)])).collect()}
+    assert kept[3] == kept[4] == "" and kept[9] == PROSE
     assert dedup_lines(documents([])).count() == 0
 
 
+def test_lines_of_repeated_rows_agree_with_sql(spark, documents, tmp_path):
+    line = "a line of more than twenty characters"
+    data = [(1, line, "en", "a", 1), (1, line, "en", "a", 1), (2, line, "en", "a", 1)]
+    data += [(i, f"{line} too\nown {i}", "en", "a", 1) for i in (5, 5, 6, None, None)]
+    data += [(7, None, "en", "a", 1), (None, None, "en", "a", 1), (8, "x" * 30 + "\n" + " " * 30, "en", "a", 1)]
+    documents(data).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op3_line_dedup"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(ORACLES["op3_line_dedup"]).fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    dropped = {r.doc_id: r.n_dropped for r in got.collect()}
+    assert dropped[1] == dropped[2] == 0 and dropped[5] == dropped[None] == 1 and dropped[6] == 0
+
+
+def test_lines_of_long_blanks(documents):
+    texts = [" " * 300_000 + "x\n" + "\t" * 300_000 + f"the same line in all of them{' ' * 100_000}" for _ in range(4)]
+    begin = time.time()
+    got = lines_of(documents(rows(*texts)))
+    assert sorted(n for _, n, _ in got) == [0, 1, 1, 1]
+    # in proportion to the length: minutes if every blank were tried from every other
+    assert time.time() - begin < 60
+
+
 def plain_components(docs, size=4, percent=85):
     sets = {}
     for doc_id, text in docs:
@@ -247,10 +270,32 @@ def test_near_duplicates_of_edge_rows(documents):
     by = {r.doc_id: (r.n_shingles, r.component_id) for r in found}
     assert by[3] == by[4] == (97, 3) and by[1] == (0, 1) and by[6] == (0, 6) and by[None][1] is None
     kept = one_of_each(documents(data, extra=True))
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 2, 3, 3, None, 5, 6, 7], key=str)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 2, 3, None, 5, 6, 7], key=str)
+    assert kept.columns == documents(data, extra=True).columns
     assert near_duplicates(documents([])).count() == 0
 
 
+def test_one_id_with_several_texts(documents):
+    other = " ".join(f"other{i}" for i in range(100))
+    third = " ".join(f"third{i}" for i in range(100))
+    data = [(1, PROSE), (2, PROSE), (2, other), (5, other + " more"), (7, third), (7, ""), (8, third + " more"), (9, ""), (3, "alone")]
+    found = near_duplicates(documents([(i, t, "en", "a", 1) for i, t in data])).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == sorted(
+        [(1, 97, 1), (2, 97, 1), (2, 97, 1), (5, 98, 1), (7, 97, 7), (7, 0, 7), (8, 98, 7), (9, 0, 9), (3, 1, 3)]
+    )
+
+
+def test_words_that_meet_under_polynomials_are_told_apart(documents):
+    # every block of this pattern is followed by its complement
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    texts = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    found = found_components(documents(rows(*[f"{t} w x y z" for t in texts])))
+    assert found == {0: (2, 0), 1: (2, 1)}
+    data, offsets = hashing.joined([b"ab cd ab", b"abcdefgh abcdefgh1 abcdefgh2 abcdefgh1"])
+    hashed = hashing.word_hashes(data, *hashing.words(data, offsets)[:2])
+    assert len(set(hashed.tolist())) == 5 and hashed[0] == hashed[2] and hashed[4] == hashed[6]
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(0)
     for size in (3, 40, 500):
