@@ -7,6 +7,7 @@ governance document; the files lie in the shared folder and grow with the tables
 from __future__ import annotations
 
 import io
+import struct
 import wave
 from collections.abc import Iterator
 from uuid import uuid4
@@ -170,6 +171,49 @@ def overlapped_energy(spark, d):
     return rounded(media.overlapped_energy(_recordings(spark, d)), 5)
 
 
+def _riff(*chunks: tuple[bytes, bytes]) -> bytes:
+    body = b"".join(n + struct.pack("<I", len(b)) + b + b"\0" * (len(b) % 2) for n, b in chunks)
+    return b"RIFF" + struct.pack("<I", 4 + len(body)) + b"WAVE" + body
+
+
+def _wav_kinds(body: str) -> bytes:
+    """Samples as floats, doubles, or 16 bits with an extensible header, by the first character."""
+    kind, raw = int(body[0]), body[1:].encode()
+    x = (np.frombuffer(raw, np.uint8).astype(np.float64) - 128) / 128
+    width, samples = {0: (4, x.astype("<f4")), 1: (8, x.astype("<f8")), 2: (2, (x * 32768).astype("<i2"))}[kind]
+    tag = 1 if kind == 2 else 3
+    form = struct.pack("<HHIIHH", tag, 1, RATE, RATE * width, width, 8 * width)
+    if kind == 2:
+        guid = b"\x00\x00\x00\x00\x10\x00\x80\x00\x00\xaa\x00\x38\x9b\x71"
+        form = struct.pack("<H", 0xFFFE) + form[2:] + struct.pack("<HHIH", 22, 8 * width, 4, tag) + guid
+    # chunks of an odd length before the samples, and one behind them
+    return _riff((b"LIST", b"odd"), (b"fmt ", form), (b"junk", b"x" * 5), (b"data", samples.tobytes()), (b"id3 ", b"tail"))
+
+
+@query(
+    "recording_formats",
+    f"""WITH {_BYTES_SQL} SELECT doc_id AS series_id, CASE doc_id % 3 WHEN 0 THEN 'FLOAT' WHEN 1 THEN 'DOUBLE' ELSE 'PCM_16' END AS codec,
+      count(*) AS n_samples, round(count(*) / 8000, 9) AS duration_seconds, round(sum(x * x), 6) AS sum_sq, round(max(abs(x)), 6) AS peak FROM x GROUP BY doc_id""",
+)
+def recording_formats(spark, d):
+    """The documents as floating-point and extensible recordings, probed and decoded."""
+    folder = _folder(spark, "formats")
+    rows = table(spark, d, "documents").select(
+        F.concat(F.col("doc_id").cast("string"), F.lit(".wav")).alias("name"),
+        F.concat((F.col("doc_id") % 3).cast("string"), F.coalesce("text", F.lit(""))).alias("body"),
+    )
+    _export(rows, folder, _wav_kinds)
+    probed = media.probe_media(media.discover_media(spark, folder).select("path")).where("error IS NULL")
+    known = pinned(probed.withColumn("series_id", F.regexp_extract("path", r"([0-9]+)\.wav$", 1).cast("long")))
+    frames = media.frame_energy(known.withColumn("n_frames", F.ceil(F.col("n_samples") / FRAME)))
+    sums = frames.groupBy("series_id").agg(
+        F.round(F.sum("sum_sq"), 6).alias("sum_sq"), F.round(F.max("peak"), 6).alias("peak")
+    )
+    return known.join(sums, "series_id").select(
+        "series_id", "codec", "n_samples", F.round("duration_seconds", 9).alias("duration_seconds"), "sum_sq", "peak"
+    )
+
+
 @query("band_ratio")
 def band_ratio(spark, d):
     excerpts = _recordings(spark, d).select(

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import hashlib
 import math
-import wave
+import struct
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -94,13 +95,80 @@ def _nullable(schema) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
 
-_PCM = {1: "pcm_u8", 2: "pcm_s16le", 3: "pcm_s24le", 4: "pcm_s32le"}
+#: Codec by format tag (1 whole numbers, 3 floating point) and bytes of a sample (fixed values).
+_CODECS = {
+    (1, 1): "pcm_u8",
+    (1, 2): "pcm_s16le",
+    (1, 3): "pcm_s24le",
+    (1, 4): "pcm_s32le",
+    (3, 4): "pcm_f32le",
+    (3, 8): "pcm_f64le",
+}
+_EXTENSIBLE = 0xFFFE
+#: A size that a 32-bit field cannot hold; the ``ds64`` chunk has it.
+_ELSEWHERE = 0xFFFFFFFF
+
+
+@dataclass(frozen=True)
+class WavLayout:
+    """Where the samples of a WAV file lie and how they are written."""
+
+    tag: int
+    width: int
+    channels: int
+    rate: int
+    offset: int
+    n_samples: int
+
+    @property
+    def codec(self) -> str:
+        return _CODECS[self.tag, self.width]
+
+
+def wav_layout(stream) -> WavLayout:
+    """Walk the chunks of a RIFF or RF64 file up to its samples; an odd chunk has a byte of padding."""
+    riff = stream.read(12)
+    if len(riff) < 12 or riff[:4] not in (b"RIFF", b"RF64") or riff[8:] != b"WAVE":
+        raise ValueError("no WAVE header")
+    at, end = 12, stream.size()
+    form = long_size = None
+    while at + 8 <= end:
+        stream.seek(at)
+        name, size = struct.unpack("<4sI", stream.read(8))
+        at += 8
+        if name == b"ds64":
+            long_size = struct.unpack("<QQ", stream.read(16))[1]
+        elif name == b"fmt ":
+            form = stream.read(min(size, 40))
+        elif name == b"data":
+            break
+        at += size + size % 2
+    else:
+        raise ValueError("no data chunk")
+    if form is None or len(form) < 16:
+        raise ValueError("no format before the samples")
+    tag, channels, rate, _, block, bits = struct.unpack("<HHIIHH", form[:16])
+    if tag == _EXTENSIBLE:
+        if len(form) < 26:
+            raise ValueError("short extensible format")
+        # the sub-format begins with the tag that an ordinary header would have
+        tag = struct.unpack("<H", form[24:26])[0]
+    width = (bits + 7) // 8
+    if (tag, width) not in _CODECS:
+        raise ValueError(f"unsupported samples: tag {tag}, {bits} bits")
+    if channels < 1 or rate < 1 or block != channels * width:
+        raise ValueError("inconsistent format")
+    if size == _ELSEWHERE and long_size is not None:
+        size = long_size
+    # a recorder that was cut off leaves a size beyond the end of its file
+    return WavLayout(tag, width, channels, rate, at, min(size, end - at) // block)
 
 
 def probe_media(files: DataFrame, path: str = "path") -> DataFrame:
     """Add duration_seconds, n_samples, sample_rate, channels, codec, format_name, error.
 
-    Reads headers only. Formats other than PCM WAV are quarantined through ``error``.
+    Reads headers only. WAV of whole numbers and of floating point, plain and extensible, is
+    understood; other formats are quarantined through ``error``.
     """
     base = _nullable(files.schema)
     schema = (
@@ -113,12 +181,12 @@ def probe_media(files: DataFrame, path: str = "path") -> DataFrame:
             rows = []
             for p in pdf[path]:
                 try:
-                    with _open(p) as stream, wave.open(stream, "rb") as audio:
-                        n, rate = audio.getnframes(), audio.getframerate()
-                        if n <= 0 or rate <= 0 or audio.getnchannels() <= 0:
-                            raise ValueError("no decodable samples")
-                        codec = _PCM[audio.getsampwidth()]
-                        rows.append((n / rate, n, rate, audio.getnchannels(), codec, "WAV", None))
+                    with _open(p) as stream:
+                        form = wav_layout(stream)
+                    n, rate = form.n_samples, form.rate
+                    if n <= 0:
+                        raise ValueError("no decodable samples")
+                    rows.append((n / rate, n, rate, form.channels, form.codec, "WAV", None))
                 except Exception as problem:
                     message = f"{type(problem).__name__}: {problem}"
                     rows.append((None, None, None, None, None, None, message))
@@ -150,25 +218,28 @@ def inventory(files: DataFrame, allowed: DataFrame, sha256: str = "sha256") -> D
 
 
 def read_samples(path: str, start: int, stop: int) -> np.ndarray:
-    """Samples start..stop of a PCM WAV file as float32 in [-1, 1), one column per channel."""
-    with _open(path) as stream, wave.open(stream, "rb") as audio:
-        channels, width = audio.getnchannels(), audio.getsampwidth()
-        start, stop = max(start, 0), min(stop, audio.getnframes())
+    """Samples start..stop of a WAV file as float32, one column per channel; whole numbers in [-1, 1)."""
+    with _open(path) as stream:
+        form = wav_layout(stream)
+        start, stop = max(start, 0), min(stop, form.n_samples)
         if stop <= start:
-            return np.zeros((0, channels), dtype=np.float32)
-        audio.setpos(start)
-        raw = audio.readframes(stop - start)
-    if width == 1:
+            return np.zeros((0, form.channels), dtype=np.float32)
+        block = form.channels * form.width
+        stream.seek(form.offset + start * block)
+        raw = stream.read((stop - start) * block)
+    if form.tag == 3:
+        values = np.frombuffer(raw, f"<f{form.width}")
+    elif form.width == 1:
         values = (np.frombuffer(raw, np.uint8).astype(np.float64) - 128) / 128
-    elif width == 2:
+    elif form.width == 2:
         values = np.frombuffer(raw, "<i2") / 32768.0
-    elif width == 3:
+    elif form.width == 3:
         parts = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
         signed = (parts[:, 0] | (parts[:, 1] << 8) | (parts[:, 2] << 16)) << 8
         values = (signed >> 8) / 8388608.0
     else:
         values = np.frombuffer(raw, "<i4") / 2147483648.0
-    return values.astype(np.float32).reshape(-1, channels)
+    return values.astype(np.float32).reshape(-1, form.channels)
 
 
 def _ranges(recordings: DataFrame, units: str, per_task: int) -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 import json
 import random
+import struct
 from datetime import datetime
 
 import numpy as np
@@ -468,3 +469,55 @@ def test_rhythm_finds_the_beat(spark):
     tempos = [bpm / 2, bpm, 2 * bpm]
     assert min(abs(out["fast"].pulse_bpm - t) for t in tempos) < 3
     assert out["fast"].upbeat_score > out["slow"].upbeat_score
+
+
+def riff(*chunks, name=b"RIFF"):
+    body = b"".join(n + struct.pack("<I", size if size is not None else len(b)) + b + b"\0" * (len(b) % 2) for n, b, size in chunks)
+    return name + struct.pack("<I", 4 + len(body)) + b"WAVE" + body
+
+
+def form_of(tag, channels, width, rate=8_000):
+    return struct.pack("<HHIIHH", tag, channels, rate, rate * width * channels, width * channels, 8 * width)
+
+
+def extensible(tag, channels, width):
+    guid = struct.pack("<H", tag) + b"\0\0\0\0\x10\0\x80\0\0\xaa\0\x38\x9b\x71"
+    return form_of(0xFFFE, channels, width) + struct.pack("<HHI", 22, 8 * width, 3) + guid
+
+
+def test_wav_layouts(spark, tmp_path):
+    x = np.linspace(-1, 1, 101)[:100].astype(np.float32)
+    two = np.stack([x, -x], 1)
+    whole = (two * 32768).clip(-32768, 32767).astype("<i2")
+    three = b"".join(int(v * 8388607).to_bytes(3, "little", signed=True) for v in x)
+    files = {
+        "float": riff((b"LIST", b"odd", None), (b"fmt ", form_of(3, 2, 4), None), (b"data", two.astype("<f4").tobytes(), None), (b"id3 ", b"tail", None)),
+        "double": riff((b"fmt ", form_of(3, 2, 8), None), (b"fact", b"1234", None), (b"data", two.astype("<f8").tobytes(), None)),
+        "ext16": riff((b"fmt ", extensible(1, 2, 2), None), (b"data", whole.tobytes(), None)),
+        "ext24": riff((b"fmt ", extensible(1, 1, 3), None), (b"data", three, None)),
+        "extfloat": riff((b"fmt ", extensible(3, 1, 4), None), (b"data", x.tobytes(), None)),
+        "cut": riff((b"fmt ", form_of(3, 1, 4), None), (b"data", x.tobytes()[:-3], 10_000)),
+        "long": riff(
+            (b"ds64", struct.pack("<QQQI", 1, 400, 100, 0), None), (b"fmt ", form_of(3, 1, 4), None), (b"data", x.tobytes() + b"behind", 0xFFFFFFFF), name=b"RF64"
+        ),
+        "empty": riff((b"fmt ", form_of(3, 1, 4), None), (b"data", b"", None)),
+        "late": riff((b"data", x.tobytes(), None), (b"fmt ", form_of(3, 1, 4), None)),
+        "none": riff((b"fmt ", form_of(3, 1, 4), None)),
+        "mulaw": riff((b"fmt ", form_of(7, 1, 1), None), (b"data", b"abcd", None)),
+        "block": riff((b"fmt ", form_of(3, 0, 4), None), (b"data", b"abcd", None)),
+        "junk": b"not a recording at all",
+    }
+    for name, body in files.items():
+        (tmp_path / f"{name}.wav").write_bytes(body)
+    got = {r.path.rsplit("/", 1)[1][:-4]: r for r in media.probe_media(media.discover_media(spark, str(tmp_path)).select("path")).collect()}
+    found = {n: (r.codec, r.channels, r.n_samples) for n, r in got.items() if r.error is None}
+    assert found == {
+        "float": ("FLOAT", 2, 100), "double": ("DOUBLE", 2, 100), "ext16": ("PCM_16", 2, 100), "ext24": ("PCM_24", 1, 100),
+        "extfloat": ("FLOAT", 1, 100), "cut": ("FLOAT", 1, 99), "long": ("FLOAT", 1, 100),
+    }
+    for name in ("float", "double"):
+        assert np.array_equal(media.read_samples(str(tmp_path / f"{name}.wav"), 10, 60), two[10:60])
+    assert np.allclose(media.read_samples(str(tmp_path / "ext16.wav"), 0, 100), two, atol=1e-4)
+    assert np.allclose(media.read_samples(str(tmp_path / "ext24.wav"), 0, 500)[:, 0], x, atol=1e-6)
+    assert len(media.read_samples(str(tmp_path / "cut.wav"), 90, 500)) == 9
+    assert np.array_equal(media.read_samples(str(tmp_path / "long.wav"), 0, 500)[:, 0], x)
