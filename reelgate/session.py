@@ -68,9 +68,11 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
-    named = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    # a core setting cannot be changed in a running session, so the folder is kept beside it
+    context = spark.sparkContext
+    if not hasattr(context, "_reelgate_folder"):
+        context._reelgate_folder = tempfile.mkdtemp(prefix="spark-")
+    return context._reelgate_folder
 
 
 def pinned(df: DataFrame) -> DataFrame:
