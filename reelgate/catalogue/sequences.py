@@ -437,21 +437,37 @@ def song_rhythm(spark, d):
     return rounded(analyse_rhythm(frames, durations, RATE))
 
 
+#: Frames per second of the onsets: an onset keeps others away for three frames.
+ONSET_RATE = 25.0
+
+
 @query(
     "onset_stats",
-    f"""WITH {FRAMES_SQL}, q AS (SELECT series_id, greatest(quantile_cont(rms, 0.2), 1e-7) AS p20, avg(value) AS t, count(*) / 6.0 AS dur FROM frames GROUP BY 1)
-    SELECT series_id, round(dur, 6) AS duration_seconds, round(t, 9) AS transient_activity, round(avg((rms > p20)::INT), 6) AS active_fraction
-    FROM frames JOIN q USING (series_id) GROUP BY series_id, dur, t""",
+    f"""WITH RECURSIVE {FRAMES_SQL}, md AS (SELECT series_id, quantile_cont(value, 0.5) AS md FROM frames GROUP BY 1),
+    bar AS (SELECT series_id, md + greatest(1.5 * quantile_cont(abs(value - md), 0.5), 0.08) AS bar FROM frames JOIN md USING (series_id) GROUP BY series_id, md),
+    c AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY frame_idx) AS rn FROM (SELECT series_id, frame_idx, value,
+      lag(value) OVER w AS l, lead(value) OVER w AS r FROM frames WINDOW w AS (PARTITION BY series_id ORDER BY frame_idx)) JOIN bar USING (series_id)
+      WHERE value > l AND value >= r AND value >= bar),
+    s AS (SELECT series_id, rn, frame_idx, value, 1 AS onsets FROM c WHERE rn = 1
+      UNION ALL SELECT c.series_id, c.rn, CASE WHEN c.frame_idx - s.frame_idx >= 3 OR c.value > s.value THEN c.frame_idx ELSE s.frame_idx END,
+        CASE WHEN c.frame_idx - s.frame_idx >= 3 OR c.value > s.value THEN c.value ELSE s.value END,
+        s.onsets + (c.frame_idx - s.frame_idx >= 3)::INT FROM s JOIN c ON c.series_id = s.series_id AND c.rn = s.rn + 1),
+    o AS (SELECT series_id, max(onsets) AS onsets FROM s GROUP BY 1),
+    q AS (SELECT series_id, greatest(quantile_cont(rms, 0.2), 1e-7) AS p20, avg(value) AS t, count(*) / 25.0::DOUBLE AS dur FROM frames GROUP BY 1)
+    SELECT series_id, round(dur, 6) AS duration_seconds, round(coalesce(onsets, 0) / greatest(dur, 1), 9) AS onset_density_per_second,
+      round(t, 9) AS transient_activity, round(avg((rms > p20)::INT), 6) AS active_fraction
+    FROM frames JOIN q USING (series_id) LEFT JOIN o USING (series_id) GROUP BY series_id, dur, t, onsets""",
 )
 def onset_stats(spark, d):
     frames = _envelope(spark, d)
     durations = series_lengths(frames).select(
-        "series_id", (F.col("n_frames") / RATE).alias("duration_seconds")
+        "series_id", (F.col("n_frames") / ONSET_RATE).alias("duration_seconds")
     )
-    out = tempo.onset_stats(frames, durations, RATE)
+    out = tempo.onset_stats(frames, durations, ONSET_RATE)
     return out.select(
         "series_id",
         F.round("duration_seconds", 6).alias("duration_seconds"),
+        F.round("onset_density_per_second", 9).alias("onset_density_per_second"),
         F.round("transient_activity", 9).alias("transient_activity"),
         F.round("active_fraction", 6).alias("active_fraction"),
     )
