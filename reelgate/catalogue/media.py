@@ -497,35 +497,48 @@ def media_stream_ingest(spark, d):
     rg AS (SELECT doc_id, st, quantile_cont(db, 0.95) - quantile_cont(db, 0.05) AS rng FROM sec GROUP BY 1, 2),
     isl AS (SELECT doc_id, st, k - row_number() OVER (PARTITION BY doc_id, st ORDER BY k) AS g FROM w WHERE f0 > 0),
     lr AS (SELECT doc_id, st, max(c) AS c FROM (SELECT doc_id, st, g, count(*) AS c FROM isl GROUP BY ALL) GROUP BY 1, 2),
-    toxic AS (SELECT doc_id FROM labels WHERE toxic = 1 UNION SELECT doc_id FROM documents WHERE source = 'src3'),
+    toxic AS (SELECT doc_id FROM labels WHERE toxic = 1 UNION SELECT doc_id FROM documents WHERE source = 'src3' OR doc_id % 19 = 3
+      OR (doc_id % 3 > 0 AND doc_id % 23 = 1 AND source <> 'src5')),
+    altered AS (SELECT doc_id, CASE WHEN doc_id % 31 = 2 THEN 2 ELSE (doc_id % 17 = 5)::INT + (doc_id % 29 = 7)::INT END AS n
+      FROM documents WHERE (doc_id % 17 = 5 OR doc_id % 29 = 7 OR doc_id % 31 = 2) AND doc_id NOT IN (SELECT doc_id FROM toxic)),
     scr AS (SELECT doc_id, st, vf, act, rng FROM m JOIN rg USING (doc_id, st) JOIN lr USING (doc_id, st)
-      WHERE vf BETWEEN 0.72 AND 0.98 AND rng <= 8 AND mp < 0.999 AND act >= -45 AND pk <= -0.1 AND c / 50 >= 1.2 AND st > 0 AND (st // 250) % 7 <= 3 AND doc_id NOT IN (SELECT doc_id FROM toxic)),
+      WHERE vf BETWEEN 0.72 AND 0.98 AND rng <= 8 AND mp < 0.999 AND act >= -45 AND pk <= -0.1 AND c / 50 >= 1.2 AND st > 0 AND (st // 250) % 7 <= 3 AND doc_id NOT IN (SELECT doc_id FROM toxic) AND doc_id NOT IN (SELECT doc_id FROM altered)),
     top AS (SELECT doc_id, quantile_cont(act, 0.75) AS top FROM scr GROUP BY 1),
     c0 AS (SELECT doc_id AS series_id, st AS start_frame, abs(vf - 0.82) + rng / 20 + greatest(0, -35 - act) / 20 AS a, 0 AS b
       FROM scr JOIN top USING (doc_id) WHERE greatest(0, top - act) <= 6),
     {topk_sql(6, 500)}, cn AS (SELECT series_id, count(*) AS c FROM picked GROUP BY 1)
     SELECT doc_id::VARCHAR AS song_id, CASE WHEN c IS NULL THEN 0 WHEN c > 1 THEN c - 1 ELSE 1 END AS training_segments,
-      (CASE WHEN c > 1 THEN 1 ELSE 0 END)::BIGINT AS validation_segments FROM documents LEFT JOIN cn ON series_id = doc_id WHERE doc_id NOT IN (SELECT doc_id FROM toxic)
-    UNION ALL SELECT doc_id::VARCHAR, -1, -1 FROM documents WHERE doc_id IN (SELECT doc_id FROM toxic)""",
+      (CASE WHEN c > 1 THEN 1 ELSE 0 END)::BIGINT AS validation_segments FROM documents LEFT JOIN cn ON series_id = doc_id
+      WHERE doc_id NOT IN (SELECT doc_id FROM toxic) AND doc_id NOT IN (SELECT doc_id FROM altered)
+    UNION ALL SELECT doc_id::VARCHAR, -1, -1 FROM documents WHERE doc_id IN (SELECT doc_id FROM toxic)
+    UNION ALL SELECT doc_id::VARCHAR, -2, -n FROM altered""",
 )
 def curation_plan(spark, d):
     """The dataset build over the recordings: every document's text is a song of its source."""
-    recordings = _recordings(spark, d).withColumn("n_frames", F.ceil(F.col("n_samples") / 4))
+    recordings = pinned(_recordings(spark, d).withColumn("n_frames", F.ceil(F.col("n_samples") / 4)))
     docs = table(spark, d, "documents").select("doc_id", "source", "lang")
     labels = table(spark, d, "labels")
     song = F.col("doc_id").cast("string")
     known = docs.withColumn("h", F.sha2(song, 256))
-    stems = known.select(
+    # some files have changed since their manifest, some contours are missing, some manifests incomplete
+    files = media.hash_files(recordings.select("series_id", "path").distinct())
+    files = files.select(F.col("series_id").alias("doc_id"), "path", F.col("sha256").alias("written"))
+    changed = F.when(F.col("doc_id") % 17 == 5, F.reverse("written")).otherwise(F.col("written"))
+    contour = F.when(F.col("doc_id") % 29 == 7, F.concat("path", F.lit(".gone"))).otherwise(F.col("path"))
+    whole = F.col("doc_id") % 31 != 2
+    stems = known.join(files, "doc_id").select(
         F.col("source").alias("artist_id"),
         song.alias("song_id"),
         F.col("h").alias("source_sha256"),
         F.struct(F.col("h").alias("sha256")).alias("vocals"),
-        F.struct(F.col("h").alias("source_vocals_sha256")).alias("clean_vocals"),
+        F.struct(F.when(whole, F.col("path")).alias("path"), changed.alias("sha256"), F.col("h").alias("source_vocals_sha256")).alias("clean_vocals"),
+        F.struct(contour.alias("path"), F.when(whole, F.col("written")).alias("sha256")).alias("f0"),
     )
     # every third stem has no catalog row
     catalog = docs.where("doc_id % 3 > 0").select(
         F.col("source").alias("artist_id"), song.alias("song_id"),
-        F.col("lang").alias("title"), F.concat(song, F.lit(".wav")).alias("source_filename"),
+        F.when(F.col("doc_id") % 23 == 1, F.concat(F.lit("Live "), "lang")).otherwise(F.col("lang")).alias("title"),
+        F.concat(song, F.lit(".wav")).alias("source_filename"),
     )
     toxic = known.join(labels.where("toxic = 1"), "doc_id", "left_semi")
     policy = curation.Policy(
@@ -533,9 +546,10 @@ def curation_plan(spark, d):
             F.col("source").alias("artist_id"), F.col("h").alias("sha256"), F.lit("").alias("filename"), F.lit("toxic").alias("reason"),
             F.col("doc_id").alias("pos"),
         ),
-        voice=toxic.limit(0).select(
-            F.col("source").alias("artist_id"), song.alias("song_id"), F.lit(True).alias("exclude_entire_song"), F.lit("").alias("reason")
+        voice=known.where("doc_id % 19 in (3, 4)").select(
+            F.col("source").alias("artist_id"), song.alias("song_id"), (F.col("doc_id") % 19 == 3).alias("exclude_entire_song"), F.lit("kept out").alias("reason")
         ),
+        defaults=known.select(F.col("source").alias("artist_id"), (F.col("source") != "src5").alias("reject_live")).distinct(),
         intervals=known.select(F.col("source").alias("artist_id"), song.alias("song_id"), F.lit(0.0).alias("start_s"), F.lit(0.5).alias("end_s")),
     )
 
@@ -577,5 +591,9 @@ def curation_plan(spark, d):
                 F.lit(-1).cast("long").alias("training_segments"),
                 F.lit(-1).cast("long").alias("validation_segments"),
             )
+        ).unionByName(
+            built.violations.where(F.col("violation").isin("changed file", "missing file", "incomplete")).groupBy("song_id").agg(
+                F.lit(-2).cast("long").alias("training_segments"), (-F.count(F.lit(1))).alias("validation_segments")
+            )
         )
     )

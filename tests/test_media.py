@@ -152,12 +152,15 @@ def _policy(spark, intervals=(), sources=()):
     )
 
 
-def _build(spark, song, intervals=(), lineage="v", listed="src", sources=(), granted=True, artists=("x",)):
+def _build(spark, song, intervals=(), lineage="v", listed="src", sources=(), granted=True, artists=("x",), clean=None, f0=None):
     recs, frames = song
+    path = recs.first().path
+    with open(path.removeprefix("file:"), "rb") as file:
+        digest = hashlib.sha256(file.read()).hexdigest()
     stems = spark.createDataFrame(
-        [(a, "song-a", "src", ("v",), (lineage,)) for a in artists],
+        [(a, "song-a", "src", ("v",), (*(clean or (path, digest)), lineage), f0 or (path, digest)) for a in artists],
         "artist_id string, song_id string, source_sha256 string, vocals struct<sha256:string>, "
-        "clean_vocals struct<source_vocals_sha256:string>",
+        "clean_vocals struct<path:string, sha256:string, source_vocals_sha256:string>, f0 struct<path:string, sha256:string>",
     )
     catalog = spark.createDataFrame(
         [("x", "song-a", "A", "a.wav")], "artist_id string, song_id string, title string, source_filename string"
@@ -206,6 +209,31 @@ def test_curation_reports_broken_lineage_and_unlisted_sources(spark, song):
     assert [r.violation for r in _build(spark, song, listed="other").violations.collect()] == ["not allow-listed"]
 
 
+def test_curation_never_decodes_files_that_changed(spark, song):
+    path = song[0].first().path
+    for given, found in (
+        ({"clean": (path, "0" * 64)}, [("changed file", "clean_vocals")]),
+        ({"f0": (path + ".gone", "0" * 64)}, [("missing file", "f0")]),
+        ({"clean": (None, "0" * 64), "f0": (path, None)}, [("incomplete", "clean_vocals"), ("incomplete", "f0")]),
+    ):
+        built = _build(spark, song, **given)
+        assert sorted((r.violation, r.column_name) for r in built.violations.collect()) == found
+        assert built.segments.count() == 0 and built.sources.count() == 0
+
+
+def test_relative_stem_paths_start_at_the_root(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "clean_vocals.wav").write_bytes(b"sound")
+    digest = hashlib.sha256(b"sound").hexdigest()
+    entry = ("a/clean_vocals.wav", digest)
+    stems = spark.createDataFrame(
+        [("x/s", "x", "s", entry, entry)],
+        "song_key string, artist_id string, song_id string, clean_vocals struct<path:string, sha256:string>, f0 struct<path:string, sha256:string>",
+    )
+    passed, broken = curation.intact_stems(stems, str(tmp_path))
+    assert passed.count() == 1 and broken.count() == 0
+
+
 def test_curation_is_governed_per_artist(spark, song):
     """Two artists share a song id and a source hash; rules and allow-lists are their own."""
     rule = ("y", "src", "", "withdrawn", 0)
