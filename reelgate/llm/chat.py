@@ -7,19 +7,17 @@ assistant and everybody else as named users; the mask covers what the assistant
 ``perspectives`` renders whole dialogues: each participant gets every segment of ``SEGMENT`` turns
 in order, also those in which they are silent. The segments' texts put together are the full
 rendering, ``start`` and the mask count from its beginning, and ``context`` repeats the instructions
-that came before a segment. ``rotate`` renders segments of ``SEGMENT`` turn numbers by
-themselves, for those who speak in them.
+that came before a segment.
 
 Shapes at scale: no rendered row holds more than ``SEGMENT`` turns and the instructions before
-them, which are held as one row per dialogue. Turns are numbered by ``ordered_scan``. While all
+them, which are put together once per segment, for all participants. Turns are numbered by ``ordered_scan``. While all
 dialogues are small, one shuffle by dialogue serves every step; else offsets are summed over one row
 without text per segment and participant and joined back, so that a dialogue with a third of all
 turns is spread over tasks. Built-in columns only.
 
-Defined cases: a null text is an empty turn; a null turn number comes last (in ``rotate``: in a
-segment of its own, -1); turns of a null role are an unnamed user's; rows that repeat in all columns
-count once; rows of no dialogue (null conv_id) are left out; a dialogue (in ``rotate``: a segment)
-without any participant gives no row. Texts are rendered as they are, also where they hold the
+Defined cases: a null text is an empty turn; a null turn number comes last; turns of a null role are an
+unnamed user's; rows that repeat in all columns count once; rows of no dialogue (null conv_id) are left
+out; a dialogue without any participant gives no row. Texts are rendered as they are, also where they hold the
 template's marks.
 """
 
@@ -27,7 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelgate.operators.scan import Running, has_large_group, ordered_scan
@@ -99,32 +97,6 @@ def _view(seen: DataFrame, context: Sequence[str], *columns: str) -> DataFrame:
     )
 
 
-def rotate(turns: DataFrame, *, context: Sequence[str] = CONTEXT, segment: int = SEGMENT) -> DataFrame:
-    """conv_id, segment, speaker, n_turns, n_targets, rendered, mask.
-
-    ``mask`` is an array of (start, length) in code points of ``rendered``: the assistant's
-    words and the mark that ends them.
-    """
-    rows = (
-        turns.where(F.col("conv_id").isNotNull())
-        .select(
-            "conv_id",
-            F.coalesce(F.floor(F.col("turn") / segment), F.lit(-1)).alias("segment"),
-            "turn",
-            "role",
-            F.coalesce("text", F.lit("")).alias("text"),
-        )
-        .distinct()
-    )
-    said = F.struct(F.col("turn").isNull().alias("last"), "turn", "role", "text")
-    parts = rows.groupBy("conv_id", "segment").agg(F.array_sort(F.collect_list(said)).alias("turns"))
-    people = F.array_distinct(
-        F.filter(F.transform("turns", lambda t: t["role"]), lambda r: r.isNotNull() & ~r.isin(*context))
-    )
-    seen = parts.withColumn("speaker", F.explode(people))
-    return _view(seen.withColumn("start", F.lit(0).cast("long")), context)
-
-
 def perspectives(turns: DataFrame, *, context: Sequence[str] = CONTEXT, segment: int = SEGMENT) -> DataFrame:
     """conv_id, segment (0, 1, ...), speaker, start, context, n_turns, n_targets, rendered, mask.
 
@@ -161,10 +133,11 @@ def perspectives(turns: DataFrame, *, context: Sequence[str] = CONTEXT, segment:
         views = ordered_scan(views, ["conv_id", "speaker"], ["segment"], before, large=False)
 
     rule = F.concat(F.lit(OPEN), _named(F.col("role")), F.lit("\n"), F.col("text"), F.lit(CLOSE + "\n"))
-    rules = placed.where(instructs).groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("place", "segment", rule.alias("text")))).alias("rules")
+    own = placed.where(instructs).groupBy("conv_id", "segment").agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("place", rule.alias("text"))))["text"], "").alias("rules")
+    )
+    earlier = Window.partitionBy("conv_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.select("conv_id", "segment").join(own, ["conv_id", "segment"], "left").select(
+        "conv_id", "segment", F.array_join(F.collect_list("rules").over(earlier), "").alias("context")
     )
-    earlier = F.filter("rules", lambda r: r["segment"] < F.col("segment"))
-    carried = F.coalesce(F.array_join(F.transform(earlier, lambda r: r["text"]), ""), F.lit(""))
-    seen = views.join(rules, "conv_id", "left").withColumn("context", carried)
-    return _view(seen, context, "start", "context")
+    return _view(views.join(carried, ["conv_id", "segment"]), context, "start", "context")

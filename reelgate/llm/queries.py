@@ -173,30 +173,36 @@ def op6_chat(spark: SparkSession, folder: str) -> DataFrame:
 
 ORACLES["op6_chat"] = r"""
 WITH said AS (
-  SELECT DISTINCT conv_id, coalesce(floor(turn / 64)::BIGINT, -1) AS segment, turn, role,
-         coalesce(text, '') AS text
-  FROM conversations WHERE conv_id IS NOT NULL
+  SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, text) - 1 AS place FROM said
 ), people AS (
-  SELECT DISTINCT conv_id, segment, role AS speaker FROM said WHERE role <> 'system'
+  SELECT DISTINCT conv_id, role AS speaker FROM said WHERE role <> 'system'
 ), seen AS (
-  SELECT said.*, speaker, coalesce(role = speaker, false) AS target,
+  SELECT placed.*, place // 64 AS segment, speaker, coalesce(role = speaker, false) AS target,
          '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system'
            WHEN role IS NULL THEN 'user'
            ELSE 'user name=' || regexp_replace(role, '[^A-Za-z0-9_-]', '_', 'g') END || chr(10) AS head,
          text || '<|im_end|>' AS body
-  FROM said JOIN people USING (conv_id, segment)
-), placed AS (
-  SELECT *, (sum(length(head) + length(body) + 1) OVER w - length(body) - 1)::BIGINT AS begins,
-         row_number() OVER w AS n
-  FROM seen WINDOW w AS (PARTITION BY conv_id, segment, speaker
-    ORDER BY turn NULLS LAST, role NULLS FIRST, text ROWS UNBOUNDED PRECEDING)
+  FROM placed JOIN people USING (conv_id)
+), offsets AS (
+  SELECT *, (sum(length(head) + length(body) + 1) OVER w - length(body) - 1)::BIGINT AS begins
+  FROM seen WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY place ROWS UNBOUNDED PRECEDING)
+), rendered AS (
+  SELECT conv_id, segment, speaker, count(*)::BIGINT AS n_turns, count(*) FILTER (WHERE target)::BIGINT AS n_targets,
+         sum(length(head) + length(body) + 1)::BIGINT AS n_chars,
+         string_agg(head || body || chr(10), '' ORDER BY place) AS text,
+         coalesce(string_agg(begins || ':' || length(body), ',' ORDER BY place) FILTER (WHERE target), '') AS mask
+  FROM offsets GROUP BY conv_id, segment, speaker
+), carried AS (
+  -- the instructions of all earlier segments
+  SELECT s.conv_id, s.segment, string_agg('<|im_start|>system' || chr(10) || p.text || '<|im_end|>' || chr(10), '' ORDER BY p.place) AS context
+  FROM (SELECT DISTINCT conv_id, segment FROM rendered) s
+  JOIN placed p ON p.conv_id = s.conv_id AND p.role = 'system' AND p.place // 64 < s.segment
+  GROUP BY s.conv_id, s.segment
 )
-SELECT conv_id, segment, speaker, count(*)::BIGINT AS n_turns,
-       count(*) FILTER (WHERE target)::BIGINT AS n_targets,
-       sum(length(head) + length(body) + 1)::BIGINT AS n_chars,
-       sha256(string_agg(head || body || chr(10), '' ORDER BY n)) AS rendered_sha256,
-       string_agg(begins || ':' || length(body), ',' ORDER BY n) FILTER (WHERE target) AS mask
-FROM placed GROUP BY conv_id, segment, speaker
+SELECT conv_id, segment, speaker, n_turns, n_targets, n_chars, sha256(coalesce(context, '') || text) AS rendered_sha256, mask
+FROM rendered LEFT JOIN carried USING (conv_id, segment)
 """
 
 

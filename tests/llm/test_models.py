@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from reelgate.llm import fingerprints, topk
-from reelgate.llm.chat import perspectives, rotate
+from reelgate.llm.chat import perspectives
 from reelgate.llm.mixing import _position, mix, mixed_documents
 from reelgate.llm.packing import pack
 from reelgate.llm.quality import keep_good, kth_largest, resample
@@ -136,15 +136,18 @@ def test_chat_edge_rows(spark):
         (1, 0, "system", "rules"), (1, 1, "ann b", "hi"), (1, 2, "bob", None), (1, 2, "bob", None),
         (1, None, "ann b", "late"), (1, 3, None, "who"), (1, 200, "bob", "far"), (None, 0, "ann", "lost"), (2, 0, "system", "only"),
     ]
-    df = spark.createDataFrame([(*t, "x") for t in turns], "conv_id long, turn long, role string, text string, speaker string")
-    got = {(r.conv_id, r.segment, r.speaker): r for r in rotate(df).collect()}
-    assert set(got) == {(1, 0, "ann b"), (1, 0, "bob"), (1, -1, "ann b"), (1, 3, "bob")}
+    df = spark.createDataFrame(
+        [(*t, "x", "y", "z", "v") for t in turns],
+        "conv_id long, turn long, role string, text string, speaker string, segment string, context string, rules string",
+    )
+    got = {(r.conv_id, r.segment, r.speaker): r for r in perspectives(df).collect()}
+    assert set(got) == {(1, 0, "ann b"), (1, 0, "bob")}
     seen = got[1, 0, "bob"]
-    assert seen.n_turns == 4 and "<|im_start|>user name=ann_b\nhi<|im_end|>" in seen.rendered
-    assert [seen.rendered[m.start : m.start + m.length] for m in seen.mask] == ["<|im_end|>"]
+    assert seen.n_turns == 6 and "<|im_start|>user name=ann_b\nhi<|im_end|>" in seen.rendered
+    assert [seen.rendered[m.start : m.start + m.length] for m in seen.mask] == ["<|im_end|>", "far<|im_end|>"]
     other = got[1, 0, "ann b"]
-    assert [other.rendered[m.start : m.start + m.length] for m in other.mask] == ["hi<|im_end|>"]
-    assert rotate(df.limit(0)).count() == 0
+    assert [other.rendered[m.start : m.start + m.length] for m in other.mask] == ["hi<|im_end|>", "late<|im_end|>"]
+    assert perspectives(df.limit(0)).count() == 0
 
 
 def plain_views(turns, segment):
@@ -211,6 +214,11 @@ def test_chat_query_covers_every_participant(spark, tmp_path):
         assert sum(r.n_chars for r in mine) == len(text)
         assert ",".join(r.mask for r in mine if r.mask) == ",".join(f"{a}:{n}" for a, n in mask)
     assert not found
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    result = con.execute(ORACLES["op6_chat"])
+    rows_ = QUERIES["op6_chat"](spark, str(tmp_path))
+    assert _rows([c[0] for c in result.description], result.fetchall()) == _rows(rows_.columns, [tuple(r) for r in rows_.collect()])
 
 
 def check_packing(pieces, texts, window):
