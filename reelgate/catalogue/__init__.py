@@ -8,6 +8,7 @@ from reelgate.catalogue import (  # noqa: F401
     lineage,
     media,
     plugins,
+    records,
     selection,
     sequences,
 )

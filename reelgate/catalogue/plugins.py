@@ -113,13 +113,18 @@ def conversion_decisions(spark, d):
 
 @query(
     "unplannable_series",
-    """WITH n AS (SELECT user_id AS series_id, count(*)::DOUBLE AS n FROM events GROUP BY 1), a AS (SELECT *, ceil((n - 9) / 11) AS c0 FROM n WHERE n > 20),
+    """WITH n AS (SELECT user_id AS series_id, least(count(*), 18 + user_id % 30)::DOUBLE AS n FROM events GROUP BY 1), a AS (SELECT *, ceil((n - 9) / 11) AS c0 FROM n WHERE n > 20),
     b AS (SELECT *, CASE WHEN (n + (c0 - 1) * 9) / c0 >= 15 THEN c0 ELSE greatest(floor((n - 9) / 6), 1) END AS c FROM a)
-    SELECT series_id, 'phrase bounds cannot be met' AS violation FROM b WHERE NOT (n + (c - 1) * 9) / c BETWEEN 15 AND 20""",
+    SELECT series_id, 'phrase bounds cannot be met' AS violation FROM b WHERE NOT (n + (c - 1) * 9) / c BETWEEN 15 AND 20
+    UNION ALL SELECT o_custkey, 'phrase bounds cannot be met' FROM orders WHERE o_orderkey % 100 = 0""",
 )
 def unplannable_series(spark, d):
+    """The beginnings of all series, some of a length between one phrase and two, and series without a frame."""
     lengths = table(spark, d, "events").groupBy(F.col("user_id").alias("series_id")).agg(
-        F.count(F.lit(1)).alias("n_frames")
+        F.least(F.count(F.lit(1)), 18 + F.first("user_id") % 30).alias("n_frames")
     )
-    _, bad = plan_phrases(lengths, 15.0, 20.0, 9.0, rate=1)
+    empty = table(spark, d, "orders").where("o_orderkey % 100 = 0").select(
+        F.col("o_custkey").alias("series_id"), F.lit(0).cast("long").alias("n_frames")
+    )
+    _, bad = plan_phrases(lengths.unionByName(empty), 15.0, 20.0, 9.0, rate=1)
     return bad
