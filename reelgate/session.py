@@ -100,13 +100,17 @@ def release(spark: SparkSession, keep: int = 0) -> int:
     """Delete the stored steps but the first ``keep``; frames that read them become unusable."""
     steps = _steps(spark)
     gone, steps[keep:] = steps[keep:], []
-    path_of = spark._jvm.org.apache.hadoop.fs.Path
     for name in gone:
-        path = path_of(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        discard(spark, name)
     return len(gone)
 
 
+def discard(spark: SparkSession, name: str) -> None:
+    """Delete a stored folder, in whatever file system it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Free all steps stored inside the block at its end, when its results have been written."""
