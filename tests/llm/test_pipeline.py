@@ -1,10 +1,13 @@
 """The pipeline's stages against what each is to do with its own input."""
 
+import os
+
 import corpus_pipeline
 from samples import edge_rows
 from test_dedup import plain_components, plain_lines
 
 from reelgate.llm.mixing import mix
+from reelgate.session import shared_dir
 
 SAMPLE = "/root/testdata/sf0.001"
 
@@ -40,6 +43,27 @@ def test_stages_on_edge_rows(spark, documents, tmp_path):
     assert docs.count() > 0
 
 
+def test_stages_on_empty_tables_and_clashing_names(spark, documents, tmp_path):
+    empty, wide = documents([], extra=True), documents(edge_rows(), extra=True)
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, empty, SAMPLE).count() == 0
+        done = stage(spark, wide, SAMPLE)
+        if number < len(corpus_pipeline.STAGES) - 1:
+            assert done.columns == wide.columns
+        path = str(tmp_path / str(number))
+        done.write.parquet(path)
+        wide = spark.read.parquet(path)
+    assert wide.count() > 0
+
+
+def test_run_leaves_its_last_table_only(spark):
+    root = shared_dir(spark).removeprefix("file:")
+    before = {p for p in os.listdir(root) if p.startswith("pipeline-")}
+    assert corpus_pipeline.run(spark, SAMPLE).count() > 0
+    (own,) = {p for p in os.listdir(root) if p.startswith("pipeline-")} - before
+    assert os.listdir(f"{root}/{own}") == [str(len(corpus_pipeline.STAGES) - 1)]
+
+
 def test_run_is_registered(spark):
     import __spark_entry__
 
