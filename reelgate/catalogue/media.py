@@ -214,14 +214,29 @@ def recording_formats(spark, d):
     )
 
 
-@query("band_ratio")
+#: Samples of a short excerpt, and the rate it is read at, which has a band above 5 kHz.
+EXCERPT, FAST = 256, 16_000
+
+
+@query(
+    "band_ratio",
+    f"""WITH {_BYTES_SQL}, s AS (SELECT doc_id, i, least(n, {EXCERPT}) AS n, x FROM x WHERE i < {EXCERPT}),
+    w AS (SELECT doc_id, i, n, x * (0.5 - 0.5 * cos(2 * pi() * i / (n - 1))) AS x FROM s WHERE n > 1),
+    f AS (SELECT doc_id, n, k, sum(x * cos(2 * pi() * k * i / n)) AS re, sum(x * sin(2 * pi() * k * i / n)) AS im
+      FROM (SELECT *, unnest(range(0, n // 2 + 1)) AS k FROM w) GROUP BY ALL),
+    e AS (SELECT doc_id, greatest(coalesce(sum(re * re + im * im) FILTER (k * {FAST} / n >= 5000), 0), 1e-20) AS hi,
+      greatest(coalesce(sum(re * re + im * im) FILTER (k * {FAST} / n >= 100 AND k * {FAST} / n < 5000), 0), 1e-20) AS lo FROM f GROUP BY 1)
+    SELECT doc_id AS series_id, round(coalesce(least(greatest(10 * (log10(hi) - log10(lo)), -120), 60), -120), 6) AS high_band_ratio_db
+    FROM (SELECT DISTINCT doc_id FROM s) LEFT JOIN e USING (doc_id)""",
+)
 def band_ratio(spark, d):
-    excerpts = _recordings(spark, d).select(
+    """The twin sums every sample into every bin of a spectrum."""
+    excerpts = _recordings(spark, d).where("error IS NULL").select(
         "series_id",
         "path",
-        "sample_rate",
+        F.lit(FAST).alias("sample_rate"),
         F.lit(0).cast("long").alias("start_sample"),
-        F.col("n_samples").alias("end_sample"),
+        F.least("n_samples", F.lit(EXCERPT)).alias("end_sample"),
     )
     return rounded(media.band_ratio(excerpts).select("series_id", "high_band_ratio_db"))
 
@@ -241,7 +256,28 @@ def join_levels(spark, d):
     )
 
 
-@query("pitch_adherence")
+@query(
+    "pitch_adherence",
+    f"""WITH {_energy_sql(FRAME)},
+    fr AS (SELECT doc_id, k AS f, sqrt(avg(x * x)) AS rms FROM k GROUP BY 1, 2),
+    v AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY f) - 1 AS nth FROM fr WHERE rms > 0.2),
+    p AS (SELECT doc_id, f, 8000 / (150 + 100 * rms) AS ideal, f * 160 + 80 AS c FROM v WHERE nth % 5 = 0),
+    a AS (SELECT doc_id, list(x ORDER BY i) AS xs FROM x GROUP BY 1),
+    sp AS (SELECT p.*, list_slice(xs, greatest(c - 320, 0) + 1, least(c + 320, len(xs))) AS s FROM p JOIN a USING (doc_id)),
+    st AS (SELECT *, len(s) AS n, list_avg(s) AS m, sqrt(list_dot_product(s, s) / len(s)) AS lev FROM sp WHERE len(s) >= 320),
+    w AS (SELECT doc_id, f, ideal, n, lev, list_transform(s, lambda y, j: (y - m) * (0.5 - 0.5 * cos(2 * pi() * (j - 1) / (n - 1)))) AS s FROM st),
+    e AS (SELECT *, list_dot_product(s, s) AS en, greatest(round_even(ideal / pow(2, 100 / 1200.0::DOUBLE), 0), 1)::BIGINT AS lo,
+      least(round_even(ideal * pow(2, 100 / 1200.0::DOUBLE), 0), n - 1)::BIGINT AS hi, round_even(ideal / 2, 0)::BIGINT AS o1, round_even(ideal * 2, 0)::BIGINT AS o2 FROM w),
+    g AS (SELECT *, unnest(list_distinct(list_concat(range(lo, hi + 1), [o1, o2]))) AS lag FROM e WHERE lev >= 1e-5 AND en > 1e-12 AND hi > lo),
+    m AS (SELECT doc_id, f, ideal, lo, hi, o1, o2, lag, list_dot_product(list_slice(s, 1, n - lag), list_slice(s, lag + 1, n)) / en AS r FROM g WHERE lag BETWEEN 1 AND n - 1),
+    bl AS (SELECT doc_id, f, any_value(ideal) AS ideal, max(r) FILTER (lag BETWEEN lo AND hi) AS best, (list(lag ORDER BY r DESC, lag) FILTER (lag BETWEEN lo AND hi))[1] AS lag,
+      max(r) FILTER (lag IN (o1, o2)) AS rival FROM m GROUP BY 1, 2),
+    er AS (SELECT p.doc_id, CASE WHEN best IS NULL THEN 'infinity'::DOUBLE WHEN best < 0.12 OR coalesce(rival > best * 1.15, false) THEN 1200
+      ELSE abs(log2(bl.ideal / lag)) * 1200 END AS err FROM p LEFT JOIN bl USING (doc_id, f)),
+    q AS (SELECT doc_id, quantile_cont(err, 0.5) FILTER (err < 'infinity'::DOUBLE) AS md, avg((err > 200)::INT) AS gross FROM er GROUP BY 1)
+    SELECT doc_id AS series_id, round(CASE WHEN gross IS NULL THEN 0 ELSE coalesce(md, 1200) END, 6) AS f0_median_error_cents,
+      round(coalesce(gross, 0), 6) AS f0_gross_error_fraction FROM (SELECT DISTINCT doc_id FROM fr) LEFT JOIN q USING (doc_id)""",
+)
 def pitch_adherence(spark, d):
     recordings = pinned(_recordings(spark, d))
     frames = pinned(media.frame_energy(recordings)).select(
