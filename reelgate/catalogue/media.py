@@ -633,3 +633,56 @@ def curation_plan(spark, d):
             )
         )
     )
+
+
+OPEN_ROLES = ("strong", "neutral", "high")
+
+
+def _bank_steps() -> str:
+    """Each open role takes the best excerpt of a song that no role before it took, or of any."""
+    steps = []
+    for n, role in enumerate(OPEN_ROLES):
+        used = " OR ".join(f"song_id = (SELECT song_id FROM c{i})" for i in range(n)) or "song_id IS NULL"
+        steps.append(f"c{n} AS (SELECT '{role}' AS role, song_id, begins, {role} AS score FROM sc ORDER BY ({used}), {role}, song_id, begins LIMIT 1)")
+    return ", ".join(steps)
+
+
+@query(
+    "bank_plan",
+    f"""WITH {_energy_sql(4)},
+    fr AS (SELECT doc_id, k, sqrt(avg(x * x)) AS rms, max(abs(x)) AS peak FROM k GROUP BY 1, 2),
+    v AS (SELECT *, CASE WHEN rms < 0.45 THEN 400 * rms ELSE 0 END AS f0, count(*) OVER (PARTITION BY doc_id) AS n FROM fr
+      WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+    u AS (SELECT *, unnest(range(greatest((k - 650) // 100, 0), k // 100 + 1)) * 100 AS st FROM v WHERE n >= 750),
+    w AS (SELECT * FROM u WHERE k >= st AND k < st + 750 AND st + 750 <= n),
+    m AS (SELECT doc_id, st, avg((f0 > 0)::INT) AS vf, 20 * log10(greatest(sqrt(avg(rms * rms) FILTER (f0 > 0)), 1e-12)) AS act,
+      quantile_cont(f0, 0.5) FILTER (f0 > 0) AS med, max(peak) AS mp FROM w GROUP BY 1, 2),
+    sec AS (SELECT doc_id, st, (k - st) // 50 AS s, 20 * log10(greatest(sqrt(avg(rms * rms)), 1e-12)) AS db FROM w GROUP BY ALL HAVING avg((f0 > 0)::INT) >= 0.2),
+    rg AS (SELECT doc_id, st, quantile_cont(db, 0.95) - quantile_cont(db, 0.05) AS rng FROM sec GROUP BY 1, 2),
+    cd AS (SELECT doc_id::VARCHAR AS song_id, st / 50 AS begins, vf, act, med, rng FROM m JOIN rg USING (doc_id, st)
+      WHERE vf BETWEEN 0.70 AND 0.95 AND rng <= 6 AND mp < 0.999 AND act >= -40 AND st > 0),
+    bd AS (SELECT min(med) AS p0, max(med) AS p1, min(act) AS l0, max(act) AS l1 FROM cd),
+    pl AS (SELECT song_id, begins, (med - p0) / greatest(p1 - p0, 1e-6) AS p, (act - l0) / greatest(l1 - l0, 1e-6) AS l, 0.2 * (abs(vf - 0.85) + rng / 12) AS q FROM cd, bd),
+    sc AS (SELECT song_id, begins, abs(p - 0.5) + abs(l - 0.5) + q AS neutral, 1 - l + 0.5 * abs(p - 0.5) + q AS strong, 1 - p + 0.25 * abs(l - 0.5) + q AS high FROM pl),
+    {_bank_steps()}
+    SELECT role, song_id, begins::DOUBLE AS start_seconds, round(score, 6) AS score, (SELECT count(*) FROM cd) AS n_candidates
+    FROM ({" UNION ALL ".join(f"SELECT * FROM c{n}" for n in range(len(OPEN_ROLES)))})""",
+)
+def bank_plan(spark, d):
+    """From recordings to the excerpts that fill a bank's open roles; excluded songs are never decoded."""
+    toxic = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("series_id"))
+    recordings = _recordings(spark, d).where("error IS NULL").join(toxic, "series_id", "left_anti")
+    frames = media.frame_energy(recordings.withColumn("n_frames", F.ceil(F.col("n_samples") / 4)))
+    frames = pinned(
+        frames.withColumn("song_id", F.col("series_id").cast("string"))
+        .withColumn("f0", F.when(F.col("rms") < 0.45, 400 * F.col("rms")).otherwise(F.lit(0.0)))
+        .drop("series_id", "sum_sq")
+    )
+    songs = frames.select("song_id").distinct()
+    nothing = songs.limit(0)
+    policy = curation.Policy(
+        sources=nothing, voice=nothing, intervals=songs.select("song_id", F.lit(0.0).alias("start_s"), F.lit(0.5).alias("end_s"))
+    )
+    candidates = pinned(curation.bank_candidates(frames, policy))
+    filled = curation.fill_bank(candidates, list(OPEN_ROLES))
+    return rounded(filled).withColumn("n_candidates", F.lit(candidates.count()).cast("long"))
