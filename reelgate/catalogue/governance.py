@@ -156,15 +156,18 @@ _INSTANT = "timestamp_ntz'2024-06-01 00:00:00'"
       CASE n_nationkey % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'revoked' ELSE 'approved' END AS status,
       CASE WHEN n_nationkey % 3 = 0 THEN TIMESTAMP '2024-06-01' + INTERVAL 1 DAY * (n_nationkey - 10) END AS eff,
       CASE WHEN n_nationkey % 4 = 0 THEN TIMESTAMP '2024-06-01' + INTERVAL 1 DAY * (n_nationkey - 8) END AS exp,
-      n_nationkey % 7 AS n_approvals, n_regionkey % 2 = 0 AS training FROM nation WHERE n_nationkey <> 13)
+      n_nationkey % 7 AS n_approvals, n_regionkey % 2 = 0 AS training, n_regionkey % 3 <> 1 AS music_style,
+      CASE WHEN n_nationkey % 6 <> 2 THEN n_regionkey % 2 = 1 END AS singing_voice, n_nationkey % 9 = 3 AS commercial_release FROM nation WHERE n_nationkey <> 13)
     SELECT s_suppkey, reason IS NULL AS allowed, reason AS denial_reason FROM (
       SELECT s_suppkey, CASE
         WHEN r.n_nationkey IS NULL THEN 'no rights manifest'
         WHEN n_approvals < 1 THEN 'no approval evidence'
+        WHEN s_suppkey % 5 = 4 THEN 'unknown capability'
         WHEN status <> 'approved' THEN 'not approved'
         WHEN eff IS NOT NULL AND TIMESTAMP '2024-06-01' < eff THEN 'not yet effective'
         WHEN exp IS NOT NULL AND TIMESTAMP '2024-06-01' >= exp THEN 'expired'
-        WHEN NOT training THEN 'capability not granted' END AS reason
+        WHEN NOT coalesce(CASE s_suppkey % 5 WHEN 0 THEN training WHEN 1 THEN music_style WHEN 2 THEN singing_voice ELSE commercial_release END, false)
+          THEN 'capability not granted' END AS reason
       FROM supplier LEFT JOIN r ON s_nationkey = r.n_nationkey)""",
 )
 def capability_gate(spark, d):
@@ -177,9 +180,14 @@ def capability_gate(spark, d):
         F.when(key % 4 == 0, F.expr(f"{_INSTANT} + make_dt_interval(n_nationkey - 8)")).alias("expires_at"),
         (key % 7).alias("n_approvals"),
         (F.col("n_regionkey") % 2 == 0).alias("training"),
+        (F.col("n_regionkey") % 3 != 1).alias("music_style"),
+        F.when(key % 6 != 2, F.col("n_regionkey") % 2 == 1).alias("singing_voice"),
+        (key % 9 == 3).alias("commercial_release"),
     )
+    # every capability is asked for, and one that there is not
+    asked = F.array(*[F.lit(c) for c in (*gates.CAPABILITIES, "resale")])
     requests = table(spark, d, "supplier").select(
-        "s_suppkey", F.col("s_nationkey").alias("artist_id"), F.lit("training").alias("capability")
+        "s_suppkey", F.col("s_nationkey").alias("artist_id"), F.get(asked, (F.col("s_suppkey") % 5).cast("int")).alias("capability")
     )
     return gates.capability_gate(requests, rights, at).select(
         "s_suppkey", "allowed", "denial_reason"
@@ -322,13 +330,13 @@ def review_gate(spark, d):
     "acceptance_checks",
     """WITH o AS (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS q, avg(l_discount) AS disc,
         max(l_tax) AS tax, min(l_discount) AS mind, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY l_orderkey),
-    m AS (SELECT l_orderkey, abs(q - 2 * n * 13) <= 60 AS c1, n % 7 <> 0 AS c2, n <> 5 AS c3,
+    m AS (SELECT l_orderkey, abs(q - 2 * n * 13) <= 60 AS c1, n % 7 <> 0 AS c2, n <> 5 AS c3, l_orderkey % 9 <> 4 AS c4,
       abs(-14 + disc * 10 - 0.5 + 14) <= 0.5 AS c5, -1 - tax + 0.03 <= -0.99 AS c6,
       q / 20 - 4 BETWEEN -4 AND 6 AS c7, mind = 0 OR n > 2 AS c8, r <= 1 AS c9, n * 1.1 <= 6 AS c10,
       disc * 1000 <= 50 AS c11, CASE WHEN n = 4 THEN NULL ELSE tax END < 0.05 AS c12,
       CASE WHEN n % 2 = 0 THEN disc * 10 >= 0.4 WHEN n % 3 = 0 THEN tax * 10 >= 0.3 ELSE true END AS c13, q > 10 AS c14 FROM o),
     f AS (SELECT l_orderkey, concat_ws(',', CASE WHEN NOT c1 THEN 'duration' END, CASE WHEN NOT c2 THEN 'sample_rate' END,
-      CASE WHEN NOT c3 THEN 'channels' END, CASE WHEN NOT c5 THEN 'integrated_loudness' END, CASE WHEN NOT c6 THEN 'true_peak' END,
+      CASE WHEN NOT c3 THEN 'channels' END, CASE WHEN NOT c4 THEN 'pcm_24' END, CASE WHEN NOT c5 THEN 'integrated_loudness' END, CASE WHEN NOT c6 THEN 'true_peak' END,
       CASE WHEN NOT c7 THEN 'vocal_presence' END, CASE WHEN NOT c8 THEN 'clipping' END, CASE WHEN NOT c9 THEN 'dropouts' END,
       CASE WHEN NOT c10 THEN 'join_level' END, CASE WHEN NOT c11 THEN 'pitch_median' END,
       CASE WHEN NOT coalesce(c12, false) THEN 'pitch_gross' END, CASE WHEN NOT c13 THEN 'voice_identity' END,
@@ -353,7 +361,7 @@ def acceptance_checks(spark, d):
         (2 * n * 13).alias("expected_seconds"),
         F.when(n % 7 != 0, 48000).otherwise(44100).alias("sample_rate"),
         F.when(n != 5, 2).otherwise(1).alias("channels"),
-        F.lit("PCM_24").alias("codec"),
+        F.when(F.col("l_orderkey") % 9 != 4, "PCM_24").when(F.col("l_orderkey") % 2 == 0, "FLOAT").alias("codec"),
         (-14 + disc * 10 - 0.5).alias("integrated_lufs"),
         (-1 - tax + 0.03).alias("true_peak_dbfs"),
         (q / 20 - 4).alias("vocal_to_instrumental_db"),

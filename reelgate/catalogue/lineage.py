@@ -369,8 +369,9 @@ def seeds_slugs_ids(spark, d):
       round(20 * log10(greatest(l_discount, 1e-12)), 6) AS db,
       CASE WHEN l_tax > 0 AND l_discount > 0 THEN round(1200 * log2(l_tax / l_discount), 6) END AS cents,
       round(greatest(0, 20 * log10(greatest(l_quantity / 25, 1e-12)) + 1), 6) AS reduction_db,
-      round(greatest(-12, least(12, 1.5 - (l_quantity - 25))), 6) AS correction_db
-    FROM lineitem""",
+      round(c, 6) AS correction_db, round(CASE WHEN c < -0.01 THEN c ELSE 0 END, 6) AS vocal_adjustment_db,
+      round(CASE WHEN c > 0.01 THEN -c ELSE 0 END, 6) AS instrumental_adjustment_db
+    FROM (SELECT *, greatest(-12, least(12, 1.5 - (l_quantity - 25)))::DOUBLE AS c FROM lineitem)""",
 )
 def level_functions(spark, d):
     balance = scalars.balance_correction(F.col("l_quantity") - 25, 1.5)
@@ -380,7 +381,7 @@ def level_functions(spark, d):
             scalars.amplitude_db("l_discount").alias("db"),
             scalars.cents("l_tax", "l_discount").alias("cents"),
             scalars.peak_protect(F.col("l_quantity") / 25).alias("reduction_db"),
-            balance["correction_db"].alias("correction_db"),
+            *[balance[c].alias(c) for c in ("correction_db", "vocal_adjustment_db", "instrumental_adjustment_db")],
         )
     )
 

@@ -144,12 +144,46 @@ def _energy_sql(samples: int) -> str:
     "frame_energy",
     f"""WITH {_energy_sql(FRAME)}
     SELECT doc_id AS series_id, k AS frame_idx, count(*) AS n, round(sum(x * x), 6) AS sum_sq, round(sqrt(avg(x * x)), 6) AS rms,
-      round(max(abs(x)), 6) AS peak, count(*) FILTER (abs(x) >= 0.999) AS clipped_n
+      round(max(abs(x)), 6) AS peak, count(*) FILTER (abs(x) >= 0.999) AS clipped_n,
+      round(sum(x * x), 6) AS mid_sq, 0::DOUBLE AS side_sq, 1 AS channels
     FROM k GROUP BY 1, 2""",
 )
 def frame_energy(spark, d):
-    frames = media.frame_energy(_recordings(spark, d))
-    return rounded(frames.drop("mid_sq", "side_sq", "channels"))
+    return rounded(media.frame_energy(_recordings(spark, d)))
+
+
+@query(
+    "stereo_energy",
+    """WITH l AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS l FROM documents),
+    b AS (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) - 1 AS i, len(l) // 2 AS m FROM l),
+    x AS (SELECT doc_id, i // 2 AS j, m, max((('0x' || p)::INT - 128) / 128) FILTER (i % 2 = 0) AS a, max((('0x' || p)::INT - 128) / 128) FILTER (i % 2 = 1) AS b
+      FROM b WHERE i < 2 * m GROUP BY ALL)
+    SELECT doc_id AS series_id, max(m) AS n, round(sum(pow((a + b) / 2, 2)), 5) AS mid_sq, round(sum(pow((a - b) / 2, 2)), 5) AS side_sq,
+      round(max(abs((a + b) / 2)), 6) AS peak, 2 AS channels FROM x GROUP BY 1""",
+)
+def stereo_energy(spark, d):
+    """Every document's bytes as two interleaved channels: what both share, and what parts them."""
+    folder = _folder(spark, "stereo")
+    rows = table(spark, d, "documents").select(
+        F.concat(F.col("doc_id").cast("string"), F.lit(".wav")).alias("name"), F.col("text").alias("body")
+    )
+    _export(rows, folder, _stereo)
+    probed = media.probe_media(media.discover_media(spark, folder).select("path")).where("error IS NULL")
+    known = probed.withColumn("series_id", F.regexp_extract("path", r"([0-9]+)\.wav$", 1).cast("long"))
+    frames = media.frame_energy(known.withColumn("n_frames", F.ceil(F.col("n_samples") / FRAME)))
+    return frames.groupBy("series_id").agg(
+        F.sum("n").alias("n"),
+        F.round(F.sum("mid_sq"), 5).alias("mid_sq"),
+        F.round(F.sum("side_sq"), 5).alias("side_sq"),
+        F.round(F.max("peak"), 6).alias("peak"),
+        F.max("channels").alias("channels"),
+    )
+
+
+def _stereo(body: str) -> bytes:
+    raw = body.encode()
+    form = struct.pack("<HHIIHH", 1, 2, RATE, RATE * 2, 2, 8)
+    return _riff((b"fmt ", form), (b"data", raw[: len(raw) // 2 * 2]))
 
 
 @query(
