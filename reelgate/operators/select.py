@@ -206,7 +206,8 @@ def retry_order(
             F.lit(0).cast("long").alias("e"),
         ).alias("__place"),
     )
-    every = (
+    # stored, as the scan counts the groups before it orders them
+    every = pinned(
         ranked.unionByName(last)
         .groupBy(*keys, "reference_id")
         .agg(F.min(F.struct("__list", "__place")).alias("__best"))
