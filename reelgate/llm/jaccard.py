@@ -17,8 +17,10 @@ Jaccard similarity of at least p differ in at most (1 - p) / (1 + p) * (a + b) e
 
 Nothing in a group of equal blocks is paired with everything else. First each member is paired
 with the group's smallest document, and the links found give components; a group of thousands of
-near copies costs one comparison each. Documents of groups that still hold more than one component
-are joined again on more and smaller blocks, where most sets have enough blocks of their own to
+near copies costs one comparison each. Where a group still holds several components, two more of its
+documents, one of the first component and one of the others, drawn anew each time, are compared
+with all that are in other components, ``STARS`` times: each round joins a share of what can be joined to them.
+Documents of groups that still hold more than one component are joined again on more and smaller blocks, where most sets have enough blocks of their own to
 be done. In the groups that remain, sketches of different components are compared in cells of
 bounded size, and only pairs within the Hamming bound leave a cell. So no link between
 components is missed. Documents with equal sets are one node throughout.
@@ -56,6 +58,8 @@ BAND = 1.6
 #: Blocks of a band for each difference that its largest sets allow: for all documents, and for
 #: those that are compared across components.
 SPARE, FINE = 1.25, 2.5
+#: Rounds in which groups of several components get two more hubs.
+STARS = 4
 #: Members of a group that one step compares with each other, about.
 CELL = 256
 #: Pairs with one hub that one sorted run compares, about.
@@ -313,6 +317,16 @@ def _across(shared: DataFrame, known: DataFrame) -> DataFrame:
     return placed.join(several, "key").select("key", "band", "id", "component")
 
 
+def _stars(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b, band) of two drawn hubs of each group with its members in other components."""
+    inside = F.col("component") == F.col("low")
+    first = members.groupBy("key").agg(F.min("component").alias("low"))
+    hubs = members.join(first, "key").groupBy("key", inside.alias("inside"))
+    hubs = hubs.agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("draw"), "id", "component")).alias("hub"))
+    pairs = members.join(hubs.select("key", "hub"), "key").where(F.col("component") != F.col("hub.component"))
+    return pairs.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"), "band").distinct()
+
+
 def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
     text_hash = F.xxhash64(text_or_empty())
@@ -365,9 +379,21 @@ def _joined(docs: DataFrame, percent: int, size: int, same: DataFrame | None = N
         verified(near(stars.distinct(), views, percent), docs, percent, size).unionByName(copies)
     )
 
-    # groups that hold more than one component: test the pairs between components
     known = pinned(components(links))
-    mixed = _across(shared, known).select("id").distinct()
+    members = pinned(_across(shared, known))
+    for turn in range(STARS):
+        if members.isEmpty():
+            break
+        found = pinned(verified(near(_stars(members, turn), views, percent), docs, percent, size))
+        if found.isEmpty():
+            # what is left is alike, but mostly not enough
+            break
+        links = pinned(links.unionByName(found))
+        known = pinned(components(links))
+        members = pinned(_across(members.select("key", "band", "id"), known))
+
+    # groups that still hold more than one component: test the pairs between components
+    mixed = members.select("id").distinct()
     fine_rows = docs.join(mixed.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
     fine = pinned(described(fine_rows, percent, size, FINE)).where(F.col("n_shingles") > 0)
     fine = fine.select("id", "n_shingles", F.explode("views").alias("v")).select("id", "n_shingles", "v.*")
