@@ -239,11 +239,8 @@ def incremental_ingest(spark, d):
     toxic = table(spark, d, "labels").where("toxic = 1").select("doc_id")
     denied = docs.join(toxic, "doc_id", "left_semi").select("sha256").distinct()
     denied = denied.withColumn("reason", F.lit("toxic"))
-    stream = (
-        spark.readStream.schema(table(spark, d, "documents").schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(d)
-    )
+    # the table may be one file or a folder of files; a pattern takes either
+    stream = spark.readStream.schema(table(spark, d, "documents").schema).parquet(f"{d}/documents.parque[t]")
     folder = f"{shared_dir(spark)}/ingest-{uuid4().hex}"
     arrivals = lineage.fingerprint(stream, "text").select("doc_id", "sha256")
     start_ingest(
