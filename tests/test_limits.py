@@ -1,8 +1,10 @@
 """Values that meet a limit exactly, and tables that are folders of files."""
 
+from itertools import permutations
+
 from samples_dir import SAMPLE
 
-from reelgate.catalogue import QUERIES
+from reelgate.catalogue import ORACLES, QUERIES
 
 
 def test_ingest_reads_a_table_that_is_a_folder(spark, tmp_path):
@@ -11,3 +13,24 @@ def test_ingest_reads_a_table_that_is_a_folder(spark, tmp_path):
     rows = QUERIES["incremental_ingest"](spark, str(tmp_path))
     same = QUERIES["incremental_ingest"](spark, SAMPLE)
     assert sorted(rows.collect()) == sorted(same.collect())
+
+
+def test_mean_on_its_limit_does_not_depend_on_the_order_of_lines(spark, tmp_path):
+    import duckdb
+
+    rows = [
+        (9 * (1 + n), i, 20.0, share / 100, 0.04, "N")
+        for n, shares in enumerate(permutations((1, 5, 9)))
+        for i, share in enumerate(shares)
+    ]
+    schema = "l_orderkey bigint, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string"
+    folder = f"{tmp_path}/lineitem.parquet"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(folder)
+    found = QUERIES["acceptance_checks"](spark, str(tmp_path)).collect()
+    assert len(found) == 6
+    assert len({r["failures"] for r in found}) == 1
+    assert "pitch_median" not in found[0]["failures"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/*.parquet'")
+    theirs = con.execute(ORACLES["acceptance_checks"]).fetchall()
+    assert sorted(theirs) == sorted((r["l_orderkey"], r["failures"], r["accepted"]) for r in found)
