@@ -121,7 +121,7 @@ def active_rms(spark, d):
     b AS (SELECT series_id - 1 AS series_id, frame_idx, rms FROM frames),
     t AS (SELECT series_id, greatest(pow(10, -45 / 20), 0.1 * quantile_cont(rms, 0.6)) AS bar FROM a WHERE rms > 0.001 GROUP BY 1),
     x AS (SELECT a.series_id, quantile_cont(20 * log10(a.rms) - 20 * log10(b.rms), 0.5) AS v FROM a JOIN b USING (series_id, frame_idx)
-      JOIN t USING (series_id) WHERE a.rms >= bar AND b.rms > 1e-8 GROUP BY 1)
+      JOIN t USING (series_id) WHERE round(a.rms, 12) >= round(bar, 12) AND b.rms > 1e-8 GROUP BY 1)
     SELECT series_id, round(v, 6) AS balance_db FROM (SELECT DISTINCT series_id FROM a) LEFT JOIN x USING (series_id)""",
 )
 def balance(spark, d):

@@ -337,7 +337,8 @@ def balance_db(
 ) -> DataFrame:
     """Median level difference on the active frames of a; null without any.
 
-    Both have keys, frame_idx, rms at ten frames a second.
+    Both have keys, frame_idx, rms at ten frames a second. Levels that equal the bar to 12
+    digits are active, however the quantile was rounded.
     """
     large = has_large_group(a_frames, keys)
     heard = a_frames.where(F.col("rms") > 10 ** (-60 / 20))
@@ -348,7 +349,7 @@ def balance_db(
         a_frames.select(*keys, "frame_idx", F.col("rms").alias("__a"))
         .join(b_frames.select(*keys, "frame_idx", F.col("rms").alias("__b")), [*keys, "frame_idx"])
         .join(bars, list(keys))
-        .where((F.col("__a") >= F.col("__bar")) & (F.col("__b") > 1e-8))
+        .where((F.round("__a", 12) >= F.round("__bar", 12)) & (F.col("__b") > 1e-8))
     )
     difference = amplitude_db("__a") - amplitude_db("__b")
     found = exact_quantiles(pairs, keys, difference, {"balance_db": 0.5}, large=large)
