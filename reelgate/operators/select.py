@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelgate.functions.scalars import finite
-from reelgate.operators.scan import Running, ordered_scan
+from reelgate.operators.scan import Running, has_large_group, ordered_scan
 from reelgate.session import pinned
 
 # The roles of a bank, in order of priority.
@@ -32,24 +32,15 @@ def rank_references(
     """
     usable = (F.col("review_status") == "approved") & F.col("median_f0_hz").isNotNull()
     marked = references.withColumn("__usable", F.coalesce(usable, F.lit(False)))
+    if not has_large_group(references, [owner]):
+        return _rank_in_banks(phrases, marked, owner, phrase, best_only)
     counts = marked.groupBy(owner).agg(
         F.count(F.lit(1)).alias("__refs"), F.sum(F.col("__usable").cast("long")).alias("__good")
     )
     bank = marked.join(counts, owner)
     pairs = phrases.join(bank, owner)
-    pitch, level = F.col("target_pitch"), F.col("target_level_db")
-
-    def away(reference: str) -> Column:
-        return F.abs(1200 * F.log2(pitch / F.col(reference))) / 600
-
-    outside = (
-        F.when(pitch < F.col("f0_p05_hz"), away("f0_p05_hz"))
-        .when(pitch > F.col("f0_p95_hz"), away("f0_p95_hz"))
-        .otherwise(F.lit(0.0))
-    )
-    score = (
-        away("median_f0_hz") + 0.35 * (F.abs(level - F.col("active_rms_dbfs")) / 12) + outside
-    )
+    pitch = F.col("target_pitch")
+    score = _distance(pitch, F.col("target_level_db"), F.col)
     by_id = (F.col("__refs") == 1) | pitch.isNull() | (F.col("__good") == 0)
     scored = (
         pairs.where(by_id | F.col("__usable"))
@@ -67,6 +58,66 @@ def rank_references(
     ).withColumn("rank", F.col("rank") + 1)
 
 
+def _distance(pitch: Column, level: Column, of: Callable[[str], Column]) -> Column:
+    """How far a reference (``of`` names its measures) is from a phrase in register and level."""
+
+    def away(reference: str) -> Column:
+        return F.abs(1200 * F.log2(pitch / of(reference))) / 600
+
+    outside = (
+        F.when(pitch < of("f0_p05_hz"), away("f0_p05_hz"))
+        .when(pitch > of("f0_p95_hz"), away("f0_p95_hz"))
+        .otherwise(F.lit(0.0))
+    )
+    return away("median_f0_hz") + 0.35 * (F.abs(level - of("active_rms_dbfs")) / 12) + outside
+
+
+def _rank_in_banks(
+    phrases: DataFrame, marked: DataFrame, owner: str, phrase: Sequence[str], best_only: bool
+) -> DataFrame:
+    """The ranking where every bank fits a row: references are scored and sorted beside their phrase.
+
+    Pairs of phrase and reference exist one phrase at a time, so a task holds no artist's pairs.
+    """
+    measures = ["median_f0_hz", "f0_p05_hz", "f0_p95_hz", "active_rms_dbfs"]
+    banks = marked.groupBy(owner).agg(
+        F.collect_list(F.struct("reference_id", *measures, "__usable")).alias("__bank"),
+        F.sum(F.col("__usable").cast("long")).alias("__good"),
+    )
+    # a phrase that is listed twice is ranked over both of its rows
+    asked = phrases.groupBy(owner, *phrase).agg(
+        F.collect_list(F.struct("target_pitch", "target_level_db")).alias("__asked")
+    )
+
+    def scored(target: Column) -> Column:
+        pitch, level = target["target_pitch"], target["target_level_db"]
+        by_id = (F.size("__bank") == 1) | pitch.isNull() | (F.col("__good") == 0)
+        fit = F.filter("__bank", lambda r: by_id | r["__usable"])
+        return F.transform(
+            fit,
+            lambda r: F.struct(
+                F.when(~by_id, _distance(pitch, level, lambda name: r[name])).alias("score"),
+                r["reference_id"].alias("reference_id"),
+            ),
+        )
+
+    ranked = asked.join(banks, owner).withColumn("__fit", F.flatten(F.transform("__asked", scored)))
+    if best_only:
+        best = F.array_min(
+            F.transform(
+                "__fit",
+                lambda r: F.struct(F.coalesce(r["score"], F.lit(0.0)).alias("o"), r["reference_id"].alias("id"), r["score"].alias("score")),
+            )
+        )
+        ranked = ranked.withColumn("__best", best)
+        return ranked.select(
+            owner, *phrase, F.col("__best.id").alias("reference_id"), F.col("__best.score").alias("score")
+        )
+    return ranked.select(owner, *phrase, F.posexplode(F.sort_array("__fit")).alias("__at", "__r")).select(
+        owner, *phrase, "__r.reference_id", "__r.score", (F.col("__at") + 1).cast("long").alias("rank")
+    )
+
+
 def _or_minus_one(*columns: str) -> Column:
     """First known value, -1 without one; NaN counts as unknown and never as the best."""
     known = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns]
