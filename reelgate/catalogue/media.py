@@ -51,12 +51,12 @@ def _put(folder: str, name: str, body: bytes) -> str:
 
 
 def _export(rows: DataFrame, folder: str, encode) -> None:
-    """Write one file per row (name, body) from the executors; a retry writes it again."""
+    """Write one file per row (name, body; null: empty) from the executors; a retry writes it again."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             paths = [
-                _put(folder, n, encode(b)) for n, b in zip(pdf["name"], pdf["body"], strict=True)
+                _put(folder, n, encode("" if b is None else b)) for n, b in zip(pdf["name"], pdf["body"], strict=True)
             ]
             yield pd.DataFrame({"path": paths})
 
@@ -282,7 +282,7 @@ def band_ratio(spark, d):
     FROM h JOIN x ON x.doc_id = h.doc_id AND i >= h.n // 2 - 40 AND i < h.n // 2 + 40 GROUP BY h.doc_id, h.n""",
 )
 def join_levels(spark, d):
-    joins = _recordings(spark, d).select(
+    joins = _recordings(spark, d).where("error IS NULL").select(
         "series_id", "path", "sample_rate", F.expr("n_samples div 2").alias("join_sample")
     )
     return rounded(

@@ -378,12 +378,13 @@ def fixed_frames(recordings: DataFrame, length: int = 2048, per_task: int = 4_09
 def overlapped_energy(
     recordings: DataFrame, frame_s: float = 0.046, hop_s: float = 0.012, per_task: int = 8_192
 ) -> DataFrame:
-    """Levels of overlapping frames and of their sample differences, by prefix sums."""
+    """Levels of overlapping frames and of their sample differences, by prefix sums; none without samples."""
     rate = F.col("sample_rate")
     length = F.greatest(F.rint(rate * frame_s), F.lit(32)).cast("long")
     hop = F.greatest(F.rint(rate * hop_s), F.lit(8)).cast("long")
     wanted = (
-        recordings.select("series_id", "path", "n_samples", length.alias("__len"), hop.alias("__hop"))
+        recordings.where(F.col("n_samples") > 0)
+        .select("series_id", "path", "n_samples", length.alias("__len"), hop.alias("__hop"))
         .withColumn("__units", F.ceil(F.greatest(F.col("n_samples") - F.col("__len") + 1, F.lit(1)) / F.col("__hop")))
     )
     schema = (
@@ -467,7 +468,8 @@ def band_ratio(excerpts: DataFrame, clipped: bool = True) -> DataFrame:
 def join_levels(joins: DataFrame, window_s: float = 0.005) -> DataFrame:
     """Add ``before_rms`` and ``after_rms``: the level 5 ms either side of a join.
 
-    ``joins``: path, sample_rate, join_sample. Null where a side leaves the recording.
+    ``joins``: path, sample_rate, join_sample. Null where a side leaves the recording, and where
+    rate or place are unknown, as they are of a file that could not be probed.
     """
     schema = f"{_nullable(joins.schema)}, before_rms double, after_rms double"
 
@@ -477,6 +479,10 @@ def join_levels(joins: DataFrame, window_s: float = 0.005) -> DataFrame:
             for p, rate, at in zip(
                 pdf["path"], pdf["sample_rate"], pdf["join_sample"], strict=True
             ):
+                if pd.isna(rate) or pd.isna(at):
+                    before.append(None)
+                    after.append(None)
+                    continue
                 reach = max(1, round(window_s * rate))
                 audio = read_samples(p, int(at) - reach, int(at) + reach)
                 mono = audio.mean(axis=1, dtype=np.float32).astype(np.float64)

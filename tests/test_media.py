@@ -4,7 +4,9 @@ import random
 import struct
 from datetime import datetime
 
+import duckdb
 import numpy as np
+import oracle
 import pytest
 from pyspark.sql import functions as F
 from synth import tone, write_wav
@@ -105,6 +107,27 @@ def test_band_ratio_and_join_levels(spark, tmp_path):
     assert rows[100].before_rms is None
 
 
+def test_recordings_without_samples_have_no_levels(spark, tmp_path):
+    sound = write_wav(tmp_path / "a.wav", np.full(900, 0.5), 8_000)
+    empty = write_wav(tmp_path / "b.wav", np.zeros((0, 1)), 8_000)
+    recs = _recordings(spark, {"a": sound, "b": empty, "c": str(tmp_path / "none.wav")})
+    joins = recs.withColumn("join_sample", F.expr("n_samples div 2"))
+    rows = {r.series_id: (r.before_rms, r.after_rms) for r in media.join_levels(joins).collect()}
+    assert rows["a"] == pytest.approx((0.5, 0.5), abs=1e-4) and rows["b"] == rows["c"] == (None, None)
+    assert {r.series_id for r in media.overlapped_energy(recs).collect()} == {"a"}
+
+
+@pytest.mark.parametrize("name", ["join_levels", "overlapped_energy", "stereo_energy"])
+def test_documents_without_text(spark, tmp_path, name):
+    """Null, empty and one byte: the first two are recordings without samples."""
+    rows = [(0, None, "src0"), (1, "", "src0"), (2, "x", "src1"), (3, "some words" * 50, "src1")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    documents.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert oracle.compare(spark, duck, str(tmp_path), name) is None
+
+
 @pytest.mark.parametrize("hertz", [220.0, 247.0])
 def test_pitch_adherence(spark, tmp_path, hertz):
     path = write_wav(tmp_path / "a.wav", tone(220, 0.3, 4, 24_000), 24_000)
