@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelgate.catalogue.media import _export, _folder, _npy, _text
+from reelgate.catalogue.media import _export, _folder, _name, _npy, _text
 from reelgate.catalogue.registry import query, table
 from reelgate.operators import gates
 from reelgate.sources import documents, media
@@ -339,7 +339,7 @@ def contour_violations(spark, d):
     folder = _folder(spark, "contours")
     kind = F.when(F.col("doc_id") % 11 < 5, F.col("doc_id") % 11).otherwise(0)
     rows = table(spark, d, "documents").select(
-        F.format_string("%d.npy", "doc_id").alias("name"), F.concat(kind.cast("string"), "text").alias("body")
+        _name(".npy").alias("name"), F.concat(kind.cast("string"), "text").alias("body")
     )
     _export(rows, folder, _damaged_npy)
     files = media.discover_media(spark, folder, [".npy"]).select(

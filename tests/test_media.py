@@ -38,6 +38,43 @@ def test_discovery_reads_no_content(spark, tmp_path):
     assert hashed.sha256 == hashlib.sha256(b"sub/a.mp3").hexdigest() and hashed.error is None
 
 
+def test_discovery_is_not_held_by_the_driver(spark, tmp_path):
+    for n in range(300):
+        path = tmp_path / f"{n % 3}" / f"{n % 7}" / f"{n}.wav"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"x" * n)
+    files = media.discover_media(spark, str(tmp_path))
+    # a reader of the files would list them all while the plan is built
+    assert files.inputFiles() and all("/pinned-" in f for f in files.inputFiles())
+    assert {(r.filename, r.length) for r in files.collect()} == {(f"{n}.wav", n) for n in range(300)}
+
+
+def test_discovery_of_odd_roots(spark, tmp_path):
+    for name in ("a b/x.wav", "a b/.y.wav", "_c/empty.wav", "z.wav/inside.mp3", "a b/none.txt", "u.WAV"):
+        path = tmp_path / name
+        path.parent.mkdir(exist_ok=True)
+        path.write_bytes(b"" if "empty" in name else name.encode())
+    (tmp_path / "void").mkdir()
+    (tmp_path / "gone.wav").symlink_to(tmp_path / "nowhere")
+
+    def found(root, **how):
+        return media.discover_media(spark, root, **how)
+
+    every = found(str(tmp_path))
+    assert [c for c, _ in every.dtypes] == ["path", "length", "modificationTime", "filename"]
+    rows = {r.filename: r for r in every.collect()}
+    assert set(rows) == {"x.wav", ".y.wav", "empty.wav", "inside.mp3", "u.WAV"}
+    assert rows["x.wav"].path == f"file:{tmp_path}/a b/x.wav" and rows["empty.wav"].length == 0
+    assert abs(rows["x.wav"].modificationTime.timestamp() - (tmp_path / "a b/x.wav").stat().st_mtime) < 0.01
+    assert {r.filename for r in found(f"file://{tmp_path}/*", suffixes=["mp3"]).collect()} == {"inside.mp3"}
+    assert [r.filename for r in found(str(tmp_path / "u.WAV")).collect()] == ["u.WAV"]
+    assert found(str(tmp_path / "void")).count() == 0
+    held = {r.filename: bytes(r.content) for r in found(str(tmp_path), content=True).collect()}
+    assert held["x.wav"] == b"a b/x.wav" and held["empty.wav"] == b"" and len(held) == 5
+    with pytest.raises(FileNotFoundError):
+        found(str(tmp_path / "nothing"))
+
+
 def test_probe_quarantines_bad_files(spark, tmp_path):
     good = write_wav(tmp_path / "a.wav", np.zeros((4410, 2)), 44100, 3)
     (tmp_path / "b.wav").write_bytes(b"not audio")
