@@ -9,8 +9,10 @@ import numpy as np
 import oracle
 import pytest
 from pyspark.sql import functions as F
+from samples_dir import SAMPLE
 from synth import tone, write_wav
 
+from reelgate.catalogue import media as catalogue
 from reelgate.operators.frames import active_rms, series_metrics, window_metrics
 from reelgate.plans import curation, ingestion
 from reelgate.plans.rhythm import analyse_rhythm
@@ -49,6 +51,12 @@ def test_discovery_is_not_held_by_the_driver(spark, tmp_path):
     assert {(r.filename, r.length) for r in files.collect()} == {(f"{n}.wav", n) for n in range(300)}
 
 
+def test_recordings_of_the_queries_are_not_held_by_the_driver(spark):
+    """What pitch_adherence, curation_plan and bank_plan read; media_stream_ingest lists the same folder."""
+    recordings = catalogue._recordings(spark, SAMPLE)
+    assert recordings.inputFiles() and all("/pinned-" in f for f in recordings.inputFiles())
+
+
 def test_discovery_of_odd_roots(spark, tmp_path):
     for name in ("a b/x.wav", "a b/.y.wav", "_c/empty.wav", "z.wav/inside.mp3", "a b/none.txt", "u.WAV"):
         path = tmp_path / name
